@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loamstone.llm.common import table
 
@@ -22,11 +23,25 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.sharding import sharded
+
+    out = sharded(table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamstone.llm.bpe import digests
 
     return digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.quality import verdicts
+
+    out = verdicts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op8_bpe)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op6_sharding, op8_bpe, op9_quality_rules)}
