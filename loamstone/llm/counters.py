@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PARTS = 64
+PARTS = 16
 #: Membership bits: 1 MB, whatever the number of members. When they fill up, more non-members pass; members always do.
 MEMBER_BITS = 23
 
@@ -72,7 +72,10 @@ def member_bits(df: DataFrame, column: str) -> np.ndarray:
     return summed_counters(df.select(column), count, 1 << MEMBER_BITS, lambda c: np.packbits(c > 0, bitorder="little"), np.uint8)
 
 
+def maybe_member_of(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def maybe_member(bits: np.ndarray, col: pa.Array) -> np.ndarray:
     """False for values that are not members for certain."""
-    at = _slots(col)
-    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+    return maybe_member_of(bits, _slots(col))

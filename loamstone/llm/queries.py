@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from loamstone.llm.common import table
 
 
+#: The key of the surrogates in the registered queries; a deployment has a secret one of its own.
+PII_KEY = "loamstone"
+
+
 def tokenizer_path() -> str:
     """The vocabulary file of the public byte-level tokenizer installed beside Python."""
     import public_tokenizers
@@ -17,12 +21,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamstone.llm.ngram_join import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, threshold=(9, 10)).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.decontaminate import contained
+
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.lattice_lm import scored
+
+    return scored(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamstone.llm.sharding import sharded
 
@@ -30,6 +52,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.pii import replaced
+
+    return replaced(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamstone.llm.bpe import digests
 
@@ -44,4 +72,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op6_sharding, op8_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_jaccard_join, op3_decontamination, op4_lattice_lm, op6_sharding, op7_pii, op8_bpe, op9_quality_rules)}
