@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,24 +41,26 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def rekeyed(*cols: Column) -> Column:
-    """One join key made of ``cols`` that Spark doesn't know to be the key of an earlier exchange.
-
-    A join on it gets an exchange of its own on either side, which is what lets the adaptive planner split a hot key's
-    partition. A side that keeps the exchange of an aggregate can't be split.
-    """
-    return F.xxhash64(*cols)
+_OTHER = 0x5DEECE66D
 
 
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Join on ``keys`` where ``right`` has each key once and ``left`` may have a third of its rows under one key."""
-    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    lk, rk = left.withColumn("__k", rekeyed(*[F.col(k) for k in keys])), r.withColumn("__rk", rekeyed(*[F.col(f"__r_{k}") for k in keys]))
-    on = F.col("__k") == F.col("__rk")
+    """Join on ``keys`` where ``right`` has each key once and ``left`` may have a third of its rows under one key.
+
+    Both sides are joined on an expression over the keys that Spark doesn't know to be the key of an earlier exchange, so
+    either side gets an exchange of its own. That is what lets the adaptive planner split a hot key's partition; a side
+    that keeps the exchange of an aggregate can't be split. The expression is evaluated in the exchange and costs no
+    column of ``left``. Null keys meet nothing.
+    """
+    others = [c for c in right.columns if c not in keys]
+    if len(keys) == 1 and dict(left.dtypes)[keys[0]] == dict(right.dtypes)[keys[0]] == "bigint":
+        r = right.select(F.col(keys[0]).bitwiseXOR(F.lit(_OTHER)).alias("__rk"), *others)
+        return left.join(r, F.col(keys[0]).bitwiseXOR(F.lit(_OTHER)) == F.col("__rk"), how).drop("__rk")
+    r = right.select(F.xxhash64(*keys).alias("__rk"), *[F.col(k).alias(f"__r_{k}") for k in keys], *others)
+    on = F.xxhash64(*[left[k] for k in keys]) == F.col("__rk")
     for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-    joined = lk.join(rk, on, how)
-    return joined.drop("__k", "__rk", *[f"__r_{k}" for k in keys])
+        on = on & (left[k] == F.col(f"__r_{k}"))
+    return left.join(r, on, how).drop("__rk", *[f"__r_{k}" for k in keys])
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

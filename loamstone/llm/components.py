@@ -9,15 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import discard, materialize, rekeyed
+from loamstone.llm.common import discard, materialize, skew_join
 
 MAX_ROUNDS = 100
 
 
 def _with_min(edges: DataFrame, least: DataFrame) -> DataFrame:
     """``edges`` (u, v) with ``m``, the value of ``least`` for u."""
-    l, r = edges.withColumn("__k", rekeyed(F.col("u"))), least.withColumn("__r", rekeyed(F.col("c")))
-    return l.join(r, (F.col("__k") == F.col("__r")) & (F.col("u") == F.col("c"))).select("u", "v", "m")
+    return skew_join(edges.select("u", "v"), least.withColumnRenamed("c", "u"), ["u"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
