@@ -45,6 +45,12 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.suffix_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loamstone.llm.sharding import sharded
 
@@ -72,4 +78,4 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_jaccard_join, op3_decontamination, op4_lattice_lm, op6_sharding, op7_pii, op8_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_jaccard_join, op3_decontamination, op4_lattice_lm, op5_suffix_dedup, op6_sharding, op7_pii, op8_bpe, op9_quality_rules)}
