@@ -77,5 +77,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.passages import passages
+
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_jaccard_join, op3_decontamination, op4_lattice_lm, op5_suffix_dedup, op6_sharding, op7_pii, op8_bpe, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_jaccard_join, op3_decontamination, op4_lattice_lm, op5_suffix_dedup, op6_sharding, op7_pii, op8_bpe, op9_quality_rules, op10_passages)}
