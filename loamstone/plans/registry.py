@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = ""
+from loamstone.plans import governance_queries, memory_queries
+from loamstone.plans.bridge import duck
+
+FLAGSHIP = "planned_packs"
+_MODULES = (memory_queries, governance_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: duck(s) for m in _MODULES for k, s in m.SQL.items()}
