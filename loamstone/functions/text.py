@@ -21,7 +21,7 @@ HAN = r"[\x{4e00}-\x{9fa5}]"
 
 def wikilinks(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]{1,40})(?:\|[^\]]*)?\]\]"), F.lit(1))
-    return F.filter(F.transform(found, F.trim), lambda x: x != "")
+    return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def han_tokens(text: Column) -> Column:

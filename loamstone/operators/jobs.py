@@ -1,0 +1,177 @@
+"""Nightly jobs: embedding backfill, distillation, relation candidates, replicas, snapshots, the job runner."""
+
+from __future__ import annotations
+
+import json
+import time
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loamstone.functions import scoring as S
+
+#: Pools in the order in which copies are placed (fixed values).
+POOLS = ["gist", "webdav", "notion", "gitee", "gitlab"]
+
+
+def hash_embedding(texts: list[str], dim: int) -> np.ndarray:
+    """A deterministic stand-in for an embedding model: normals seeded by each text's digest, unit length."""
+    import hashlib
+
+    out = np.stack([np.random.default_rng(int.from_bytes(hashlib.md5(t.encode()).digest()[:4], "big")).standard_normal(dim) for t in texts]) if texts else np.zeros((0, dim))
+    return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
+
+
+def embedded(rows: DataFrame, embed: Callable[[list[str], int], np.ndarray] = hash_embedding, dim: int = 1024, batch: int = 16, most_chars: int = 8000) -> DataFrame:
+    """memory_id and vec of (id, content), ``batch`` texts to a call of ``embed``; rows whose call fails are left for the next run."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for lo in range(0, len(part), batch):
+                some = part.iloc[lo : lo + batch]
+                try:
+                    vec = embed([(c or "")[:most_chars] for c in some.content], dim)
+                except OSError:
+                    continue
+                yield pd.DataFrame({"memory_id": some.id.to_numpy(), "vec": [v.tolist() for v in vec]})
+
+    return rows.select("id", "content").mapInPandas(run, "memory_id string, vec array<float>")
+
+
+def upserted(table: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
+    """``table`` with the rows of ``new`` in place of those with equal keys."""
+    return table.join(new.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
+
+
+def clusters(vectors: DataFrame, floor: float = 0.55, most: int = 40) -> DataFrame:
+    """id and leader of the ``most`` newest (id, created_ts, vec): each joins the first leader above ``floor``, or leads."""
+
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaders: list[tuple[str, np.ndarray]] = []
+        rows = []
+        for r in pdf.sort_values(["created_ts", "id"], ascending=[False, True]).itertuples():
+            v = np.asarray(r.vec, dtype=np.float64)
+            mine = next((name for name, u in leaders if float(u @ v) > floor), None)
+            if mine is None:
+                leaders.append((r.id, v))
+                mine = r.id
+            rows.append((r.id, mine))
+        return pd.DataFrame(rows, columns=["id", "leader"])
+
+    newest = vectors.orderBy(F.desc("created_ts"), "id").limit(most)
+    return newest.groupBy(F.expr("true").alias("one")).applyInPandas(lead, "id string, leader string")
+
+
+def distilled(found: DataFrame, rows: DataFrame, note: Callable[[list[str]], dict | None], most: int = 5) -> list[dict]:
+    """Notes of the largest clusters, one call of ``note`` a cluster; single rows need an importance of 4. Bounded by ``clusters``."""
+    groups = found.join(rows, "id").groupBy("leader").agg(F.sort_array(F.collect_list(F.struct("id", "content"))).alias("rows"), F.max("importance").alias("top"))
+    chosen = groups.filter("size(rows) > 1 OR top >= 4").orderBy(F.desc(F.size("rows")), "leader").limit(most).collect()
+    out = []
+    for g in chosen:
+        made = note([r.content for r in g.rows])
+        if made and made.get("worth", True):
+            out.append({"title": made.get("title", "")[:80], "insight": made.get("insight", ""), "sources": [r.id for r in g.rows]})
+    return out
+
+
+def relation_candidates(vectors: DataFrame, edges: DataFrame, typed: DataFrame, low: float = 0.4, high: float = 0.92, rows: int = 60, most: int = 20) -> DataFrame:
+    """a < b of the ``rows`` newest (id, created_ts, vec) that are linked or similar, without pairs that have a relation already.
+
+    The pairs are over at most ``rows`` rows, which bounds them.
+    """
+    newest = vectors.orderBy(F.desc("created_ts"), "id").limit(rows)
+    a, b = newest.select(F.col("id").alias("a"), F.col("vec").alias("va")), newest.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
+    sim = a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("sim", S.dot(F.col("va"), F.col("vb"))).filter((F.col("sim") > low) & (F.col("sim") < high)).select("a", "b", "sim")
+    names = newest.select("id")
+    linked = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().join(F.broadcast(names), F.col("a") == F.col("id"), "left_semi").join(F.broadcast(names), F.col("b") == F.col("id"), "left_semi")
+    done = typed.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    pairs = sim.unionByName(linked.withColumn("sim", F.lit(1.0))).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    return pairs.join(done, ["a", "b"], "left_anti").orderBy(F.desc("sim"), "a", "b").limit(most)
+
+
+# replicas
+
+def replicas(memories: DataFrame, key: str, now: int) -> DataFrame:
+    """memory_id, copy, pool, payload (AES-GCM), sha256, created_ts: as many copies as the memory's tier asks for, placed in turn."""
+    copies = S.backup_copies(F.col("importance"), S.days_between(now, F.col("created_ts")))
+    record = F.to_json(F.struct("id", "kind", "content"))
+    df = memories.select(F.col("id").alias("memory_id"), F.aes_encrypt(record.cast("binary"), F.sha2(F.lit(key), 256).substr(1, 32).cast("binary"), F.lit("GCM")).alias("payload"), copies.alias("n"))
+    out = df.select("memory_id", "payload", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    return out.select("memory_id", "copy", F.element_at(F.array(*map(F.lit, POOLS)), F.col("copy") % len(POOLS) + 1).alias("pool"), "payload", F.sha2("payload", 256).alias("sha256"), F.lit(now).cast("long").alias("created_ts"), F.lit(False).alias("pending_upload"))
+
+
+def restored(shards: DataFrame, key: str) -> DataFrame:
+    """memory_id and record from any whole copy of each memory's latest generation whose digest and id are right."""
+    latest = shards.withColumn("last", F.max("created_ts").over(Window.partitionBy("memory_id"))).filter(F.col("created_ts") == F.col("last"))
+    whole = latest.filter(F.sha2("payload", 256) == F.col("sha256"))
+    plain = F.try_aes_decrypt("payload", F.sha2(F.lit(key), 256).substr(1, 32).cast("binary"), F.lit("GCM")).cast("string")
+    right = whole.select("memory_id", "copy", plain.alias("record")).filter(F.get_json_object("record", "$.id") == F.col("memory_id"))
+    return right.groupBy("memory_id").agg(F.min_by("record", "copy").alias("record"))
+
+
+def shard_stats(shards: DataFrame) -> DataFrame:
+    return shards.groupBy("pool").agg(F.count("*").alias("shards"), F.countDistinct("memory_id").alias("memories"), F.count_if("pending_upload").alias("pending"))
+
+
+def snapshot(df: DataFrame, path: str, version: int, keep: int = 7, shrink: float = 0.5, least: int = 1_000_000) -> bool:
+    """Write ``path/v=version`` and drop all but the ``keep`` newest; a snapshot that shrank by half is kept beside, without rotation."""
+    spark = df.sparkSession
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    size = lambda p: fs.getContentSummary(p).getLength()
+    old = sorted((s.getPath() for s in fs.listStatus(base)), key=lambda p: int(p.getName().partition("=")[2])) if fs.exists(base) else []
+    df.write.parquet(f"{path}/v={version}")
+    new = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={version}")
+    if old and size(old[-1]) > least and size(new) < shrink * size(old[-1]):
+        return False
+    for p in [*old, new][:-keep]:
+        fs.delete(p, True)
+    return True
+
+
+def vault(concepts: DataFrame, path: str) -> None:
+    """One markdown file's text a row (name, content), written as text partitioned by name."""
+    body = concepts.select(F.col("name"), F.concat(F.lit("# "), "name", F.lit("\n\n"), "content").alias("value"))
+    body.write.partitionBy("name").text(path)
+
+
+# the runner
+
+def run_steps(steps: list[tuple[str, Callable[[], object]]], retries: dict[str, list[float]] | None = None, sleep: Callable[[float], None] = time.sleep) -> dict:
+    """Run steps in order; a step is tried again after each of its pauses. The receipt names every step, its time, and where it stopped."""
+    receipt: dict = {"status": "ok", "steps": []}
+    for name, step in steps:
+        pauses, began = list((retries or {}).get(name, ())), time.time()
+        while True:
+            try:
+                result, error = step(), None
+                break
+            except Exception as e:  # noqa: BLE001  the receipt keeps it
+                result, error = None, f"{type(e).__name__}: {e}"[:300]
+                if not pauses:
+                    break
+                sleep(pauses.pop(0))
+        receipt["steps"].append({"step": name, "seconds": round(time.time() - began, 3), "error": error, "result": result if isinstance(result, (int, str, bool, type(None))) else str(type(result).__name__)})
+        if error:
+            return receipt | {"status": "failed", "failed_step": name}
+    return receipt
+
+
+def write_receipt(spark: SparkSession, receipt: dict, path: str) -> None:
+    """Append the receipt to a job table."""
+    spark.createDataFrame([(int(time.time()), receipt["status"], json.dumps(receipt))], "finished_ts long, status string, receipt string").write.mode("append").parquet(path)
+
+
+def hubless_themes(degrees: DataFrame, concepts: DataFrame, scan: int = 12, most: int = 6) -> DataFrame:
+    """Of the ``scan`` most connected concepts, the first ``most`` that are no hubs."""
+    top = degrees.orderBy(F.desc("degree"), "concept_id").limit(scan)
+    return top.join(concepts.filter("NOT is_hub").select("concept_id"), "concept_id", "left_semi").orderBy(F.desc("degree"), "concept_id").limit(most)
+
+
+def promoted_dangling(dangling: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Unresolved names whose concept exists by now."""
+    return dangling.withColumn("concept_id", S.concept_id(F.col("name"))).join(concepts.select("concept_id"), "concept_id", "left_semi")
+

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamstone.plans import governance_queries, memory_queries
+from loamstone.plans import governance_queries, job_queries, memory_queries
 from loamstone.plans.bridge import duck
 
 FLAGSHIP = "planned_packs"
-_MODULES = (memory_queries, governance_queries)
+_MODULES = (memory_queries, governance_queries, job_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
