@@ -5,7 +5,9 @@ pieces and the end of a text, are learned from the training documents by expecta
 distinct training words, weighted by their counts; the first scores follow the vocabulary's own order (a piece's rank).
 The probability of a word is the sum over all ways to make it of pieces, by a forward recursion in log space; a word is
 spelled with one space before it, pieces don't reach over words, so a text's log probability is the sum of its words' and
-of the end's.
+of the end's. The lattice of a word seen in training has one more edge, the whole word, by Witten and Bell's estimate:
+with N training tokens of V kinds, a word's probability is (count + V * the marginal over pieces) / (N + V). Over all words
+and the end the probabilities sum to one.
 
 All passes over lattices are over distinct words, in vectors over thousands of words at a time. Word statistics are one
 aggregate by word (pre-aggregated in each task). The most frequent words, ``TOP`` at most, are broadcast with their scores;
@@ -238,14 +240,19 @@ def learned_scores(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS)
     return scores
 
 
-def word_scores(words: DataFrame, path: str, scores: np.ndarray) -> DataFrame:
-    """h, c and lp, the log10 marginal of each word."""
+def word_scores(words: DataFrame, path: str, scores: np.ndarray, tokens: int = 0, kinds: int = 0) -> DataFrame:
+    """h, c and lp, the log10 probability of each word given the training corpus' numbers of tokens and kinds."""
     shared = words.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lp = [Lattices(inventory(path), group).marginals(shared.value) for _, _, group in word_groups(b.column("word"))]
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(np.concatenate(lp) / math.log(10) if lp else np.zeros(0))], names=["h", "c", "lp"])
+            parts = [Lattices(inventory(path), group).marginals(shared.value) for _, _, group in word_groups(b.column("word"))]
+            lp = np.concatenate(parts) / math.log(10) if parts else np.zeros(0)
+            if tokens:
+                c = np.asarray(b.column("c"), dtype=np.float64)
+                with np.errstate(divide="ignore"):
+                    lp = np.logaddexp(np.log(c), lp * math.log(10) + math.log(kinds)) / math.log(10) - math.log10(tokens + kinds)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(lp)], names=["h", "c", "lp"])
 
     return words.mapInArrow(run, "h long, c long, lp double")
 
@@ -279,9 +286,10 @@ def scored(docs: DataFrame, path: str, fold: int = 1, folds: int = 5) -> DataFra
     total, kinds = counts.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     train, bottom = total + ends, math.log10(total + ends + 0.5 * (kinds + (ends > 0) + 1))
     scores = learned_scores(counts, path, ends)
-    words = materialize(word_scores(counts, path, scores), "lm-words")
+    words = materialize(word_scores(counts, path, scores, train, kinds + (ends > 0)), "lm-words")
     discard(counts)
-    end_score, end_base = float(scores[-1]) / math.log(10), math.log10(ends + 0.5) - bottom
+    # of the tokens that pieces may begin with, the end has its share of the training tokens
+    end_score, end_base = math.log10(ends / train) if ends else float(scores[-1]) / math.log(10), math.log10(ends + 0.5) - bottom
     shared = docs.sparkSession.sparkContext.broadcast(frequent(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
