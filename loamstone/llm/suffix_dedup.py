@@ -144,7 +144,7 @@ def shared_ranks(docs: DataFrame, length: int) -> np.ndarray:
     sent = docs.mapInArrow(send, "bucket int, tails binary, multi binary")
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     out = np.zeros((1 << BITS) >> 3, np.uint8)
-    for r in sent.repartition(min(n, 1 << BUCKET_BITS), "bucket").mapInArrow(meet, "bucket int, bits binary").toLocalIterator():
+    for r in sent.repartition(min(n, 1 << BUCKET_BITS), "bucket").mapInArrow(meet, "bucket int, bits binary").collect():  # BITS bits in all
         part = np.frombuffer(r.bits, np.uint8)
         out[r.bucket * len(part) : (r.bucket + 1) * len(part)] = part
     return out
@@ -166,46 +166,51 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-_CONTEXT = "rank long, doc_id long, uid long, base int, first short, last short, context binary"
+_CONTEXT = "rank long, doc_id long, uid long, base int, last short, context binary"
 
 
 def contexts(docs: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
     """The windows of each anchor whose rank isn't unique: its bytes, and which window starts it owns.
 
-    ``context`` starts at byte ``base`` of the text; windows start at ``first`` to ``last`` in it. Rows without a context
-    are windows that are repeated for certain.
+    ``context`` starts at byte ``base`` of the text; windows start at 0 to ``last`` in it. Rows without a context are windows
+    that are repeated for certain. ``uid`` is there if ``docs`` have it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
+    plain = "uid" not in docs.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, uids = np.asarray(b.column("doc_id").fill_null(-(1 << 63))), np.asarray(b.column("uid"))
+            ids = np.asarray(b.column("doc_id").fill_null(-(1 << 63)))
+            uids = ids if plain else np.asarray(b.column("uid"))
+            found, texts = [], []
             for lo, _, buf, offs in chunks(*text_buffer(b.column("text")), _CHUNK):
                 row, _, a, z, h = anchors(buf, offs, length)
                 keep = np.flatnonzero(maybe_member_of(shared.value, _slot(h)))
-                if len(keep) == 0:
-                    continue
                 row, a, z, h = row[keep], a[keep], z[keep], h[keep]
-                d, u = ids[lo + row], uids[lo + row]
-                size = z - a + length
                 c = _rolling(buf)
-                e = mixed((c[z + length] - c[a]) * _power(len(c))[1][a] + size.astype(np.uint64))
-                order = np.lexsort((d, e, h))
-                same = np.zeros(len(order), dtype=bool)
-                same[1:] = (h[order][1:] == h[order][:-1]) & (e[order][1:] == e[order][:-1])
-                group = np.cumsum(~same) - 1
-                least = d[order][np.flatnonzero(~same)][group]
-                again = np.empty(len(order), dtype=bool)
-                again[order] = d[order] > least
-                data = buf.tobytes()
-                n = size - length
-                kept = [None if g else data[x : x + s] for g, x, s in zip(again.tolist(), a.tolist(), size.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.where(again, u, to_long(h))), pa.array(d), pa.array(u), pa.array((a - offs[row]).astype(np.int32)), pa.array(np.zeros(len(a), np.int16)), pa.array(n.astype(np.int16)), pa.array(kept, pa.binary())],
-                    names=[f.split()[0] for f in _CONTEXT.split(", ")],
-                )
-
-    return docs.mapInArrow(run, _CONTEXT)
+                e = mixed((c[z + length] - c[a]) * _power(len(c))[1][a] + (z - a + length).astype(np.uint64))
+                found.append((h, e, ids[lo + row], uids[lo + row], a - offs[row], z - a, a, np.full(len(a), len(texts))))
+                texts.append(buf)
+            if not found:
+                continue
+            h, e, d, u, base, last, a, text = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((d, e, h))
+            head = np.ones(len(order), dtype=bool)
+            head[1:] = (h[order][1:] != h[order][:-1]) | (e[order][1:] != e[order][:-1])
+            least = d[order][head][np.cumsum(head) - 1] if len(order) else d
+            again = np.empty(len(order), dtype=bool)
+            again[order] = d[order] > least
+            columns = [np.where(again, u, to_long(h)), d, u, base.astype(np.int32), last.astype(np.int16)]
+            names = [f.split()[0] for f in _CONTEXT.split(", ")]
+            for k, buf in enumerate(texts):
+                lo, hi = np.searchsorted(text, [k, k + 1])
+                data = memoryview(buf)
+                kept = [None if g else data[x : x + s].tobytes() for g, x, s in zip(again[lo:hi].tolist(), a[lo:hi].tolist(), (last[lo:hi] + length).tolist(), strict=True)]
+                arrays = [pa.array(c[lo:hi]) for c in columns] + [pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays([x for x, n in zip(arrays, names, strict=True) if n != "uid" or not plain], names=[n for n in names if n != "uid" or not plain])
+
+    return docs.mapInArrow(run, _CONTEXT.replace("uid long, ", "") if plain else _CONTEXT)
 
 
 def repeated_runs(found: DataFrame, length: int) -> DataFrame:
@@ -229,7 +234,7 @@ def repeated_runs(found: DataFrame, length: int) -> DataFrame:
 
 def _reranked(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     t = t.combine_chunks()
-    rank, doc, uid, base, last = (np.asarray(t.column(c).combine_chunks()) for c in ("rank", "doc_id", "uid", "base", "last"))
+    rank, doc, uid, base, last = (np.asarray(t.column(c).combine_chunks()) for c in ("rank", "doc_id", "uid" if "uid" in t.column_names else "doc_id", "base", "last"))
     base = base.astype(np.int64)
     col = t.column("context").combine_chunks()
     sure = np.asarray(col.is_null())
@@ -316,12 +321,15 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
 
     A cut may fall inside a character; ``kept`` then has a replacement character there, ``kept_sha256`` is of the bytes.
     """
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
-    bits = shared_ranks(docs.select("doc_id", "text"), length)
-    found = contexts(docs, bits, length)
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    bits = shared_ranks(docs, length)
+    # rows are told apart by doc_id, or by a hash of id and text where an id is null or there twice
+    single = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
+    docs = docs.withColumn("uid", F.col("doc_id") if single else F.xxhash64("doc_id", "text"))
+    found = contexts(docs.drop("uid") if single else docs, bits, length)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = repeated_runs(found.repartition(n, "rank").sortWithinPartitions("rank"), length)
-    spans = materialize(runs.distinct().groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "suffix-runs")
+    spans = materialize(runs.groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "suffix-runs")
     likely = docs.sparkSession.sparkContext.broadcast(member_bits(spans.select("uid"), "uid"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

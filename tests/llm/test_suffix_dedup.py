@@ -38,4 +38,6 @@ def test_equals_brute_force(spark):
     want = brute(rows)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
     assert deduplicated(docs).count() == len(rows) + 1
+    single = deduplicated(frame(spark, rows, repeat=False), keep_text=False)
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in single.collect()} == want
     assert deduplicated(docs.limit(0)).count() == 0
