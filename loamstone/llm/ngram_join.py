@@ -8,7 +8,7 @@ are joined. Steps:
    order gives the same links, a rare-first one gives few candidates.
 2. Each class emits its prefix in that order: the first ``n - ceil(t n) + 1`` shingles. Two sets of similarity t share one
    of them. Prefix entries are joined on the shingle; the length filter and the positional filter are part of the join.
-3. The suffix filter compares 256-bit parity signatures of the whole sets, whose differing bits can't outnumber the
+3. The suffix filter compares 1024-bit parity signatures of the whole sets, whose differing bits can't outnumber the
    differing shingles. Each pair that is left is verified once, by exact intersection.
 4. Classes linked in this way form components (large-star/small-star rounds over the links, in Spark).
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from loamstone.llm.counters import maybe_member, member_bits, summed_counters
 from loamstone.llm.kernel import LOWER, chunks, hash_spans, list_array, mixed, shingle_rows, text_buffer, to_long, word_spans
 
 SKETCH_BITS = 22
+#: Bits of the parity signature, and of the folded one that prefix entries carry.
+SIG_BITS, FOLDED_BITS = 1024, 256
 
 
 def ceil_share(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -76,14 +79,15 @@ def _signed(rows: list[np.ndarray], t: Fraction, sketch: np.ndarray, shift: np.u
     off = np.concatenate([[0], np.cumsum(n)])
     h = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
     m = mixed(h)
-    run1, run2 = np.concatenate([[0], np.cumsum(m, dtype=np.uint64)]).astype(np.uint64), np.concatenate([[0], np.cumsum(mixed(m), dtype=np.uint64)]).astype(np.uint64)
+    zero = np.zeros(1, np.uint64)
+    run1, run2 = np.concatenate([zero, np.cumsum(m, dtype=np.uint64)]), np.concatenate([zero, np.cumsum(mixed(m), dtype=np.uint64)])
     k1, k2 = run1[off[1:]] - run1[off[:-1]], run2[off[1:]] - run2[off[:-1]]
     rank = sketch[(h >> shift).astype(np.int64)]
     size = np.where(n > 0, n - ceil_share(n, t) + 1, 0)
-    prefix, sig = [], np.zeros((len(rows), 256), dtype=np.uint8)
+    prefix = []
     doc = np.repeat(np.arange(len(rows)), n)
-    flip = np.bincount(doc * 256 + (m & np.uint64(255)).astype(np.int64), minlength=256 * len(rows)) if len(h) else np.zeros(256 * len(rows), np.int64)
-    sig = np.packbits((flip & 1).astype(np.uint8).reshape(-1, 256), axis=1, bitorder="little").view(np.int64)
+    flip = np.bincount(doc * SIG_BITS + (m & np.uint64(SIG_BITS - 1)).astype(np.int64), minlength=SIG_BITS * len(rows))
+    sig = np.packbits((flip & 1).astype(np.uint8).reshape(-1, SIG_BITS), axis=1, bitorder="little").view(np.int64)
     for a, b, p in zip(off[:-1].tolist(), off[1:].tolist(), size.tolist(), strict=True):
         own, r = h[a:b], rank[a:b]
         order = np.argsort(r, kind="stable")[:p]  # the hashes ascend already
@@ -98,10 +102,18 @@ def _least_common(x: Column, y: Column, t: Fraction) -> Column:
     return F.floor((top - top % pq) / pq)
 
 
-def _fits(t: Fraction) -> Column:
-    """Length and suffix filters of a pair with n_a, n_b, sig_a, sig_b."""
+def _folded() -> list[Column]:
+    """Columns s0, s1, ...: the signature folded to FOLDED_BITS; folding parities gives parities."""
+    step = FOLDED_BITS // 64
+    fold = lambda i: reduce(lambda x, y: x.bitwiseXOR(y), [F.get("sig", F.lit(j)) for j in range(i, SIG_BITS // 64, step)])
+    return [fold(i).alias(f"s{i}") for i in range(step)]
+
+
+def _fits(t: Fraction, folded: bool = False) -> Column:
+    """Length and suffix filters of a pair with n_a, n_b, and sig_a, sig_b or the folded signatures."""
     p, q = t.numerator, t.denominator
-    apart = sum((F.bit_count(F.get("sig_a", F.lit(i)).bitwiseXOR(F.get("sig_b", F.lit(i)))) for i in range(4)), F.lit(0))
+    words = [(F.col(f"s{i}_a"), F.col(f"s{i}_b")) for i in range(FOLDED_BITS // 64)] if folded else [(F.get("sig_a", F.lit(i)), F.get("sig_b", F.lit(i))) for i in range(SIG_BITS // 64)]
+    apart = reduce(lambda x, y: x + y, [F.bit_count(x.bitwiseXOR(y)) for x, y in words])
     return (F.col("n_a") * q >= F.col("n_b") * p) & (F.col("n_b") * q >= F.col("n_a") * p) & (apart <= F.col("n_a") + F.col("n_b") - 2 * _least_common(F.col("n_a"), F.col("n_b"), t))
 
 
@@ -110,16 +122,14 @@ def _side(df: DataFrame, s: str) -> DataFrame:
 
 
 def shared_entries(reps: DataFrame) -> DataFrame:
-    """The prefix entries (tok, id, pos, n, sig) whose shingle is in two prefixes or more, with ``center``: where it comes first."""
+    """The prefix entries (tok, id, pos) whose shingle is in two prefixes or more, with ``center``: where it comes first."""
     entries = reps.select(F.col("doc_id").alias("id"), F.posexplode("prefix").alias("pos", "tok"))
     many = entries.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("pos", "id")).alias("first")).filter("c > 1").select("tok", F.col("first.id").alias("center"))
-    met = skew_join(entries, many, ["tok"])
-    return skew_join(met, reps.select(F.col("doc_id").alias("id"), "n", "sig"), ["id"])
+    return skew_join(entries, many, ["tok"])
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have similarity t or more, with the intersection's size; each is compared once."""
-    pairs = materialize(pairs.select("a", "b").distinct(), "ngram-near")
+    """The pairs (a, b), each there once, whose shingle sets have similarity t or more, with the intersection's size."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     likely = docs.sparkSession.sparkContext.broadcast(member_bits(wanted, "doc_id"))
 
@@ -129,14 +139,12 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFram
             for lo, hi, rows in document_shingles(batch, k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), list_array(rows)], names=["doc_id", "set"])
 
-    sets = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>")
-    sets = materialize(sets.join(wanted, "doc_id", "left_semi"), "ngram-sets")
+    sets = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>"), "ngram-sets")
     with_a = skew_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), ["a"])
     full = skew_join(with_a, sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), ["b"])
     both = full.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"), (F.size("set_a") + F.size("set_b")).cast("long").alias("total"))
     out = materialize(both.filter(F.col("common") * t.denominator >= (F.col("total") - F.col("common")) * t.numerator).groupBy("a", "b").agg(F.max("common").alias("common")), "ngram-links")
     discard(sets)
-    discard(pairs)
     return out
 
 
@@ -149,21 +157,28 @@ def _star_pairs(posts: DataFrame, reps: DataFrame, t: Fraction) -> DataFrame:
     """Of each shingle, its center with one entry (the earliest) of each other component: pairs that pass the filters."""
     heads = posts.groupBy("tok", "center", "comp").agg(F.min(F.struct("pos", "id")).alias("head")).select("center", F.col("head.id").alias("id"))
     pairs = heads.filter("id <> center").select(F.least("center", "id").alias("id_a"), F.greatest("center", "id").alias("id_b")).distinct()
+    return _sifted(pairs, reps, t)
+
+
+def _sifted(pairs: DataFrame, reps: DataFrame, t: Fraction) -> DataFrame:
+    """Those of the pairs (id_a, id_b) that pass the length and suffix filters, as (a, b)."""
     info = reps.select(F.col("doc_id").alias("id"), "n", "sig")
     return skew_join(skew_join(pairs, _side(info, "a"), ["id_a"]), _side(info, "b"), ["id_b"]).filter(_fits(t)).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def _cross_pairs(posts: DataFrame, t: Fraction, within: bool = False) -> DataFrame:
+def _cross_pairs(posts: DataFrame, reps: DataFrame, t: Fraction, within: bool = False) -> DataFrame:
     """All pairs of entries of one shingle in different components that pass the length, positional and suffix filters."""
     p, q = t.numerator, t.denominator
     open_ = posts if within else skew_join(posts, posts.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("tok"), ["tok"])
-    lean = materialize(open_.select("tok", "id", "pos", "n", "sig", "comp"), "ngram-open")
+    lean = skew_join(open_.select("tok", "id", "pos", "comp"), reps.select(F.col("doc_id").alias("id"), "n", *_folded()), ["id"])
+    lean = materialize(lean, "ngram-open")
     a, b = _side(lean, "a"), _side(lean, "b")
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    on = (F.col("tok_a") == F.col("tok_b")) & (F.col("id_a") < F.col("id_b")) & (room * (p + q) >= (F.col("n_a") + F.col("n_b")) * p) & _fits(t)
+    on = (F.col("tok_a") == F.col("tok_b")) & (F.col("id_a") < F.col("id_b")) & (room * (p + q) >= (F.col("n_a") + F.col("n_b")) * p) & _fits(t, folded=True)
     if not within:
         on = on & (F.col("comp_a") != F.col("comp_b"))
-    return a.join(b, on).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    pairs = a.join(b, on).select("id_a", "id_b").distinct()
+    return _sifted(pairs, reps, t)
 
 
 def all_links(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -171,7 +186,7 @@ def all_links(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5))
     t = Fraction(*threshold)
     _, _, reps = _classes(docs, k, t)
     posts = shared_entries(reps).withColumn("comp", F.col("id"))
-    return verified(_cross_pairs(posts, t, within=True), docs, k, t)
+    return verified(materialize(_cross_pairs(posts, reps, t, within=True).distinct(), "ngram-near"), docs, k, t)
 
 
 def _classes(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -193,13 +208,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
     t = Fraction(*threshold)
     signed, classes, reps = _classes(docs, k, t)
     posts = materialize(shared_entries(reps), "ngram-posts")
-    found = verified(_star_pairs(posts.withColumn("comp", F.col("id")), reps, t), docs, k, t)
-    named = materialize(components(found), "ngram-components")
-    for step in (lambda x: _star_pairs(x, reps, t), lambda x: _cross_pairs(x, t)):
-        more = verified(step(_named(posts, named)), docs, k, t)
-        if not more.isEmpty():
-            found = found.unionByName(more)
+    named = tried = found = None
+    for step in (_star_pairs, _star_pairs, _cross_pairs):
+        pairs = step(posts.withColumn("comp", F.col("id")) if named is None else _named(posts, named), reps, t).distinct()
+        if tried is not None:  # each pair is verified once
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "ngram-near")
+        more = verified(pairs, docs, k, t)
+        if named is None or not more.isEmpty():
+            found = more if found is None else found.unionByName(more)
             named = materialize(components(found), "ngram-components")
+        tried = pairs if tried is None else tried.unionByName(pairs)
     member = skew_join(signed.select("doc_id", "n", "k1", "k2"), classes, ["n", "k1", "k2"], "left")
     member = member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     out = skew_join(member, named.withColumnRenamed("id", "class_id"), ["class_id"], "left")
