@@ -16,6 +16,7 @@ columns of the same name, other columns stay.
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -144,4 +145,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     passed = docs.filter(cascade(rules).isNull())
     marked = with_repeats(passed.withColumn("__words", _words(F.coalesce(F.col("text"), F.lit("")))), "__words", "__repeats")
     n = F.size("__words")
+    # the observation keeps the filter above the measures; pushed below them it would repeat their expressions many times over
+    marked = marked.observe(f"measured-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
     return marked.filter((n >= 20) & (100 * F.col("__repeats") <= 30 * n)).select(*docs.columns)
