@@ -6,7 +6,7 @@ of every ``length``-byte window, the anchor is the position whose GRAM-byte pref
 equals). Equal windows have equal anchors at equal offsets, so nothing is lost.
 
 1. Offset 0: each task sends the sorted distinct anchor ranks of its texts, packed; a rank held by one document only is
-   unique and drops out. The others set bits of a table of fixed size (BITS), which is broadcast.
+   unique and drops out. The others set bits of a table of fixed size, which is broadcast.
 2. Growing offsets: an anchor that isn't unique sends its windows' bytes on either side. Spark sorts by anchor rank; in each
    rank, contexts are ranked (equal contexts have all windows equal), and contexts that are still apart are reranked by
    (rank of the first half, rank of the second half) of each window up to ``length``. A window is repeated if its rank
@@ -31,12 +31,10 @@ from pyspark.sql import functions as F
 from loamstone.llm.common import materialize, skew_join
 from loamstone.llm.counters import maybe_member, maybe_member_of, member_bits
 from loamstone.llm.kernel import chunks, mixed, text_buffer, to_long
+from loamstone.llm.shared_hashes import shared_hashes, slot_of
 
 LENGTH = 50
 GRAM = 20
-#: Shared-rank bits: 16 MB, whatever the corpus. When they fill up, more unique anchors go on to step 2.
-BITS = 27
-BUCKET_BITS = 10
 _CHUNK = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -98,74 +96,6 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np
     return row[at], owner[at], start[at], start[last], h[owner[at]]
 
 
-def shared_ranks(docs: DataFrame, length: int) -> np.ndarray:
-    """Bits over the ranks that anchors of two documents or more have."""
-    keep = BITS - BUCKET_BITS
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found, ids = [], np.asarray(b.column("doc_id").fill_null(-(1 << 63)))
-            for lo, _, buf, offs in chunks(*text_buffer(b.column("text")), _CHUNK):
-                row, _, _, _, h = anchors(buf, offs, length)
-                pair = np.stack([h, ids[lo + row].view(np.uint64)], axis=1) if len(h) else np.zeros((0, 2), np.uint64)
-                found.append(pair)
-            pair = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
-            order = np.lexsort((pair[:, 1], pair[:, 0]))
-            h, d = pair[order, 0], pair[order, 1]
-            head = np.ones(len(h), dtype=bool)
-            head[1:] = h[1:] != h[:-1]
-            other = np.zeros(len(h), dtype=bool)
-            other[1:] = ~head[1:] & (d[1:] != d[:-1])
-            at = np.flatnonzero(head)
-            multi = np.add.reduceat(other, at) > 0 if len(at) else np.zeros(0, bool)
-            u = h[at]
-            cut = np.searchsorted((u >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), np.arange((1 << BUCKET_BITS) + 1))
-            # 40 bits of a rank below the bucket's: a false match only sends an anchor on
-            tail = ((u << np.uint64(BUCKET_BITS)) >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            rows = [(k, tail[x:y].tobytes(), np.packbits(multi[x:y]).tobytes()) for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if y > x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "tails", "multi"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        for b in batches:
-            for k, t, f in zip(b.column("bucket").to_pylist(), b.column("tails").to_pylist(), b.column("multi").to_pylist(), strict=True):
-                x = np.zeros((len(t) // 5, 8), np.uint8)
-                x[:, :5] = np.frombuffer(t, np.uint8).reshape(-1, 5)
-                held.setdefault(k, []).append((x.view("<u8")[:, 0], np.unpackbits(np.frombuffer(f, np.uint8), count=len(x)).astype(bool)))
-                if len(held[k]) > 64:
-                    held[k] = [_merged(held[k])]
-        for k, parts in held.items():
-            t, multi = _merged(parts)
-            table = np.zeros(1 << keep, bool)
-            table[(t[multi] >> np.uint64(40 - keep)).astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits"])
-
-    sent = docs.mapInArrow(send, "bucket int, tails binary, multi binary")
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    out = np.zeros((1 << BITS) >> 3, np.uint8)
-    for r in sent.repartition(min(n, 1 << BUCKET_BITS), "bucket").mapInArrow(meet, "bucket int, bits binary").collect():  # BITS bits in all
-        part = np.frombuffer(r.bits, np.uint8)
-        out[r.bucket * len(part) : (r.bucket + 1) * len(part)] = part
-    return out
-
-
-def _merged(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ranks of a bucket, and which of them more than one part or document has."""
-    t, m = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(t, kind="stable")
-    t, m = t[order], m[order]
-    head = np.ones(len(t), dtype=bool)
-    head[1:] = t[1:] != t[:-1]
-    at = np.flatnonzero(head)
-    count = np.diff(np.append(at, len(t)))
-    return t[at], (count > 1) | (np.add.reduceat(m, at) > 0 if len(at) else np.zeros(0, bool))
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
-
-
 _CONTEXT = "rank long, doc_id long, uid long, base int, last short, context binary"
 
 
@@ -186,7 +116,7 @@ def contexts(docs: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
             found, texts = [], []
             for lo, _, buf, offs in chunks(*text_buffer(b.column("text")), _CHUNK):
                 row, _, a, z, h = anchors(buf, offs, length)
-                keep = np.flatnonzero(maybe_member_of(shared.value, _slot(h)))
+                keep = np.flatnonzero(maybe_member_of(shared.value, slot_of(h)))
                 row, a, z, h = row[keep], a[keep], z[keep], h[keep]
                 c = _rolling(buf)
                 e = mixed((c[z + length] - c[a]) * _power(len(c))[1][a] + (z - a + length).astype(np.uint64))
@@ -322,7 +252,12 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
     A cut may fall inside a character; ``kept`` then has a replacement character there, ``kept_sha256`` is of the bytes.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    bits = shared_ranks(docs, length)
+
+    def ranks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, _, _, _, h = anchors(buf, offs, length)
+        return row, h
+
+    bits = shared_hashes(docs, ranks)
     # rows are told apart by doc_id, or by a hash of id and text where an id is null or there twice
     single = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
     docs = docs.withColumn("uid", F.col("doc_id") if single else F.xxhash64("doc_id", "text"))
