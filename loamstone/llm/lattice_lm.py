@@ -268,8 +268,10 @@ def frequent(words: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray,
         least = r.least
     if least is None:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-    got = words.filter(F.col("c") >= least).toPandas().sort_values("h", key=lambda h: h.to_numpy().view(np.uint64))
-    return got.h.to_numpy().view(np.uint64), got.c.to_numpy(), got.lp.to_numpy()
+    got = words.filter(F.col("c") >= least).select("h", "c", "lp").toArrow().combine_chunks()
+    h, c, lp = (got.column(k).to_numpy() for k in ("h", "c", "lp"))
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], c[order], lp[order]
 
 
 def scored(docs: DataFrame, path: str, fold: int = 1, folds: int = 5) -> DataFrame:

@@ -67,7 +67,8 @@ def test_scores_equal_brute_force(spark, path):
         spelled = [x.encode() for x in words(lower(t))]
         if len(spelled) < 200:
             lp = m.Lattices(inv, spelled).marginals(scores) if spelled else []
-            want = sum(math.log10((c[w.decode()] + v * math.exp(x)) / (n + v)) for w, x in zip(spelled, lp)) + math.log10(c[None] / n)
+            log = lambda k: math.log(k) if k else -math.inf
+            want = sum((np.logaddexp(log(c[w.decode()]), math.log(v) + x) - math.log(n + v)) / math.log(10) for w, x in zip(spelled, lp)) + math.log10(c[None] / n)
             assert math.isclose(got[i].score, want, rel_tol=1e-5)
     mean = lambda k: sum(getattr(r, k) for r in got.values() if r.held_out)
     assert mean("score") > -1e9 and math.isfinite(mean("score"))
