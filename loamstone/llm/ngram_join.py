@@ -226,11 +226,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
 
 
 def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id; columns as they were, one row of a repeated id's."""
-    member = near_duplicates(docs, k, threshold)
-    member = materialize(member.select("doc_id", "component_id"), "ngram-member")
-    gone = member.filter("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if member.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id"])
+    """``docs`` without the documents whose component has a smaller doc_id; columns as they were.
+
+    Rows with a null doc_id, and different texts under one doc_id, are documents of their own. Of a component the smallest
+    doc_id stays (null comes last), and of a repeated id's rows in it one. A blank text is its own component: of its rows
+    one per doc_id stays, and every one with a null doc_id.
+    """
+    ids = docs.select("doc_id").groupBy("doc_id").count()
+    if ids.filter("doc_id IS NULL OR count > 1").isEmpty():
+        member = materialize(near_duplicates(docs, k, threshold).select("doc_id", "component_id"), "ngram-member")
+        gone = member.filter("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-rows")
+    member = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, threshold)
+    member = materialize(member.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id"), "ngram-member")
+    named = rows.select("__row", "doc_id").join(member, "__row")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first")
+    best = named.filter("n_shingles > 0").groupBy("component_id").agg(order).select("first.__row")
+    blank = named.filter("n_shingles = 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("__row").alias("__row")).select("__row")
+    loose = named.filter("n_shingles = 0 AND doc_id IS NULL").select("__row")
+    return rows.join(best.unionByName(blank).unionByName(loose), "__row", "left_semi").select(*docs.columns)

@@ -47,3 +47,11 @@ def test_components_of_chains_and_stars(spark):
     got = {r.id: r.component_id for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     want = defaultdict(int, {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {200: 150, 150: 150})
     assert got == dict(want)
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    say = lambda s: " ".join(f"{s}{i}" for i in range(20))
+    rows = [(None, say("a")), (None, say("b")), (None, say("b")), (5, say("c")), (5, say("d")), (5, say("d")), (3, say("e")), (9, say("d")), (2, say("f")), (None, say("f")), (None, say("f") + " end")]
+    rows += [(7, ""), (7, ""), (7, say("g")), (None, ""), (None, None), (8, " ")]
+    got = Counter((r.doc_id, r.text) for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == Counter([(None, say("a")), (None, say("b")), (5, say("c")), (5, say("d")), (3, say("e")), (2, say("f")), (7, ""), (7, say("g")), (None, ""), (None, None), (8, " ")])
