@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamstone.llm.common import arrow_map
 from loamstone.llm.kernel import SPACE, chunks, distinct, gather_bytes, hash_spans, text_buffer
 
 #: Bytes of texts whose letters, digits and white space every Unicode version and pattern engine tells alike: printable ASCII,
@@ -225,7 +226,7 @@ def _rows(df: DataFrame, out: list[T.StructField], work) -> DataFrame:
                 arrays = [c.slice(lo, hi - lo) for c in own] + cols
                 yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return df.mapInArrow(run, schema)
+    return df.transform(arrow_map, run, schema)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -2,18 +2,52 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of an Arrow batch on its way to a Python worker, where the session sets no bound of its own.
+BATCH_BYTES = 8 << 20
+_LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+
+
+def _release() -> None:
+    """Give back to the system what the last task's arrays took; Python workers are used again and again."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` over batches of bounded bytes; the worker's memory is given back when a task ends."""
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    conf = df.sparkSession.conf
+    if conf.get(_LIMIT, _DEFAULT) == _DEFAULT:
+        conf.set(_LIMIT, f"{BATCH_BYTES}b")
+    return df.mapInArrow(bounded, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and all is local (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = getattr(spark, "_loamstone_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="loamstone-")

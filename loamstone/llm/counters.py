@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loamstone.llm.common import arrow_map
+
 PARTS = 16
 #: Membership bits: 1 MB, whatever the number of members. When they fill up, more non-members pass; members always do.
 MEMBER_BITS = 23
@@ -38,7 +40,7 @@ def summed_counters(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray],
                     total[p] = _widen(zlib.decompress(c))
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([finish(c).tobytes() for c in total.values()], pa.binary())], names=["part", "counts"])
 
-    rows = df.mapInArrow(run, "part int, counts binary").repartition(PARTS, "part").mapInArrow(add, "part int, counts binary").collect()
+    rows = df.transform(arrow_map, run, "part int, counts binary").repartition(PARTS, "part").transform(arrow_map, add, "part int, counts binary").collect()
     empty = finish(np.zeros(part, dtype=np.int64))
     out = np.tile(empty, PARTS)
     for r in rows:

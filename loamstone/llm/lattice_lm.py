@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.llm.bpe import byte_alphabet
-from loamstone.llm.common import discard, materialize
+from loamstone.llm.common import arrow_map, discard, materialize
 from loamstone.llm.counters import summed_counters
 from loamstone.llm.kernel import LOWER, chunks, hash_spans, text_buffer, to_long, word_spans
 
@@ -217,7 +217,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     hs, cs, ws = hs[:0], cs[:0], ws[:0]
         yield batch()
 
-    found = docs.select("held_out", "text").mapInArrow(run, "h long, word binary, c long")
+    found = docs.select("held_out", "text").transform(arrow_map, run, "h long, word binary, c long")
     return found.groupBy("h", "word").agg(F.sum("c").alias("c"))
 
 
@@ -254,7 +254,7 @@ def word_scores(words: DataFrame, path: str, scores: np.ndarray, tokens: int = 0
                     lp = np.logaddexp(np.log(c), lp * math.log(10) + math.log(kinds)) / math.log(10) - math.log10(tokens + kinds)
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(lp)], names=["h", "c", "lp"])
 
-    return words.mapInArrow(run, "h long, c long, lp double")
+    return words.transform(arrow_map, run, "h long, c long, lp double")
 
 
 def frequent(words: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -319,7 +319,7 @@ def scored(docs: DataFrame, path: str, fold: int = 1, folds: int = 5) -> DataFra
                 ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"])
                 row += hi - lo
 
-    seen = docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>")
+    seen = docs.transform(arrow_map, run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>")
     seen = materialize(seen, "lm-seen")  # fixes the row numbers too
     rest = seen.select("row", F.explode("rest").alias("h")).join(words, "h")
     sums = rest.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(F.col("c") + F.lit(0.5)) - F.lit(bottom)).alias("b"), F.sum("lp").alias("s"))

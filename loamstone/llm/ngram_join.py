@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import discard, materialize, skew_join
+from loamstone.llm.common import arrow_map, discard, materialize, skew_join
 from loamstone.llm.components import components
 from loamstone.llm.counters import maybe_member, member_bits, summed_counters
 from loamstone.llm.kernel import LOWER, chunks, hash_spans, list_array, mixed, shingle_rows, text_buffer, to_long, word_spans
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, k: int, t: Fraction, sketch: np.ndarray) -> Data
             for lo, hi, rows in document_shingles(b, k):
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *_signed(rows, t, shared.value, shift)], names=["doc_id", "n", "k1", "k2", "sig", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, k1 long, k2 long, sig array<long>, prefix array<long>")
+    return docs.select("doc_id", "text").transform(arrow_map, run, "doc_id long, n long, k1 long, k2 long, sig array<long>, prefix array<long>")
 
 
 def _signed(rows: list[np.ndarray], t: Fraction, sketch: np.ndarray, shift: np.uint64) -> list[pa.Array]:
@@ -139,7 +139,7 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFram
             for lo, hi, rows in document_shingles(batch, k):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), list_array(rows)], names=["doc_id", "set"])
 
-    sets = materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<long>"), "ngram-sets")
+    sets = materialize(docs.select("doc_id", "text").transform(arrow_map, run, "doc_id long, set array<long>"), "ngram-sets")
     with_a = skew_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), ["a"])
     full = skew_join(with_a, sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), ["b"])
     both = full.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"), (F.size("set_a") + F.size("set_b")).cast("long").alias("total"))

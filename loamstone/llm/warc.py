@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import new_path, skew_join
+from loamstone.llm.common import arrow_map, new_path, skew_join
 
 MIN_REVISIT = 100
 STEP = 1 << 16
@@ -93,7 +93,7 @@ def write(pages: DataFrame, path: str, records: int = 20_000, date: str = "1970-
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
 
-    raw = planned(pages).mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    raw = planned(pages).transform(arrow_map, run, "value binary").select(F.col("value").cast("string").alias("value"))
     raw.write.option("lineSep", "\0").option("maxRecordsPerFile", records).option("compression", "none").text(path)
 
 
@@ -224,7 +224,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                     yield batch_of(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "[!_.]*").load(path).select("content")
-    return files.mapInArrow(run, READ_SCHEMA)
+    return files.transform(arrow_map, run, READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
