@@ -1,17 +1,26 @@
-"""Removal of repeated byte strings by sampled prefix doubling.
-
-A suffix array to depth ``length`` (50 bytes) would rank every byte position by its first 1, 2, 4, ... bytes. Here the ranks
-of the first ``GRAM`` bytes come from the bytes themselves, and only sampled positions are ranked over the whole corpus:
-of every ``length``-byte window, the anchor is the position whose GRAM-byte prefix has the smallest hash (the leftmost of
-equals). Equal windows have equal anchors at equal offsets, so nothing is lost.
-
-1. Offset 0: each task sends the sorted distinct anchor ranks of its texts, packed; a rank held by one document only is
-   unique and drops out. The others set bits of a table of fixed size, which is broadcast.
-2. Growing offsets: an anchor that isn't unique sends its windows' bytes on either side. Spark sorts by anchor rank; in each
+"""Removal of repeated byte strings by prefix doubling over sampled positions.
+
+A suffix array to depth ``length`` (50 bytes) would rank every byte position by its first 1, 2, 4, ... bytes; that is 16
+bytes a position and round. Here a position stands for several: of every ``length``-byte window, the anchor is the position
+whose GRAM-byte prefix has the smallest hash (the leftmost of equals). Equal windows have equal anchors at equal offsets, so
+nothing is lost. Ranks are hashes; the ranks of the first GRAM bytes come from the bytes themselves.
+
+1. Past the threshold: texts are cut into blocks where a hash of 8 bytes is the smallest within REGION bytes. A block's rank
+   is that of all bytes of the windows that start in it. Spark sorts the blocks that two documents may have by rank: in
+   all but the smallest document of a rank, the block's windows are repeated for certain and drop out.
+2. Growing offset: every window of an anchor holds the GRAM bytes at the anchor and the next ones on its left, or those and
+   the next ones on its right (half of what is missing). Each anchor that is left has the ranks of these two extensions.
+   Tasks send the distinct ones sorted and packed; a rank that one document has alone is unique and drops out. The others
+   set bits of a table of fixed size, and so do those of very many documents.
+3. Threshold: positions that aren't unique send the rank with the bytes of their windows, and Spark sorts by rank; in each
    rank, contexts are ranked (equal contexts have all windows equal), and contexts that are still apart are reranked by
-   (rank of the first half, rank of the second half) of each window up to ``length``. A window is repeated if its rank
-   holds a smaller doc_id. In a task, only the smallest doc_id of equal contexts is sent: the others are repeated for certain.
-3. Runs of repeated windows are gathered by document, and the covered bytes are cut out. Texts without a run aren't moved.
+   (rank of the first half, rank of the second half) of each window up to ``length``. A hot rank is split: its positions
+   send each window by the rank of its ``length`` bytes. A window is repeated if its rank holds a smaller doc_id. In a task,
+   only the smallest doc_id of equal contexts is sent: the others are repeated for certain.
+4. Runs of repeated windows are gathered by document, and the covered bytes are cut out. Texts without a run aren't moved.
+
+The smallest document that has a window keeps it through step 1: were the window's block repeated, a smaller document would
+have all of the block's windows. So step 3 meets every window at its smallest document.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep everything; rows with the same doc_id never
 repeat each other; repeated rows get equal results; texts of any length are handled whole; null ids count as smaller than
@@ -25,16 +34,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import materialize, skew_join
-from loamstone.llm.counters import maybe_member, maybe_member_of, member_bits
-from loamstone.llm.kernel import chunks, mixed, text_buffer, to_long
-from loamstone.llm.shared_hashes import shared_hashes, slot_of
+from loamstone.llm.common import arrow_map, materialize, skew_join
+from loamstone.llm.counters import maybe_member, member_bits
+from loamstone.llm.kernel import chunks, hash_spans, mixed, text_buffer, to_long
+from loamstone.llm.shared_hashes import Shared, often_of, shared_hashes, shared_of
 
 LENGTH = 50
 GRAM = 20
+#: Occurrences from which on a rank is hot.
+HOT = 1000
+#: Blocks begin more than so many bytes apart, about twice as many on average.
+REGION = 64
 _CHUNK = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
@@ -65,8 +79,49 @@ def _span_hash(c: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mixed((c[at + size] - c[at]) * inv[at])
 
 
-def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows: row, anchor position, first and last window start that the anchor owns, and the anchor's rank (a hash)."""
+def blocks(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Row, first and last window start, and two hashes of each block (of the bytes of all its windows)."""
+    size = offs[1:] - offs[:-1]
+    if size.max(initial=0) < length:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    eight = np.ndarray(shape=(len(buf),), dtype="<u8", buffer=np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(buf)) + REGION * (row + 1)  # rows are set apart, so that a block's start depends on its own text alone
+    wide = len(buf) + REGION * (len(size) + 1)
+    low = (np.uint64(1) << np.uint64(wide.bit_length())) - np.uint64(1)
+    inside = np.arange(len(buf)) + 8 <= offs[1:][row]
+    key = np.full(wide, ~np.uint64(0), dtype=np.uint64)
+    key[place[inside]] = (mixed(eight[inside]) & ~low) | place[inside].astype(np.uint64)
+    m, span = key, 1
+    while span * 2 <= 2 * REGION + 1:
+        m = np.minimum(m[:-span], m[span:])
+        span *= 2
+    rest = 2 * REGION + 1 - span
+    m = np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
+    cut = np.zeros(len(buf), dtype=bool)
+    cut[inside] = m[place[inside] - REGION] == key[place[inside]]
+    cut[offs[:-1][size > 0]] = True
+    start = np.flatnonzero(cut)
+    start = start[start + length <= offs[1:][row[start]]]
+    of = row[start]
+    last = offs[1:][of] - length
+    same = np.flatnonzero(of[1:] == of[:-1])
+    last[same] = start[same + 1] - 1
+    return of, start, last, hash_spans(buf, start, last + length, 1), hash_spans(buf, start, last + length, 2)
+
+
+def unsettled(buf: np.ndarray, offs: np.ndarray, length: int, table: Shared) -> np.ndarray:
+    """Which window starts are in blocks that one document has alone."""
+    _, a, z, h, _ = blocks(buf, offs, length)
+    shared = shared_of(table, h)
+    step = np.zeros(len(buf) + 1, dtype=np.int8)
+    step[a[shared]] += 1
+    step[z[shared] + 1] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) == 0
+
+
+def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all (wanted) windows: row, anchor position, first and last window start that the anchor owns, and the anchor's rank (a hash)."""
     none = np.zeros(0, np.int64)
     size = offs[1:] - offs[:-1]
     if len(buf) < length or size.max(initial=0) < length:
@@ -91,56 +146,171 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np
     new = np.empty(len(owner), dtype=bool)
     new[0] = True
     new[1:] = (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])
+    if wanted is not None:
+        new[1:] |= wanted[start[1:]] != wanted[start[:-1]]
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(owner)) - 1
+    if wanted is not None:
+        fit = wanted[start[at]]
+        at, last = at[fit], last[fit]
     return row[at], owner[at], start[at], start[last], h[owner[at]]
 
 
-_CONTEXT = "rank long, doc_id long, uid long, base int, last short, context binary"
+def extensions(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, wanted: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Row, rank (a hash), first and last window start of each extension of an anchor to one side; and the prefix sums of the hashes."""
+    row, at, first, last, _ = anchors(buf, offs, length, wanted)
+    c = _rolling(buf)
+    reach = (length - GRAM) // 2
+    left, right = np.flatnonzero(first <= at - reach), np.flatnonzero(last > at - reach)
+    p, q = at[left], at[right]
+    rank = np.concatenate([_span_hash(c, p - reach, GRAM + reach), ~_span_hash(c, q, length - reach + 1)])
+    side = np.concatenate([left, right])
+    return row[side], rank, np.concatenate([first[left], np.maximum(first[right], q - reach + 1)]), np.concatenate([np.minimum(last[left], p - reach), last[right]]), c
+
+
+_BLOCK = "h long, e long, doc_id long, uid long, base int, last int, data binary"
+_CONTEXT = "rank long, doc_id long, uid long, base int, last int, context binary"
+
 
+def _batch(schema: str, *columns) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c if k == "binary" else c.astype(np.int64 if k == "long" else np.int32), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-def contexts(docs: DataFrame, bits: np.ndarray, length: int) -> DataFrame:
-    """The windows of each anchor whose rank isn't unique: its bytes, and which window starts it owns.
 
-    ``context`` starts at byte ``base`` of the text; windows start at 0 to ``last`` in it. Rows without a context are windows
-    that are repeated for certain. ``uid`` is there if ``docs`` have it.
+def shared_blocks(docs: DataFrame, length: int) -> tuple[Shared, DataFrame]:
+    """Bits of the blocks that two documents may have, and a table of these blocks' windows: uid, doc_id, base, last, data.
+
+    Without ``data``, the windows from ``base`` to ``base + last`` are repeated for certain; otherwise the document is the
+    smallest that has the block, and ``data`` are its bytes.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
-    plain = "uid" not in docs.columns
+    def of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, _, _, h, _ = blocks(buf, offs, length)
+        return row, h
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = shared_hashes([(docs, of)], HOT)
+    table = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = np.asarray(b.column("doc_id").fill_null(-(1 << 63)))
-            uids = ids if plain else np.asarray(b.column("uid"))
+            ids, uids = np.asarray(b.column("doc_id").fill_null(-(1 << 63))), np.asarray(b.column("uid"))
             found, texts = [], []
             for lo, _, buf, offs in chunks(*text_buffer(b.column("text")), _CHUNK):
-                row, _, a, z, h = anchors(buf, offs, length)
-                keep = np.flatnonzero(maybe_member_of(shared.value, slot_of(h)))
-                row, a, z, h = row[keep], a[keep], z[keep], h[keep]
-                c = _rolling(buf)
-                e = mixed((c[z + length] - c[a]) * _power(len(c))[1][a] + (z - a + length).astype(np.uint64))
+                row, a, z, h, e = blocks(buf, offs, length)
+                keep = np.flatnonzero(shared_of(table.value, h))
+                row, a, z, h, e = (v[keep] for v in (row, a, z, h, e))
                 found.append((h, e, ids[lo + row], uids[lo + row], a - offs[row], z - a, a, np.full(len(a), len(texts))))
                 texts.append(buf)
             if not found:
                 continue
             h, e, d, u, base, last, a, text = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((d, e, h))
-            head = np.ones(len(order), dtype=bool)
-            head[1:] = (h[order][1:] != h[order][:-1]) | (e[order][1:] != e[order][:-1])
-            least = d[order][head][np.cumsum(head) - 1] if len(order) else d
-            again = np.empty(len(order), dtype=bool)
-            again[order] = d[order] > least
-            columns = [np.where(again, u, to_long(h)), d, u, base.astype(np.int32), last.astype(np.int16)]
-            names = [f.split()[0] for f in _CONTEXT.split(", ")]
+            again = _again(h, e, d)
+            if again.any():
+                who, x, y = _joined(u[again], base[again], base[again] + last[again])
+                yield _batch(_BLOCK, who, who, who, who, x, y - x, [None] * len(who))
+            for k, buf in enumerate(texts):
+                own = np.flatnonzero((text == k) & ~again)
+                data = memoryview(buf)
+                kept = [data[x : x + n].tobytes() for x, n in zip(a[own].tolist(), (last[own] + length).tolist(), strict=True)]
+                yield _batch(_BLOCK, to_long(h[own]), to_long(e[own]), d[own], u[own], base[own], last[own], kept)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, least = (None, None), 0  # of the row before
+        for b in batches:
+            h, e, d = (np.asarray(b.column(c)) for c in ("h", "e", "doc_id"))
+            if not len(h):
+                continue
+            head = np.append((h[0], e[0]) != group, (h[1:] != h[:-1]) | (e[1:] != e[:-1]))
+            first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
+            low = np.where(first > 0, d[first], d[0] if head[0] else least)
+            group, least = (h[-1], e[-1]), low[-1]
+            data = b.column("data")
+            gone = np.asarray(data.is_null()) | (d > low)
+            yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("base"), b.column("last"), pa.compute.if_else(pa.array(gone), pa.scalar(None, pa.binary()), data)], names=["uid", "doc_id", "base", "last", "data"])
+
+    rows = docs.transform(arrow_map, send, _BLOCK).repartition("h").sortWithinPartitions("h", "e", "doc_id")
+    return bits, materialize(rows.transform(arrow_map, settle, "uid long, doc_id long, base int, last int, data binary"), "suffix-blocks")
+
+
+def _again(h: np.ndarray, e: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Rows whose pair of hashes a smaller document has too."""
+    order = np.lexsort((d, e, h))
+    head = np.ones(len(order), dtype=bool)
+    head[1:] = (h[order][1:] != h[order][:-1]) | (e[order][1:] != e[order][:-1])
+    out = np.zeros(len(order), dtype=bool)
+    if len(order):
+        out[order] = d[order] > d[order][head][np.cumsum(head) - 1]
+    return out
+
+
+def contexts(rows: DataFrame, shared: Shared, length: int, settled: Shared | None = None) -> DataFrame:
+    """The windows of each extension whose rank isn't unique, of ``rows`` (doc_id, uid, base, text).
+
+    ``context`` starts at byte ``base`` of the text; windows start at 0 to ``last`` in it. Of a hot rank's positions each
+    window is a row of its own: ``rank`` is that of the whole window, ``context`` a second hash of it. Rows without a context
+    are windows that are repeated for certain. Windows of blocks in ``settled`` are left out.
+    """
+    sc = rows.sparkSession.sparkContext
+    table, out = sc.broadcast(shared), sc.broadcast(settled)
+
+    def of_chunk(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
+        row, rank, a, z, c = extensions(buf, offs, length, None if out.value is None else unsettled(buf, offs, length, out.value))
+        keep = np.flatnonzero(shared_of(table.value, rank))
+        row, rank, a, z = row[keep], rank[keep], a[keep], z[keep]
+        e = mixed((c[z + length] - c[a]) * _power(len(c))[1][a] + (z - a + length).astype(np.uint64))
+        hot = often_of(table.value, rank)
+        single = np.zeros(len(row), dtype=bool)
+        if hot.any():
+            n = (z - a + 1)[hot]
+            start = np.repeat(a[hot] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            whole = _span_hash(c, start, length)
+            row, single = np.concatenate([row[~hot], np.repeat(row[hot], n)]), np.concatenate([single[~hot], np.ones(len(start), dtype=bool)])
+            rank, e = np.concatenate([rank[~hot], whole]), np.concatenate([e[~hot], mixed(_span_hash(c, start, length // 2) ^ whole)])
+            a, z = np.concatenate([a[~hot], start]), np.concatenate([z[~hot], start])
+        return [row, rank, e, a, z, single]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, uids, bases = np.asarray(b.column("doc_id").fill_null(-(1 << 63))), np.asarray(b.column("uid")), np.asarray(b.column("base")).astype(np.int64)
+            found, texts = [], []
+            for lo, _, buf, offs in chunks(*text_buffer(b.column("text")), _CHUNK):
+                row, rank, e, a, z, single = of_chunk(buf, offs)
+                found.append((rank, e, ids[lo + row], uids[lo + row], bases[lo + row] + a - offs[row], z - a, a, single, np.full(len(a), len(texts))))
+                texts.append(buf)
+            if not found:
+                continue
+            h, e, d, u, base, last, a, single, text = (np.concatenate(x) for x in zip(*found, strict=True))
+            again = _again(h, e, d)
+            if again.any():  # neighbouring windows are one run
+                who, x, y = _joined(u[again], base[again], base[again] + last[again])
+                yield _batch(_CONTEXT, who, who, who, x, y - x, [None] * len(who))
             for k, buf in enumerate(texts):
-                lo, hi = np.searchsorted(text, [k, k + 1])
+                own = np.flatnonzero((text == k) & ~again)
                 data = memoryview(buf)
-                kept = [None if g else data[x : x + s].tobytes() for g, x, s in zip(again[lo:hi].tolist(), a[lo:hi].tolist(), (last[lo:hi] + length).tolist(), strict=True)]
-                arrays = [pa.array(c[lo:hi]) for c in columns] + [pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays([x for x, n in zip(arrays, names, strict=True) if n != "uid" or not plain], names=[n for n in names if n != "uid" or not plain])
+                kept = [h2 if one else data[x : x + s].tobytes() for one, h2, x, s in zip(single[own].tolist(), _eight(e[own]), a[own].tolist(), (last[own] + length).tolist(), strict=True)]
+                yield _batch(_CONTEXT, to_long(h[own]), d[own], u[own], base[own], last[own], kept)
+
+    return rows.transform(arrow_map, run, _CONTEXT)
 
-    return docs.mapInArrow(run, _CONTEXT.replace("uid long, ", "") if plain else _CONTEXT)
+
+def _eight(e: np.ndarray) -> list[bytes]:
+    data = e.astype("<u8").tobytes()
+    return [data[i : i + 8] for i in range(0, len(data), 8)]
+
+
+def _joined(who: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts a to z, those of one row that overlap or touch joined."""
+    if not len(who):
+        return who, a, z
+    order = np.lexsort((z, a, who))
+    who, a, z = who[order], a[order].astype(np.int64), z[order].astype(np.int64)
+    part = np.cumsum(np.append(0, np.diff(who) != 0)) * (int(z.max(initial=0)) + 2)
+    far = np.maximum.accumulate(part + z)
+    new = np.ones(len(who), dtype=bool)
+    new[1:] = part[1:] + a[1:] > far[:-1] + 1
+    at = np.flatnonzero(new)
+    return who[at], a[at], (far - part)[np.append(at[1:], len(who)) - 1]
 
 
 def repeated_runs(found: DataFrame, length: int) -> DataFrame:
@@ -159,12 +329,12 @@ def repeated_runs(found: DataFrame, length: int) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield from _reranked(rest, length)
 
-    return found.mapInArrow(run, "uid long, a int, z int")
+    return found.transform(arrow_map, run, "uid long, a int, z int")
 
 
 def _reranked(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     t = t.combine_chunks()
-    rank, doc, uid, base, last = (np.asarray(t.column(c).combine_chunks()) for c in ("rank", "doc_id", "uid" if "uid" in t.column_names else "doc_id", "base", "last"))
+    rank, doc, uid, base, last = (np.asarray(t.column(c).combine_chunks()) for c in ("rank", "doc_id", "uid", "base", "last"))
     base = base.astype(np.int64)
     col = t.column("context").combine_chunks()
     sure = np.asarray(col.is_null())
@@ -190,7 +360,7 @@ def _reranked(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         several = np.zeros(len(lead), dtype=bool)
         several[1:] |= r[1:] == r[:-1]
         several[:-1] |= r[1:] == r[:-1]
-        lead = lead[several]
+        lead = lead[several & (offs[1:] - offs[:-1] >= length)[lead]]
         if len(lead):
             n = last[lead] + 1
             first = np.concatenate([[0], np.cumsum(n)])
@@ -226,7 +396,7 @@ def _reranked(t: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
                 if extra:
                     i, x, y = (np.array(v) for v in zip(*extra, strict=True))
                     out.append((uid[i], base[i] + x, base[i] + y))
-    u, a, z = (np.concatenate(v) for v in zip(*out, strict=True))
+    u, a, z = _joined(*(np.concatenate(v) for v in zip(*out, strict=True)))
     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(a.astype(np.int32)), pa.array(z.astype(np.int32))], names=["uid", "a", "z"])
 
 
@@ -253,17 +423,24 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    def ranks(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, _, _, _, h = anchors(buf, offs, length)
-        return row, h
-
-    bits = shared_hashes(docs, ranks)
     # rows are told apart by doc_id, or by a hash of id and text where an id is null or there twice
     single = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
     docs = docs.withColumn("uid", F.col("doc_id") if single else F.xxhash64("doc_id", "text"))
-    found = contexts(docs.drop("uid") if single else docs, bits, length)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = repeated_runs(found.repartition(n, "rank").sortWithinPartitions("rank"), length)
+    settled, held = shared_blocks(docs, length)
+    firsts = held.filter("data IS NOT NULL").select("doc_id", "uid", "base", F.col("data").alias("text"))
+    table = docs.sparkSession.sparkContext.broadcast(settled)
+
+    def left(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return extensions(buf, offs, length, unsettled(buf, offs, length, table.value))[:2]
+
+    def all_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return extensions(buf, offs, length)[:2]
+
+    shared = shared_hashes([(docs, left), (firsts, all_of)], HOT)
+    found = contexts(docs.withColumn("base", F.lit(0)), shared, length, settled).unionByName(contexts(firsts, shared, length))
+    runs = repeated_runs(found.repartition("rank").sortWithinPartitions("rank"), length)
+    sure = held.filter("data IS NULL").select("uid", F.col("base").alias("a"), (F.col("base") + F.col("last")).alias("z"))
+    runs = runs.unionByName(sure)
     spans = materialize(runs.groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "suffix-runs")
     likely = docs.sparkSession.sparkContext.broadcast(member_bits(spans.select("uid"), "uid"))
 
@@ -285,6 +462,6 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
         for b in batches:
             yield b.filter(pa.array(maybe_member(likely.value, b.column("uid"))))
 
-    moved = docs.mapInArrow(filtered, docs.schema)
-    cut = skew_join(moved, spans, ["uid"], "left").select("doc_id", "text", "uid", "runs").mapInArrow(finish, _RESULT)
-    return docs.mapInArrow(finish, _RESULT).unionByName(cut)
+    moved = docs.transform(arrow_map, filtered, docs.schema)
+    cut = skew_join(moved, spans, ["uid"], "left").select("doc_id", "text", "uid", "runs").transform(arrow_map, finish, _RESULT)
+    return docs.transform(arrow_map, finish, _RESULT).unionByName(cut)

@@ -1,8 +1,11 @@
 import hashlib
 import random
 
+import pytest
+
 from tests.llm.helpers import corpus, frame
 
+from loamstone.llm import suffix_dedup
 from loamstone.llm.suffix_dedup import deduplicated
 
 
@@ -25,7 +28,9 @@ def brute(rows, length=50):
     return out
 
 
-def test_equals_brute_force(spark):
+@pytest.mark.parametrize("often", [1000, 3])
+def test_equals_brute_force(spark, monkeypatch, often):
+    monkeypatch.setattr(suffix_dedup, "HOT", often)  # 3: hot ranks are split
     r = random.Random(2)
     shared = ["".join(r.choice("abc é") for _ in range(n)) for n in (49, 50, 51, 80, 200)]
     own = lambda n: "".join(r.choice("defghij ") for _ in range(n))
@@ -41,3 +46,16 @@ def test_equals_brute_force(spark):
     single = deduplicated(frame(spark, rows, repeat=False), keep_text=False)
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in single.collect()} == want
     assert deduplicated(docs.limit(0)).count() == 0
+
+
+def test_null_ids_and_a_long_text(spark):
+    r = random.Random(4)
+    whole = "".join(r.choice("abcdefghij ") for _ in range(300_000))
+    rows = [(None, whole[:400]), (None, whole[1000:1300]), (5, whole), (6, whole[200_000:201_000] + "-" + whole[100:300])]
+    got = {(x.doc_id, x.n_bytes): (x.n_removed, x.n_spans) for x in deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False).collect()}
+    assert got == {(None, 400): (0, 0), (None, 300): (0, 0), (5, 300_000): (700, 2), (6, 1201): (1200, 2)}
+
+
+def test_nothing_repeated(spark):
+    docs = spark.createDataFrame([(i, f"{i} " * 60) for i in range(10, 30)], "doc_id long, text string")
+    assert {(r.n_removed, r.n_spans) for r in deduplicated(docs).collect()} == {(0, 0)}
