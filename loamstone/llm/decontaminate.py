@@ -5,13 +5,15 @@ matter to containment, so a document is first reduced to the shingles that the b
 their hashes, then an exact join). The reduced documents are the domains of the search: they are partitioned by size into
 powers of two. Containment c of an item of q shingles in a domain of at most u means Jaccard similarity of
 ``c q / (u + q - c q)`` or more, from which each (item size class, partition) gets the largest number of rows a band for which
-the chance to miss stays under MISS. Where not even single-row bands reach that, every common shingle makes a candidate, so
-nothing is lost. Candidates are verified by exact containment.
+the chance to miss stays under MISS. Where not even single-row bands reach that, an item's rarest shingles make the
+candidates: of q shingles of which c must be common, one of any q - c + 1 is, so nothing is lost and a shingle that many
+documents have is hardly ever used. Candidates are verified by exact containment.
 
 Words are runs outside ASCII white space and ASCII punctuation, lower case for A-Z. Defined results: null, empty and blank
 texts contain nothing, such items are in nothing; an item of fewer than k words is one shingle, its whole sequence, and is
-sought in documents as that sequence; rows with the same doc_id (item_id) count as one document (item); empty tables give
-no pairs; other columns are left out of ``contained`` and kept by ``without_contained``.
+sought in documents as that sequence; rows with the same doc_id (item_id) count as one document (item), rows without an id
+are in no pair; empty tables give no pairs; other columns are left out of ``contained`` and kept by ``without_contained``,
+which judges each row by itself where ids are null or repeated, and takes items without an id too.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import materialize, skew_join
+from loamstone.llm.common import arrow_map, materialize, skew_join
 from loamstone.llm.counters import maybe_member_of, summed_counters
 from loamstone.llm.kernel import LOWER, chained, chunks, distinct, hash_spans, list_array, mixed, text_buffer, to_long, word_spans
 
@@ -56,7 +58,7 @@ def item_shingles(items: DataFrame, k: int) -> DataFrame:
                 sets = [distinct(chained(h[a:c], int(w))) if w else np.zeros(0, np.uint64) for a, c, w in zip(first[:-1], first[1:], n, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("item_id").slice(lo, hi - lo), pa.array(n, pa.int32()), list_array(sets)], names=["item_id", "width", "set"])
 
-    sets = items.select("item_id", "text").mapInArrow(run, "item_id long, width int, set array<long>")
+    sets = items.select("item_id", "text").transform(arrow_map, run, "item_id long, width int, set array<long>")
     return sets.select("item_id", "width", F.explode("set").alias("h")).distinct()
 
 
@@ -89,7 +91,7 @@ def reduced_documents(docs: DataFrame, shingles: DataFrame, k: int) -> DataFrame
                     pairs = np.unique(np.stack([np.concatenate(docs_of).astype(np.uint64), np.concatenate(found)]), axis=1)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(lo + pairs[0].astype(np.int64))), pa.array(to_long(pairs[1]))], names=["doc_id", "h"])
 
-    maybe = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long")
+    maybe = docs.select("doc_id", "text").transform(arrow_map, run, "doc_id long, h long")
     return skew_join(maybe, shingles.select("h").distinct().withColumn("known", F.lit(True)), ["h"]).select("doc_id", "h").distinct()
 
 
@@ -107,7 +109,7 @@ def _minhash(sets: DataFrame, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(key), b.column("set"), b.column("n"), list_array(list(sig))], names=[key, "set", "n", "sig"])
 
     grouped = sets.groupBy(key).agg(F.collect_list("h").alias("set")).withColumn("n", F.size("set").cast("long"))
-    return grouped.mapInArrow(run, f"{key} long, set array<long>, n long, sig array<long>")
+    return grouped.transform(arrow_map, run, f"{key} long, set array<long>, n long, sig array<long>")
 
 
 def band_rows(q: int, u: int, threshold: tuple[int, int]) -> int:
@@ -120,6 +122,7 @@ def band_rows(q: int, u: int, threshold: tuple[int, int]) -> int:
 
 def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """Pairs doc_id, item_id, n_item (the item's shingles), n_common, where n_common / n_item is ``threshold`` or more."""
+    docs, items = docs.filter("doc_id IS NOT NULL"), items.filter("item_id IS NOT NULL")
     shingles = materialize(item_shingles(items, k), "decon-items")
     small = materialize(reduced_documents(docs, shingles, k), "decon-docs")
     domains = materialize(_minhash(small, "doc_id"), "decon-domains")
@@ -137,7 +140,11 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[in
     plain = rows.filter("r = 0").select("p", "c")
     if not plain.isEmpty():
         d = domains.withColumn("p", part("n")).join(F.broadcast(plain.select("p").distinct()), "p").select("doc_id", "p", F.explode("set").alias("h"))
-        i = queries.withColumn("c", part("n")).join(F.broadcast(plain), "c").select("item_id", "p", F.explode("set").alias("h"))
+        i = queries.withColumn("c", part("n")).join(F.broadcast(plain), "c").select("item_id", "n", "p", F.explode("set").alias("h"))
+        often = small.groupBy("h").agg(F.count("*").alias("df"))
+        rare = F.row_number().over(Window.partitionBy("item_id", "p").orderBy("df", "h"))
+        i = skew_join(i, often, ["h"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("at", rare)
+        i = i.filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold[0] / threshold[1]) + 1).select("item_id", "p", "h")
         pairs = pairs.unionByName(d.join(i, ["p", "h"]).select("doc_id", "item_id"))
     pairs = pairs.distinct()
     with_doc = skew_join(pairs, domains.select("doc_id", F.col("set").alias("doc_set")), ["doc_id"])
@@ -148,5 +155,10 @@ def contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[in
 
 def without_contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """``docs`` without the documents that contain an item."""
-    found = materialize(contained(docs, items, k, threshold).select("doc_id").distinct(), "decon-found")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    named = materialize(items.select(F.monotonically_increasing_id().alias("item_id"), "text"), "decon-named")
+    if docs.select("doc_id").groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").isEmpty():
+        rows, key = docs, "doc_id"
+    else:
+        rows, key = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decon-rows"), "__row"
+    found = materialize(contained(rows.select(F.col(key).alias("doc_id"), "text"), named, k, threshold).select(F.col("doc_id").alias(key)).distinct(), "decon-found")
+    return rows.join(found, key, "left_anti").select(*docs.columns)

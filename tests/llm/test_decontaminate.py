@@ -51,3 +51,14 @@ def test_bands_keep_their_recall():
     assert band_rows(32, 40, (4, 5)) == 4 or band_rows(32, 40, (4, 5)) == 2
     assert band_rows(16, 200, (4, 5)) in (0, 1)
     assert band_rows(1, 1 << 20, (4, 5)) == 0
+
+
+def test_null_ids(spark):
+    item = " ".join(f"leak{i}" for i in range(30))
+    rows = [(None, "so " + item), (None, "clean"), (1, item + " ok"), (1, "clean too"), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, item), (7, None)], "item_id long, text string")
+    assert {tuple(r) for r in without_contained(docs, bench).collect()} == {(None, "clean"), (1, "clean too"), (2, None)}
+    assert contained(docs, bench).count() == 0
+    again = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert {r.doc_id for r in contained(docs, again).collect()} == {1}
