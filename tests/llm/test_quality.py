@@ -2,7 +2,7 @@ from collections import Counter
 
 from tests.llm.helpers import corpus, frame, words
 
-from loamstone.llm.quality import cascade, default_rules, estimates, keep_good, measured, ordered, verdicts
+from loamstone.llm.quality import Estimate, Rule, cascade, default_rules, estimates, keep_good, measured, ordered, verdicts
 
 
 def brute(text):
@@ -23,6 +23,8 @@ def test_measures_equal_brute_force(spark):
         n, _, _, _, repeats = brute(r.text)
         assert r.base_failed == (n < 20 or 100 * repeats > 30 * n)
         assert not (r.base_failed and r.kept)
+    both = [{r.doc_id for r in measured(docs).filter(cascade(default_rules(measures=m)).isNull()).collect()} for m in (False, True)]
+    assert both[0] == both[1]
     assert out.count() == len(rows) + 1
 
 
@@ -36,5 +38,22 @@ def test_order_never_changes_the_verdict(spark):
     assert keep_good(docs).columns == docs.columns
 
 
+def test_greedy_order_is_conditional():
+    rule = lambda name: Rule(name, None)
+    a, b, c = (Estimate(rule("a"), 1.0, (True, True, True, False, False)), Estimate(rule("b"), 1.0, (True, True, False, False, False)), Estimate(rule("c"), 2.0, (False, False, False, True, True)))
+    assert [r.name for r in ordered([b, c, a])] == ["a", "c", "b"]
+    assert [r.name for r in ordered([Estimate(rule("slow"), 2.0, ()), Estimate(rule("fast"), 1.0, ())])] == ["fast", "slow"]
+
+
+def test_each_rule_rejects(spark):
+    texts = {"symbols": "a # b | c " * 9, "shouting": "THIS IS LOUD talk " * 8, "exclamations": "so good!! " * 20, "word_length": "x" * 400, "dup_lines": "again and again\n" * 9 + "once",
+        "bullets": "\n".join(f"* point number {i}" for i in range(9)), "ellipses": "\n".join(f"and then {i} came ..." for i in range(9)), "no_letters": " ".join(str(i) for i in range(100, 160))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
+    for rule in default_rules():
+        assert rule.name in {r.doc_id for r in docs.filter(rule.rejects).collect()}
+    fine = spark.createDataFrame([("The harbour was quiet that morning, and the boats lay still.\n" + "Nobody spoke of the storm until the ferry had gone out again.",)], "text string")
+    assert fine.filter(cascade(default_rules()).isNull()).count() == 1
+
+
 def test_empty_table(spark):
     assert verdicts(frame(spark, [(1, "x")]).limit(0)).count() == 0
