@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,11 +17,13 @@ STOP = [
 ]
 #: What looks like a credential (fixed values).
 SECRETS = [r"\bsk-[A-Za-z0-9_-]{16,}\b", r"(?i)\b(?:api[_ -]?key|access[_ -]?token|password|secret)\s*[:=]\s*\S+", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"]
-HAN = r"[\x{4e00}-\x{9fa5}]"
+#: Han characters that count, and the form of links (fixed values).
+HAN, HAN_PY = r"[\x{4e00}-\x{9fa5}]", "[一-龥]"
+LINK = r"\[\[([^\]|]{1,40})(?:\|[^\]]*)?\]\]"
 
 
 def wikilinks(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(r"\[\[([^\]|]{1,40})(?:\|[^\]]*)?\]\]"), F.lit(1))
+    found = F.regexp_extract_all(text, F.lit(LINK), F.lit(1))
     return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
@@ -65,6 +68,15 @@ def listed(text: Column, most: int = 40) -> Column:
     return F.slice(F.array_distinct(F.filter(parts, lambda x: x != "")), 1, most)
 
 
+def listed_json(text: Column, most: int = 40) -> Column:
+    """``listed`` of a JSON value: a string is split, a list's items aren't; an object stands for its name, value or id."""
+    bare = F.trim(F.coalesce(text, F.lit("")))
+    item = lambda x: F.when(F.substring(F.trim(x), 1, 1) == "{", F.coalesce(*[F.nullif(F.get_json_object(x, f"$.{k}"), F.lit("")) for k in ("name", "value", "id")])).otherwise(x)
+    parts = F.transform(F.from_json(bare, "array<string>"), lambda x: F.substring(F.trim(F.coalesce(item(x), F.lit(""))), 1, 120))
+    items = F.slice(F.array_distinct(F.filter(parts, lambda x: x != "")), 1, most)
+    return F.when(bare == "", F.array().cast("array<string>")).when(F.substring(bare, 1, 1) == "[", F.coalesce(items, F.array().cast("array<string>"))).when(F.substring(bare, 1, 1) == "{", F.array(F.substring(item(bare), 1, 120))).otherwise(listed(bare, most))
+
+
 def truthy(text: Column) -> Column:
     return F.coalesce(F.lower(F.trim(text)).isin("true", "1", "yes", "是", "y"), F.lit(False))
 
@@ -82,13 +94,47 @@ def like_contains(text: Column, query: str) -> Column:
     return ascii_lower(text).like("%" + re.sub("[A-Z]", lambda m: m[0].lower(), query).replace("\\", "\\\\") + "%")
 
 
-def query_terms(query: str, most: int = 24) -> list[str]:
-    """Fragments that a full-text query looks for; the whole query if it has none."""
+def query_terms(query: str, most: int = 24, segment: Callable[[str], list[str]] | None = None) -> list[str]:
+    """Phrases that a full-text query looks for; the whole query without quotes if it has none.
+
+    Of Han text these are the words of ``segment`` with three characters or more and neighbouring words together, or without
+    a segmenter the runs of three characters (18 of each run at most).
+    """
     out = []
-    for run in re.findall("[一-龥]{3,}", query):
-        out += [run[i : i + 3] for i in range(len(run) - 2)][:18]
+    if segment is not None:
+        words = [w for w in map(str.strip, segment(query)) if re.fullmatch(HAN_PY + "{2,8}", w) and w not in STOP]
+        out += [w for w in words if len(w) >= 3] + [(a + b)[:12] for a, b in zip(words, words[1:], strict=False)]
+    else:
+        for run in re.findall(HAN_PY + "{3,}", query):
+            out += [run[i : i + 3] for i in range(len(run) - 2)][:18]
     out += re.findall(r"[A-Za-z0-9][A-Za-z0-9_-]{2,}", query)
-    return list(dict.fromkeys(x.lower() for x in out))[:most] or ([query.strip().lower()] if query.strip() else [])
+    return list(dict.fromkeys(out))[:most] or ([query.strip().replace('"', "")] if query.strip() else [])
+
+
+def segmented(text: str, segment: Callable[[str], list[str]]) -> list[str]:
+    """Han words of two to eight characters that a segmenter finds, without stop words."""
+    return [w for w in map(str.strip, segment(text)) if re.fullmatch(HAN_PY + "{2,8}", w) and w not in STOP]
+
+
+def parsed_json(text: Column, schema: str, default: Column) -> Column:
+    """The JSON value of a string column, or the default where there is none or it doesn't parse."""
+    return F.coalesce(F.from_json(text, schema), default)
+
+
+def iso_date(text: Column) -> Column:
+    """The date that a string begins with, or null unless it begins YYYY-MM-DD."""
+    head = F.substring(F.trim(text), 1, 10)
+    return F.when(head.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(head, "yyyy-MM-dd"))
+
+
+def bigram_similarity(a: Column, b: Column) -> Column:
+    """Shared distinct bigrams of Han characters, ASCII letters and digits, over the root of both numbers."""
+    def grams(t: Column) -> Column:
+        s = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[\x{4e00}-\x{9fff}A-Za-z0-9]+"), F.lit(0)), "")
+        return F.when(F.char_length(s) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+
+    x, y = grams(a), grams(b)
+    return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))).otherwise(0.0)
 
 
 def loose_json(text: str | None):

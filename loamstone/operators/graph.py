@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +22,24 @@ def representatives(memories: DataFrame) -> DataFrame:
 
 
 def concept_links(reps: DataFrame) -> DataFrame:
-    """memory_id, name, concept_id, kind and weight of each concept of each representative."""
-    df = reps.select(F.col("id").alias("memory_id"), X.wikilinks(F.col("content")).alias("links"), F.explode(X.entities(F.col("content"))).alias("name"))
+    """memory_id, position, name, concept_id, kind and weight of each concept of each representative."""
+    df = reps.select(F.col("id").alias("memory_id"), X.wikilinks(F.coalesce("content", F.lit(""))).alias("links"), F.posexplode(X.entities(F.col("content"))).alias("position", "name"))
     linked = F.array_contains("links", F.col("name"))
-    return df.select("memory_id", "name", S.concept_id(F.col("name")).alias("concept_id"), F.when(linked, "wikilink").otherwise("entity").alias("kind"), F.when(linked, 2.0).otherwise(1.0).alias("weight"))
+    return df.select("memory_id", "position", "name", S.concept_id(F.col("name")).alias("concept_id"), F.when(linked, "wikilink").otherwise("entity").alias("kind"), F.when(linked, 2.0).otherwise(1.0).alias("weight"))
+
+
+def stored_links(reps: DataFrame) -> DataFrame:
+    """``concept_links`` written once: concepts, members and both kinds of edges are made from them."""
+    return stored(concept_links(reps), "links")
 
 
 def concepts(links: DataFrame, total: int) -> DataFrame:
-    """concept_id, mention_count, doc_freq and is_hub; ``total`` is the number of representatives."""
-    df = links.groupBy("concept_id").agg(F.count("*").alias("mention_count"), F.countDistinct("memory_id").alias("doc_freq"))
+    """concept_id, name, kind, mention_count, doc_freq and is_hub; ``total`` is the number of representatives.
+
+    Names that differ in case are one concept; its name and kind are those of the first place by memory and position.
+    """
+    first = F.struct("memory_id", "position")
+    df = links.groupBy("concept_id").agg(F.min_by("name", first).alias("name"), F.min_by("kind", first).alias("kind"), F.count("*").alias("mention_count"), F.countDistinct("memory_id").alias("doc_freq"))
     hub = ((F.col("doc_freq") > total * HUB_RATIO) & (F.col("doc_freq") >= HUB_FLOOR)) | (F.col("doc_freq") > HUB_MOST)
     return df.withColumn("is_hub", hub)
 
@@ -68,19 +78,25 @@ def top_neighbours(edges: DataFrame, most: int, key: str = "src", value: str = "
 def ranked(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA) -> DataFrame:
     """Personalized rank from ``seeds`` (id, weight): mass spreads by edge weight, what reaches a dead end is lost.
 
-    The edges carry their share of their source once; every round is a join on the source and a sum by target, written to the
-    shared folder every fifth round.
+    The edges carry their share of their source and stay partitioned by it, in memory or on disk, so a round only moves the
+    ranks: a join where both sides lie already, and a sum by target. Every fifth round's ranks are written to the shared
+    folder; a lost executor's edges are read again from there.
     """
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     share = stored(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "share")
+    held = share.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
     total = seeds.agg(F.sum("weight").alias("t"))
-    start = seeds.crossJoin(total).groupBy("id").agg((F.sum("weight") / F.max("t")).alias("s"))
+    start = stored(seeds.crossJoin(F.broadcast(total)).groupBy("id").agg((F.sum("weight") / F.max("t")).alias("s")), "seeds")  # one row
     rank = start.select("id", F.col("s").alias("r"))
+    back = start.select("id", (F.col("s") * alpha).alias("r"))
     for i in range(rounds):
-        moved = share.join(rank, share.src == rank.id).groupBy("dst").agg(F.sum(F.col("p") * F.col("r")).alias("m"))
-        rank = moved.withColumnRenamed("dst", "id").join(start, "id", "full").select("id", ((1 - alpha) * F.coalesce("m", F.lit(0.0)) + alpha * F.coalesce("s", F.lit(0.0))).alias("r"))
-        if i % 5 == 4 and i + 1 < rounds:
+        moved = held.join(rank, held.src == rank.id).select(F.col("dst").alias("id"), (F.col("p") * F.col("r") * (1 - alpha)).alias("r"))
+        rank = moved.unionByName(back).groupBy("id").agg(F.sum("r").alias("r"))
+        if i % 5 == 4 or i + 1 == rounds:
             rank = stored(rank, "rank")
+    held.unpersist()
     return rank.filter(F.col("r") > LEAST)
 
 
@@ -125,15 +141,53 @@ def bounded_ranks(edges: DataFrame, seeds: DataFrame, allowed: DataFrame, cap: i
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("weight"), "id"))).filter(F.col("rank") <= cap)
 
 
-def maps_of_content(edges: DataFrame, members: DataFrame, found: DataFrame, least: int = 6, most: int = 50, neighbours: int = 12, each: int = 8) -> DataFrame:
-    """concept_id, degree and the lines of a map for the most connected concepts that are no hubs.
+MAP_DEGREE, MAPS, NOTES = 6, 50, 800
 
-    ``members`` are memory_id, concept_id, title, importance.
-    """
-    degree = edges.groupBy(F.col("src").alias("concept_id")).agg(F.count("*").alias("degree"))
-    top = degree.filter(F.col("degree") >= least).join(found.filter("NOT is_hub").select("concept_id"), "concept_id", "left_semi").orderBy(F.desc("degree"), "concept_id").limit(most)
-    near = top_neighbours(edges.join(F.broadcast(top.select(F.col("concept_id").alias("src"))), "src"), neighbours).groupBy(F.col("src").alias("concept_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "dst"))), lambda x: x.dst).alias("near"))
+
+def degrees(edges: DataFrame) -> DataFrame:
+    return edges.groupBy(F.col("src").alias("concept_id")).agg(F.count("*").alias("degree"))
+
+
+def _described(top: DataFrame, edges: DataFrame, members: DataFrame, memories: DataFrame, found: DataFrame, neighbours: int, each: int, size: int) -> DataFrame:
+    """``top`` (concept_id, name, degree) with ``near``, names of the strongest neighbours, and ``lines``, first lines of the most important members."""
+    names = found.select(F.col("concept_id").alias("dst"), F.col("name").alias("near_name"))
+    near = top_neighbours(edges.join(F.broadcast(top.select(F.col("concept_id").alias("src"))), "src").select("src", "dst", "weight"), neighbours).join(names, "dst")
+    near = near.groupBy(F.col("src").alias("concept_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "near_name"))), lambda x: x.near_name).alias("near"))
     w = Window.partitionBy("concept_id").orderBy(F.desc("importance"), "memory_id")
-    mem = members.join(F.broadcast(top.select("concept_id")), "concept_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= each).groupBy("concept_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "title"))), lambda x: x.title).alias("titles"))
-    lines = F.array_join(F.concat(F.transform(F.coalesce("near", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- [["), x, F.lit("]]"))), F.transform(F.coalesce("titles", F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), x))), "\n")
-    return top.join(near, "concept_id", "left").join(mem, "concept_id", "left").select("concept_id", "degree", lines.alias("content"))
+    line = F.substring(F.coalesce(F.get(F.split("content", "\n"), F.lit(0)), F.lit("")), 1, size)
+    told = members.select("memory_id", "concept_id").distinct().join(F.broadcast(top.select("concept_id")), "concept_id").join(memories.select(F.col("id").alias("memory_id"), "importance", line.alias("line")), "memory_id")
+    told = told.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= each).groupBy("concept_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: F.concat(F.lit("- "), x.line)).alias("lines"))
+    none = F.array().cast("array<string>")
+    return top.join(near, "concept_id", "left").join(told, "concept_id", "left").withColumns({"near": F.transform(F.coalesce("near", none), lambda x: F.concat(F.lit("[["), x, F.lit("]]"))), "lines": F.coalesce("lines", none)})
+
+
+def concept_maps(edges: DataFrame, members: DataFrame, memories: DataFrame, found: DataFrame, least: int = MAP_DEGREE, most: int = MAPS, neighbours: int = 12, each: int = 8) -> DataFrame:
+    """concept_id, name, degree and content of the maps of the best connected concepts that are no hubs.
+
+    ``edges`` go both ways, ``members`` are (memory_id, concept_id), ``found`` the concepts.
+    """
+    top = degrees(edges).filter(F.col("degree") >= least).join(found.filter("NOT is_hub").select("concept_id", "name"), "concept_id").orderBy(F.desc("degree"), "concept_id").limit(most)
+    df = _described(top, edges, members, memories, found, neighbours, each, 70)
+    text = F.array_join(F.concat(F.array(F.concat(F.lit("# 概念地图: "), "name"), F.lit(""), F.concat(F.lit("关联概念: "), F.array_join("near", " ")), F.lit(""), F.lit("## 相关记忆")), F.col("lines")), "\n")
+    return df.select("concept_id", "name", "degree", text.alias("content"))
+
+
+def concept_notes(edges: DataFrame, members: DataFrame, memories: DataFrame, found: DataFrame, most: int = NOTES) -> DataFrame:
+    """name (of a file, each once) and content of notes on the best connected concepts that are no hubs."""
+    top = found.filter("NOT is_hub").select("concept_id", "name", "doc_freq").join(degrees(edges), "concept_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))).orderBy(F.desc("degree"), "concept_id").limit(most)
+    df = _described(top, edges, members, memories, found, 15, 10, 80)
+    head = [F.lit("---"), F.concat(F.lit("doc_freq: "), F.col("doc_freq").cast("string")), F.concat(F.lit("degree: "), F.col("degree").cast("string")), F.lit("type: concept"), F.lit("---"), F.lit("")]
+    text = F.array_join(F.concat(F.array(*head, F.concat(F.lit("# "), "name"), F.lit(""), F.concat(F.lit("关联: "), F.array_join("near", " ")), F.lit(""), F.lit("## 相关记忆")), F.col("lines")), "\n")
+    safe = X.safe_name(F.col("name"), 56)
+    safe = F.when(safe == "", F.col("concept_id")).otherwise(safe)
+    twin = F.row_number().over(Window.partitionBy("file").orderBy(F.desc("degree"), "concept_id")) > 1
+    return df.withColumn("file", safe).withColumn("twin", twin).select(F.when(F.col("twin"), F.concat("file", F.lit("_"), F.substring("concept_id", 1, 6))).otherwise(F.col("file")).alias("name"), text.alias("content"))
+
+
+def themes(edges: DataFrame, found: DataFrame, scan: int = 12, most: int = 6, related: int = 5) -> DataFrame:
+    """concept, degree and related names: of the ``scan`` best connected concepts the first ``most`` that are no hubs."""
+    top = degrees(edges).orderBy(F.desc("degree"), "concept_id").limit(scan).join(found.filter("NOT is_hub").select("concept_id", "name"), "concept_id").orderBy(F.desc("degree"), "concept_id").limit(most)
+    names = found.select(F.col("concept_id").alias("dst"), F.col("name").alias("near_name"))
+    near = top_neighbours(edges.join(F.broadcast(top.select(F.col("concept_id").alias("src"))), "src").select("src", "dst", "weight"), related).join(names, "dst")
+    near = near.groupBy(F.col("src").alias("concept_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "near_name"))), lambda x: x.near_name).alias("related"))
+    return top.join(near, "concept_id", "left").select(F.col("name").alias("concept"), "degree", "related").orderBy(F.desc("degree"), "concept")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,6 +122,15 @@ def hot(memories: DataFrame, cognitive: DataFrame) -> DataFrame:
     return live(memories).join(fit, F.col("id") == F.col("memory_id")).drop("memory_id")
 
 
+def important(rows: DataFrame, limit: int) -> DataFrame:
+    """The most important memories, the latest recalled first among equals."""
+    return rows.orderBy(F.desc("importance"), F.desc("last_recall_ts"), "id").limit(limit)
+
+
+def is_bundle_id(bundle_id: str) -> bool:
+    return re.fullmatch("mb-[a-f0-9]{12,64}", bundle_id) is not None
+
+
 def bundle(episodes: DataFrame, most: int = 1000) -> DataFrame:
     """One text a bundle: its parts in order, ``most`` at most; JSON parts give their ``content``. Ids that aren't bundle ids are left out."""
     parts = episodes.filter(F.col("bundle_id").rlike("^mb-[a-f0-9]{12,64}$"))

@@ -1,4 +1,4 @@
-"""Lexical, vector and fused retrieval."""
+"""Vector search, rank fusion and retrieval quality."""
 
 from __future__ import annotations
 
@@ -7,49 +7,10 @@ from pyspark.sql import functions as F
 
 from loamstone.functions import scoring as S
 
-K1, B = 1.2, 0.75
 #: Candidates above which a caller should ask for an index instead of the exact scan.
 INDEX_THRESHOLD = 100_000
 
 
-def postings(rows: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """term, key, tf, dl: lower-case words of three or more letters or digits."""
-    terms = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.char_length(x) >= 3)
-    df = rows.select(key, terms.alias("terms")).withColumn("dl", F.size("terms"))
-    return df.select(key, "dl", F.explode("terms").alias("term")).groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
-
-
-def corpus_stats(rows: DataFrame, text: str = "content") -> DataFrame:
-    """One row: n documents and their mean length in terms."""
-    terms = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.char_length(x) >= 3)
-    return rows.agg(F.count("*").alias("n"), F.avg(F.size(terms)).alias("avgdl"))
-
-
-def term_scores(rows: DataFrame, terms: list[str], key: str = "id", text: str = "content") -> DataFrame:
-    """key, term, score: BM25 of each of the query's terms (larger is better). The terms are filtered before any shuffle."""
-    post = postings(rows, key, text).filter(F.col("term").isin(terms))
-    df = post.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(rows, text)
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return post.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).select(key, "term", score.alias("score"))
-
-
-def search(rows: DataFrame, terms: list[str], k: int = 20) -> DataFrame:
-    """The k best by the sum of their terms' scores."""
-    return term_scores(rows, terms).groupBy("id").agg(F.sum("score").alias("bm25")).orderBy(F.desc(F.round("bm25", 9)), "id").limit(k)
-
-
-def search_bounded(rows: DataFrame, terms: list[str], k: int = 20, pool: int = 48) -> DataFrame:
-    """Each term ranks its own best alone; the ranks are fused, so that a rare term isn't lost among many."""
-    pool = max(k, min(900, pool))
-    each = max(8, -(-pool // max(1, len(terms))))
-    w = Window.partitionBy("term").orderBy(F.desc(F.round("score", 9)), "id")
-    top = term_scores(rows, terms).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= each)
-    fused = top.groupBy("id").agg(F.sum(S.rrf(F.col("rank"))).alias("fused"), F.sum(F.greatest(F.lit(0.0), F.col("score"))).alias("bm25"), F.min("rank").alias("best_rank"))
-    return fused.orderBy(F.desc(F.round("fused", 9)), F.desc(F.round("bm25", 9)), "best_rank", "id").limit(min(k, pool))
-
-
 def nearest(vectors: DataFrame, query: list[float], k: int = 20, candidates: DataFrame | None = None, floor: float | None = None, key: str = "memory_id", vec: str = "vec") -> DataFrame:
     """The k rows whose vectors have the largest cosine with ``query``; rows of another dimension don't count."""
     df = vectors.filter(F.size(vec) == len(query))
@@ -83,21 +44,6 @@ def fused(*channels: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.sum(S.rrf(F.col("rank"))).alias("rrf_score"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("channel", "rank")))).alias("channel_ranks"))
 
 
-def hybrid(candidates: DataFrame) -> DataFrame:
-    """Candidates (id, title, sim, ppr, act, lexical, entry, tier, same_mode, consolidated) by hybrid score, one a title.
-
-    Deep ones need a lexical hit or a similarity of 0.55, latent ones a lexical hit, 0.30 or a place among the entries.
-    """
-    w = Window.partitionBy()
-    share = lambda c: F.when(F.max(c).over(w) > 0, F.col(c) / F.max(c).over(w)).otherwise(0.0)
-    df = candidates.withColumn("ppr_share", share("ppr")).withColumn("act_share", share("act"))
-    df = df.withColumn("score", S.hybrid_score(F.col("sim"), F.col("ppr_share"), F.col("act_share"), F.col("same_mode"), F.col("consolidated")))
-    df = df.filter((F.col("tier") != "deep") | F.col("lexical") | (F.col("sim") >= 0.55)).filter((F.col("tier") != "latent") | F.col("lexical") | (F.col("sim") >= 0.30) | F.col("entry"))
-    best = Window.partitionBy("title").orderBy(F.desc(F.round("score", 9)), "id")
-    via = F.concat_ws("+", F.when(F.col("sim") > 0, "语义"), F.when(F.col("lexical"), "字面"), F.when(F.col("ppr") > 0, "关联扩散"))
-    return df.withColumn("rn", F.row_number().over(best)).filter("rn = 1").select("id", "title", "score", via.alias("via"))
-
-
 def missing(memories: DataFrame, vectors: DataFrame) -> DataFrame:
     """Live memories without a vector."""
     return memories.filter("invalid_at IS NULL").join(vectors, F.col("id") == F.col("memory_id"), "left_anti")

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import scoring as S
 from loamstone.functions import text as X
+from loamstone.operators import fulltext as T
 from loamstone.operators import governance as G
 from loamstone.operators import graph as N
+from loamstone.operators import memory as M
+from loamstone.operators import register as Q
 from loamstone.operators import retrieval as R
 from loamstone.plans.bridge import AS_OF, view
+from loamstone.sources.shared import shared_dir
 
 QUERIES, SQL = {}, {}
 
@@ -70,9 +76,13 @@ def promotion_gate(spark, d):
     return G.promotion(*_all(spark, d, "memory_cognitive", "memory_evidence", "memory_activations", "memory_conflicts"))
 
 
-@query("""SELECT memory_id, CASE WHEN memory_id IN (SELECT unnest([left_memory_id, right_memory_id]) FROM memory_conflicts WHERE status = 'open') THEN 'conflicted' WHEN verification_status = 'conflicted' THEN 'unreviewed' ELSE verification_status END AS verification_status FROM memory_cognitive""")
+@query("""WITH sides AS (SELECT DISTINCT unnest([left_memory_id, right_memory_id]) AS memory_id FROM memory_conflicts WHERE conflict_id IN ('c5', 'c10', 'c36', 'c41', 'c67')), held AS (SELECT unnest([left_memory_id, right_memory_id]) AS memory_id FROM memory_conflicts WHERE status = 'open')
+    SELECT memory_id, CASE WHEN memory_id NOT IN (SELECT memory_id FROM sides) THEN verification_status WHEN memory_id IN (SELECT memory_id FROM held) THEN 'conflicted' ELSE 'verified' END AS verification_status,
+        CASE WHEN memory_id NOT IN (SELECT memory_id FROM sides) THEN review_status WHEN memory_id IN (SELECT memory_id FROM held) THEN 'needs_review' ELSE 'active' END AS review_status FROM memory_cognitive""")
 def conflict_relabel(spark, d):
-    return G.relabelled(*_all(spark, d, "memory_cognitive", "memory_conflicts"))
+    side, conflicts = _all(spark, d, "memory_cognitive", "memory_conflicts")
+    sides = conflicts.filter(F.col("conflict_id").isin("c5", "c10", "c36", "c41", "c67")).select(F.explode(F.array("left_memory_id", "right_memory_id")).alias("memory_id"))
+    return G.relabelled(side, conflicts, sides).select("memory_id", "verification_status", "review_status")
 
 
 @query("""SELECT memory_id, round(least(0.12, sum(CASE phase_count WHEN 1 THEN 0.020 WHEN 2 THEN 0.028 WHEN 3 THEN 0.035 ELSE 0 END * pow(0.5, date_diff('day', occurred_date, DATE '2024-01-25') / 30.0))), 6) AS dream FROM dream_events WHERE occurred_date <= DATE '2024-01-25' GROUP BY memory_id""")
@@ -80,17 +90,25 @@ def dream_accessibility(spark, d):
     return G.dream_effect(view(spark, d, "dream_events"), "2024-01-25").select("memory_id", F.round("dream", 6).alias("dream"))
 
 
-@query("""SELECT coalesce(CASE WHEN coalesce(status, 'active') <> 'active' THEN 'inactive' WHEN verification_status = 'rejected' OR review_status = 'retired' THEN 'rejected_or_retired' WHEN memory_form = 'hypothesis' THEN 'hypothesis' WHEN kind = 'knowledge_book' THEN 'book' WHEN lifecycle_stage = 'deep' THEN 'deep' END, 'kept') AS filter_reason, count(*) AS n
-    FROM memories m JOIN memory_cognitive c ON m.id = c.memory_id GROUP BY 1""")
+def _reason_sql(depth: str) -> str:
+    deep = " WHEN lifecycle_stage = 'deep' THEN 'deep_memory_excluded'" if depth == "Q1" else ""
+    book = "" if depth == "Q3" else " WHEN lower(kind) IN ('knowledge_book', 'book') OR source = 'books' THEN 'book_excluded'"
+    return f"""SELECT '{depth}' AS depth, coalesce(CASE WHEN coalesce(status, 'active') <> 'active' THEN 'inactive' WHEN verification_status = 'rejected' OR review_status = 'retired' THEN 'governance_rejected_or_retired' WHEN memory_form = 'hypothesis' THEN 'hypothesis_excluded'{book}{deep} END, 'kept') AS filter_reason, count(*) AS n
+    FROM memories m JOIN memory_cognitive c ON m.id = c.memory_id GROUP BY 2"""
+
+
+@query(" UNION ALL ".join(_reason_sql(q) for q in ("Q1", "Q2", "Q3")))
 def planned_filters(spark, d):
     m, c = _all(spark, d, "memories", "memory_cognitive")
-    return m.join(c, m.id == c.memory_id).groupBy(F.coalesce(G.planned_reason(True), F.lit("kept")).alias("filter_reason")).agg(F.count("*").alias("n"))
+    both = m.join(c.drop("source_id"), m.id == c.memory_id)
+    each = [both.groupBy(F.coalesce(G.planned_reason(q), F.lit("kept")).alias("filter_reason")).agg(F.count("*").alias("n")).select(F.lit(q).alias("depth"), "filter_reason", "n") for q in ("Q1", "Q2", "Q3")]
+    return each[0].union(each[1]).union(each[2])
 
 
 def _planned(spark, d):
     m, c = _all(spark, d, "memories", "memory_cognitive")
-    cand = M_candidates(m, c)
-    return G.planned(cand, *_all(spark, d, "memory_facets", "memory_conflicts"), G.dream_effect(view(spark, d, "dream_events"), "2024-01-25"), ["en", "d3", "d7"], ["src1", "src2"], "episodic", "src3")
+    cand = M_candidates(m.drop("source_id"), c)
+    return G.planned(cand, *_all(spark, d, "memory_facets", "memory_conflicts"), G.dream_effect(view(spark, d, "dream_events"), "2024-01-25"), ["en", "D3", "d7"], ["src1", "src2"], ["episodic"], "SRC3")
 
 
 def M_candidates(m, c):
@@ -104,7 +122,7 @@ def M_candidates(m, c):
     hits AS (SELECT memory_id, count(*) FILTER (WHERE facet_type = 'domain' AND facet_value IN ('en', 'd3', 'd7')) AS dh, count(*) FILTER (WHERE facet_type = 'entity' AND facet_value IN ('src1', 'src2')) AS eh FROM memory_facets GROUP BY memory_id),
     dream AS (SELECT memory_id, least(0.12, sum(CASE phase_count WHEN 1 THEN 0.020 WHEN 2 THEN 0.028 WHEN 3 THEN 0.035 ELSE 0 END * pow(0.5, date_diff('day', occurred_date, DATE '2024-01-25') / 30.0))) AS dream FROM dream_events WHERE occurred_date <= DATE '2024-01-25' GROUP BY memory_id)
     SELECT t.id, round(1.0 / (60 + t.rank) * (1 + least(0.06, 0.03 * coalesce(h.dh, 0)) + least(0.06, 0.03 * coalesce(h.eh, 0)) + CASE WHEN c.memory_form = 'episodic' THEN 0.03 ELSE 0 END + 0.04 * (CASE WHEN coalesce(c.confidence, 0) = 0 THEN 0.7 ELSE c.confidence END - 0.5)
-        + CASE WHEN c.root_source_id = 'src3' THEN 0.04 ELSE 0 END + coalesce(e.dream, 0)) * CASE WHEN t.id IN (SELECT unnest([left_memory_id, right_memory_id]) FROM memory_conflicts WHERE status = 'open') THEN 0.9 ELSE 1 END, 4) AS score
+        + CASE WHEN t.id IN (SELECT memory_id FROM memory_facets WHERE facet_type = 'project' AND facet_value = 'src3') THEN 0.04 ELSE 0 END + coalesce(e.dream, 0)) * CASE WHEN t.id IN (SELECT unnest([left_memory_id, right_memory_id]) FROM memory_conflicts WHERE status = 'open') THEN 0.9 ELSE 1 END, 4) AS score
     FROM top t JOIN memory_cognitive c ON c.memory_id = t.id LEFT JOIN hits h ON h.memory_id = t.id LEFT JOIN dream e ON e.memory_id = t.id""")
 def planned_scores(spark, d):
     return _planned(spark, d).select("id", "score")
@@ -114,7 +132,7 @@ def planned_scores(spark, d):
 def planned_packs(spark, d):
     cand = _planned(spark, d).filter("filter_reason IS NULL")
     facets = view(spark, d, "memory_facets").groupBy(F.col("memory_id").alias("id")).agg(F.sort_array(F.collect_list(F.concat_ws(":", "facet_type", "facet_value"))).alias("coverage"))
-    ready = cand.join(facets, "id", "left").select(F.lit("q").alias("query"), "id", "score", "rrf_score", X.snippet(F.col("content"), 360).alias("snippet"), F.coalesce("coverage", F.array().cast("array<string>")).alias("coverage"))
+    ready = cand.join(facets, "id", "left").select(F.lit("q").alias("query"), "id", "score", "rrf_score", F.lit(0.0).alias("sim"), X.snippet(F.col("content"), 360).alias("snippet"), F.coalesce("coverage", F.array().cast("array<string>")).alias("coverage"))
     return G.packed(ready, *S.DEPTHS["Q2"][1:3], 6400)
 
 
@@ -196,13 +214,13 @@ CONCEPT_SQL = r"""WITH reps AS (SELECT min(id) AS id, any_value(content) AS cont
 
 def _indexed(spark, d):
     reps = N.representatives(view(spark, d, "memories"))
-    links = N.concept_links(reps)
+    links = N.stored_links(reps)
     return links, N.concepts(links, reps.count())
 
 
 @query(CONCEPT_SQL + "SELECT concept_id, mention_count, doc_freq, is_hub FROM found")
 def concept_index(spark, d):
-    return _indexed(spark, d)[1]
+    return _indexed(spark, d)[1].select("concept_id", "mention_count", "doc_freq", "is_hub")
 
 
 @query(CONCEPT_SQL + "SELECT concept_id, mention_count FROM found WHERE NOT is_hub ORDER BY mention_count DESC, concept_id LIMIT 50")
@@ -269,31 +287,152 @@ def semantic_bridge(spark, d):
     return R.bridge(view(spark, d, "memories_vec"), _vector(spark, d, 3), _vector(spark, d, 8), floor=0.05).select("memory_id", F.round("sim", 6).alias("sim"))
 
 
-TERMS = ["nation", "thonre", "that", "with"]
-BM25_SQL = r"""WITH t AS (SELECT id, list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^\p{L}\p{N}_]+'), lambda x: length(x) >= 3) AS ws FROM memories WHERE invalid_at IS NULL),
-    stats AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM t),
-    post AS (SELECT id, len(ws) AS dl, w AS term, count(*) AS tf FROM t, unnest(ws) AS u(w) WHERE w IN ('nation', 'thonre', 'that', 'with') GROUP BY 1, 2, 3),
-    dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-    sc AS (SELECT id, post.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS score FROM post JOIN dfs ON dfs.term = post.term, stats)
-"""
+QUERY = "nation thonre that with"
+VECTOR_SQL = "round(list_dot_product(CAST(vec AS DOUBLE[]), CAST(v AS DOUBLE[])) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 9)"
+
+
+def fts_sql(query_text: str, rows: str) -> str:
+    """CTEs of the phrases' scores over ``rows`` (id, content); phrases that can't overlap themselves."""
+    phrases = ", ".join(f"({i}, '{p.lower()}')" for i, p in enumerate(X.query_terms(query_text)))
+    return f"""t AS (SELECT id, lower(coalesce(content, '')) AS c FROM ({rows}) z), stats AS (SELECT count(*) AS n, avg(greatest(length(c) - 2, 0)) AS avgdl FROM t), ph AS (SELECT * FROM (VALUES {phrases}) v(p, f)),
+    hit AS (SELECT id, p, greatest(length(c) - 2, 0) AS dl, (length(c) - length(replace(c, f, ''))) / length(f) AS tf FROM t, ph WHERE contains(c, f)), dfs AS (SELECT p, count(*) AS df FROM hit GROUP BY p),
+    sc AS (SELECT id, hit.p AS phrase, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) AS score FROM hit JOIN dfs ON dfs.p = hit.p, stats)"""
+
 
+LIVE = "SELECT id, content FROM memories WHERE invalid_at IS NULL"
+FTS_SQL = "WITH " + fts_sql(QUERY, LIVE)
 
-@query(BM25_SQL + "SELECT id, round(sum(score), 6) AS bm25 FROM sc GROUP BY id ORDER BY round(sum(score), 9) DESC, id LIMIT 20")
+
+def _live(spark, d):
+    return view(spark, d, "memories").filter("invalid_at IS NULL")
+
+
+@query(FTS_SQL + " SELECT id, round(sum(score), 6) AS bm25 FROM sc GROUP BY id ORDER BY round(sum(score), 9) DESC, id LIMIT 20")
 def full_text(spark, d):
-    return R.search(view(spark, d, "memories").filter("invalid_at IS NULL"), TERMS).select("id", F.round("bm25", 6).alias("bm25"))
+    return T.search(_live(spark, d), X.query_terms(QUERY)).select("id", F.round("bm25", 6).alias("bm25"))
+
+
+@query(FTS_SQL + " SELECT id, round(sum(score), 6) AS bm25 FROM sc GROUP BY id ORDER BY round(sum(score), 9) DESC, id LIMIT 20")
+def full_text_indexed(spark, d):
+    rows, path = _live(spark, d), f"{shared_dir(spark)}/loamstone-core/index-{uuid.uuid4().hex}"
+    T.write_index(rows, path)
+    return T.search(rows, X.query_terms(QUERY), index=T.read_index(spark, path)).select("id", F.round("bm25", 6).alias("bm25"))
+
 
+def bounded_sql(k: int, pool: int) -> str:
+    """CTE ``bounded``: the fused ranks of the phrases in ``sc``."""
+    each = max(8, -(-max(k, min(900, pool)) // len(X.query_terms(QUERY))))
+    return f"""r AS (SELECT *, row_number() OVER (PARTITION BY phrase ORDER BY round(score, 9) DESC, id) AS rank FROM sc), bounded AS (SELECT id, sum(1.0 / (60 + rank)) AS fused, sum(score) AS bm25, CAST(min(rank) AS INT) AS best_rank FROM r WHERE rank <= {each} GROUP BY id
+    ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, round(sum(score), 9) DESC, min(rank), id LIMIT {min(k, max(k, min(900, pool)))})"""
 
-@query(BM25_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY round(score, 9) DESC, id) AS rank FROM sc) SELECT id, round(sum(1.0 / (60 + rank)), 6) AS fused, CAST(min(rank) AS INT) AS best_rank FROM r WHERE rank <= 12 GROUP BY id
-    ORDER BY round(sum(1.0 / (60 + rank)), 9) DESC, round(sum(score), 9) DESC, min(rank), id LIMIT 20""")
+
+@query(FTS_SQL + ", " + bounded_sql(20, 48) + " SELECT id, round(fused, 6) AS fused, best_rank FROM bounded")
 def full_text_bounded(spark, d):
-    return R.search_bounded(view(spark, d, "memories").filter("invalid_at IS NULL"), TERMS).select("id", F.round("fused", 6).alias("fused"), "best_rank")
+    return T.search_bounded(_live(spark, d), X.query_terms(QUERY)).select("id", F.round("fused", 6).alias("fused"), "best_rank")
+
+
+@query("""SELECT id FROM memories WHERE invalid_at IS NULL AND lower(content) LIKE '%zu%' ORDER BY last_recall_ts DESC, id LIMIT 12""")
+def entry_fallback(spark, d):
+    """A query too short for a trigram is sought as a substring, the latest recalled first."""
+    return T.entries(_live(spark, d), "zu", X.query_terms("zu"), 12).select("id")
+
 
+@query("""SELECT id, position FROM (SELECT id, CAST(row_number() OVER (ORDER BY round(sum(score), 9) DESC, id) AS INT) AS position FROM (WITH """ + fts_sql("项目进度", "SELECT id, content FROM notes") + """ SELECT * FROM sc) s GROUP BY id) x WHERE position <= 15""")
+def han_search(spark, d):
+    return T.entries(view(spark, d, "notes"), "项目进度", X.query_terms("项目进度"), 15)
 
-@query(BM25_SQL + """, q AS (SELECT vec AS v FROM memories_vec WHERE vec_id = 3), lex AS (SELECT id, row_number() OVER (ORDER BY round(sum(score), 9) DESC, id) AS rank FROM sc GROUP BY id QUALIFY rank <= 48),
-    vs AS (SELECT memory_id AS id, row_number() OVER (ORDER BY round(list_dot_product(CAST(vec AS DOUBLE[]), CAST(v AS DOUBLE[])), 9) DESC, memory_id) AS rank FROM memories_vec, q QUALIFY rank <= 48)
+
+@query(FTS_SQL + f""", q AS (SELECT vec AS v FROM memories_vec WHERE vec_id = 3), lex AS (SELECT id, row_number() OVER (ORDER BY round(sum(score), 9) DESC, id) AS rank FROM sc GROUP BY id QUALIFY rank <= 48),
+    vs AS (SELECT memory_id AS id, row_number() OVER (ORDER BY {VECTOR_SQL} DESC, memory_id) AS rank FROM memories_vec, q QUALIFY rank <= 48)
     SELECT id, round(sum(1.0 / (60 + rank)), 6) AS rrf_score, count(*) AS channels FROM (SELECT * FROM lex UNION ALL SELECT * FROM vs) x GROUP BY id""")
 def fused_candidates(spark, d):
-    lex = R.search(view(spark, d, "memories").filter("invalid_at IS NULL"), TERMS, 48)
+    lex = T.search(_live(spark, d), X.query_terms(QUERY), 48)
     vec = R.nearest(view(spark, d, "memories_vec"), _vector(spark, d, 3), 48).withColumnRenamed("memory_id", "id")
     out = R.fused(R.channel(lex, "lexical", F.desc(F.round("bm25", 9)), F.col("id")), R.channel(vec, "vector", F.desc(F.round("sim", 9)), F.col("id")))
     return out.select("id", F.round("rrf_score", 6).alias("rrf_score"), F.size("channel_ranks").cast("long").alias("channels"))
+
+
+# transitions
+
+PROOF_SQL = "proof AS (SELECT memory_id, count(*) AS proofs FROM memory_evidence WHERE trim(coalesce(locator, '')) <> '' AND trim(coalesce(excerpt, '')) <> '' AND trim(coalesce(observed_at, '')) <> '' GROUP BY memory_id), held AS (SELECT unnest([left_memory_id, right_memory_id]) AS memory_id FROM memory_conflicts WHERE status = 'open')"
+OPEN_SQL = "CASE WHEN c.memory_id IN (SELECT memory_id FROM held) THEN 'open_conflict' END"
+
+
+def _reasons(spark, d, tier):
+    out = G.promotion_reasons(*_all(spark, d, "memory_cognitive", "memory_evidence", "memory_activations", "memory_conflicts", "parents"), tier)
+    return out.select("memory_id", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query(f"WITH {PROOF_SQL} SELECT c.memory_id, concat_ws(',', {OPEN_SQL}, " + ", ".join(f"CASE WHEN trim(coalesce({f}, '')) = '' THEN '{f}_required' END" for f in G.TIER_FIELDS) + ", CASE WHEN coalesce(proofs, 0) < 1 THEN 'complete_evidence_required' END) AS reasons FROM memory_cognitive c LEFT JOIN proof p ON p.memory_id = c.memory_id")
+def promotion_to_m1(spark, d):
+    return _reasons(spark, d, "M1")
+
+
+@query(f"""WITH {PROOF_SQL}, kin AS (SELECT memory_id, count(*) AS kin, count(*) FILTER (WHERE memory_tier = 'M0') AS low, count(*) FILTER (WHERE verification_status <> 'verified') AS unsure FROM (SELECT DISTINCT p.memory_id, p.parent_id, s.memory_tier, s.verification_status FROM parents p JOIN memory_cognitive s ON s.memory_id = p.parent_id) x GROUP BY memory_id)
+    SELECT c.memory_id, concat_ws(',', {OPEN_SQL}, CASE WHEN c.memory_tier <> 'M1' OR c.verification_status <> 'verified' THEN 'current_memory_must_be_verified_M1' END, CASE WHEN coalesce(kin, 0) < 2 OR coalesce(low, 0) > 0 THEN 'two_verified_M1_parents_required' END, CASE WHEN coalesce(unsure, 0) > 0 THEN 'parent_verification_required' END) AS reasons
+    FROM memory_cognitive c LEFT JOIN kin ON kin.memory_id = c.memory_id""")
+def promotion_to_m2(spark, d):
+    return _reasons(spark, d, "M2")
+
+
+@query(f"""WITH {PROOF_SQL}, acts AS (SELECT memory_id, count(*) AS n, count(DISTINCT occurred_date) AS dates, count(DISTINCT CASE WHEN trim(session_id) <> '' THEN session_id END) AS sessions FROM memory_activations WHERE activation_kind IN ('adopted', 'confirmed') GROUP BY memory_id)
+    SELECT c.memory_id, concat_ws(',', {OPEN_SQL}, CASE WHEN c.memory_tier <> 'M2' THEN 'current_memory_must_be_M2' END, CASE WHEN coalesce(n, 0) < 3 OR (coalesce(dates, 0) < 2 AND coalesce(sessions, 0) < 2) THEN 'independent_adoption_required' END, CASE WHEN coalesce(proofs, 0) < 2 THEN 'two_evidence_items_required' END) AS reasons
+    FROM memory_cognitive c LEFT JOIN proof p ON p.memory_id = c.memory_id LEFT JOIN acts a ON a.memory_id = c.memory_id""")
+def promotion_to_m3(spark, d):
+    return _reasons(spark, d, "M3")
+
+
+@query(f"SELECT c.memory_id FROM memory_cognitive c JOIN ({PROMOTION_SQL}) g ON g.memory_id = c.memory_id WHERE g.promoted ORDER BY c.activation_count DESC, c.last_verified_ts, c.memory_id LIMIT 3")
+def nightly_promotions(spark, d):
+    side, *rest = _all(spark, d, "memory_cognitive", "memory_evidence", "memory_activations", "memory_conflicts")
+    return G.nightly(G.promotion(side, *rest), side, 3)
+
+
+ALLOWED_SQL = f"""SELECT m.id FROM memories m LEFT JOIN memory_cognitive c ON c.memory_id = m.id WHERE m.invalid_at IS NULL AND (
+        (c.visibility = 'private' AND c.owner_type = 'user' AND c.owner_id = 'u3') OR (c.visibility = 'team' AND c.owner_id = 'u3')
+        OR EXISTS (SELECT 1 FROM memory_acl a WHERE a.memory_id = m.id AND a.principal_type = 'user' AND a.principal_id = 'u3' AND a.permission IN ('read', 'write', 'admin') AND (a.expires_at IS NULL OR a.expires_at > {AS_OF})))"""
+
+
+def _readable(spark, d):
+    return G.allowed(*_all(spark, d, "memories", "memory_cognitive", "memory_acl"), ("user", "u3"), [], AS_OF)
+
+
+@query(f"""WITH ok AS ({ALLOWED_SQL}) SELECT e.event_id, CASE WHEN e.memory_id NOT IN (SELECT id FROM ok) THEN 'acl_denied' WHEN c.memory_id IS NULL THEN 'governance_row_missing' WHEN memory_tier = 'M0' THEN 'stable_tier_required' WHEN verification_status <> 'verified' THEN 'verified_memory_required' WHEN review_status <> 'active' OR status <> 'active' THEN 'active_memory_required' ELSE 'accepted' END AS reason
+    FROM dream_events e LEFT JOIN memory_cognitive c ON c.memory_id = e.memory_id""")
+def dream_mentions(spark, d):
+    out = G.dream_reasons(view(spark, d, "dream_events").select("memory_id", "event_id"), _readable(spark, d), view(spark, d, "memory_cognitive"))
+    return out.select("event_id", F.coalesce("reason", F.lit("accepted")).alias("reason"))
+
+
+@query(f"""WITH ok AS ({ALLOWED_SQL}), fit AS (SELECT *, row_number() OVER (PARTITION BY memory_tier, memory_form ORDER BY memory_id) AS rn FROM memory_cognitive WHERE memory_tier IN ('M1', 'M2', 'M3') AND verification_status = 'verified' AND review_status = 'active' AND status = 'active' AND memory_form <> 'hypothesis'),
+    pool AS (SELECT memory_id FROM fit WHERE rn <= 25 ORDER BY sha256('night|pool|' || memory_id) LIMIT 512), s AS (SELECT m.id, substring(trim(m.content), 1, 700) AS text, row_number() OVER (ORDER BY sha256('night|' || m.id)) AS rn FROM memories m WHERE m.id IN (SELECT memory_id FROM pool) AND m.id IN (SELECT id FROM ok) AND trim(m.content) <> '' QUALIFY rn <= 8),
+    b AS (SELECT *, coalesce(sum(length(text)) OVER (ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s) SELECT id, substring(text, 1, CAST(1500 - before AS INT)) AS snippet FROM b WHERE before < 1500""")
+def dream_seed_texts(spark, d):
+    m, c = _all(spark, d, "memories", "memory_cognitive")
+    return G.dream_seeds(m, c, _readable(spark, d), "night", 8, 1500).select("id", "snippet")
+
+
+@query("""SELECT memory_id, memory_form, lifecycle_stage, confidence, memory_tier, review_status, visibility, evidence_count, root_source_id, scope FROM (SELECT id AS memory_id, CASE kind WHEN 'episodic' THEN 'episodic' WHEN 'knowledge_book' THEN 'semantic' WHEN 'decision' THEN 'procedural' ELSE 'hypothesis' END AS memory_form, CASE kind WHEN 'knowledge_book' THEN 'deep' ELSE 'consolidated' END AS lifecycle_stage,
+        CASE WHEN CAST(substring(id, 3) AS BIGINT) % 7 = 0 THEN 1.0 ELSE 0.25 END AS confidence, 'M0' AS memory_tier, 'quarantine' AS review_status, 'private' AS visibility, CAST(CASE WHEN CAST(substring(id, 3) AS BIGINT) % 2 = 0 THEN 1 ELSE 0 END AS INT) AS evidence_count, 's' || CAST(CAST(substring(id, 3) AS BIGINT) % 90 AS VARCHAR) AS root_source_id, mode_id AS scope FROM raw_memories) x""")
+def registered_sidecars(spark, d):
+    return Q.sidecars(view(spark, d, "raw_memories"), ("user", "u1"), AS_OF).select("memory_id", "memory_form", "lifecycle_stage", "confidence", "memory_tier", "review_status", "visibility", "evidence_count", "root_source_id", "scope")
+
+
+@query("""SELECT DISTINCT 'm-' || CAST(doc_id AS VARCHAR) AS memory_id, f.t AS facet_type, f.v AS facet_value FROM (SELECT doc_id, unnest([{'t': 'domain', 'v': 'work'}, {'t': 'domain', 'v': lower(lang)}, {'t': 'entity', 'v': 'alpha'}, {'t': 'entity', 'v': lower(source)}, {'t': 'entity', 'v': 'beta'}]) AS f FROM {documents}) x""")
+def registered_facets(spark, d):
+    return Q.facets_of(view(spark, d, "raw_memories"))
+
+
+@query("""SELECT DISTINCT 'conf-' || substring(sha256(least(id, o) || '|' || greatest(id, o)), 1, 16) AS conflict_id, 'open' AS status FROM (SELECT id, 'm-' || CAST(CAST(substring(id, 3) AS BIGINT) % 5 AS VARCHAR) AS o FROM raw_memories) x WHERE id <> o""")
+def registered_conflicts(spark, d):
+    return Q.conflicts_of(view(spark, d, "raw_memories"), AS_OF).select("conflict_id", "status")
+
+
+@query("SELECT episode_id, status FROM inbox WHERE status = 'staged' ORDER BY updated_ts DESC, episode_id LIMIT 30")
+def inbox_latest(spark, d):
+    return view(spark, d, "inbox").filter("status = 'staged'").orderBy(F.desc("updated_ts"), "episode_id").limit(30).select("episode_id", "status")
+
+
+@query("SELECT id, importance FROM memories WHERE invalid_at IS NULL AND kind IN ('episodic', 'semantic', 'procedural') ORDER BY importance DESC, last_recall_ts DESC, id LIMIT 8")
+def digest_top(spark, d):
+    return M.important(_live(spark, d).filter(F.col("kind").isin(M.PERSONAL)), 8).select("id", "importance")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; a folder of our own only where that is unset and all is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark, "_loamstone_core", None) or tempfile.mkdtemp(prefix="loamstone-core-")
         spark._loamstone_core = found
     return found.rstrip("/")

@@ -38,20 +38,37 @@ def seen_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(F.concat(F.lit("m-"), F.col("user_id").cast("string")).alias("memory_id")).agg(F.count("*").alias("seen"))
 
 
-def upsert(df: DataFrame, path: str, checkpoint: str, key: str = "run_id") -> StreamingQuery:
-    """Append each micro-batch's new keys to the table at ``path``; a batch that is delivered again adds nothing."""
+def upsert(df: DataFrame, path: str, checkpoint: str, key: str = "run_id", time: str = "ts") -> StreamingQuery:
+    """Append each micro-batch's new keys to the table at ``path``, which is partitioned by day.
+
+    A batch that is delivered again adds nothing: of the table only the days of the batch are read, and the batch's number
+    names its part, which a second delivery overwrites.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = batch.dropDuplicates([key])
+        new = batch.dropDuplicates([key]).withColumn("day", F.to_date(time)).withColumn("batch", F.lit(batch_id))
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-            new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-        new.write.mode("append").parquet(path)
+            days = [r.day for r in new.select("day").distinct().collect()]  # the days that a batch spans
+            old = spark.read.parquet(path).filter(F.col("day").isin(days) & (F.col("batch") != batch_id))
+            new = new.join(old.select(key), key, "left_anti")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def settled(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Run the stream over what is there and return the table that it leaves at ``path``: all rows, or in complete mode the last result."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/batch={'last' if mode == 'complete' else batch_id}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/table/*")
+
+
 def drained(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Run the stream over what is there and return its result as the in-memory table ``name`` (small results only)."""
     w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
