@@ -3,8 +3,9 @@
 A pair of neighbouring bytes that occurs inside no vocabulary token can't end up inside a token, so the text may be cut
 there for certain. The pre-tokenizer's pattern must not see the cut either: it looks ahead only past white space, and no
 match goes from a character that isn't white space to one that is. Cuts are therefore made at forced pairs of a byte that
-ends a visible character and an ASCII white-space byte. The fragments (mostly single words with the space before them) are
-encoded independently, each distinct one once per chunk of text, and the ids are concatenated.
+ends a visible character and an ASCII white-space byte, and between two Han characters (U+4E00 to U+9FFF), which the pattern
+never parts. The fragments (mostly single words with the space before them, or a few Han characters) are encoded
+independently, each distinct one once per chunk of text, and the ids are concatenated.
 
 Defined results: a null text is an empty text; an empty text has no tokens (both digests are of no bytes); texts of any
 length are handled whole, in chunks of some MB (one text at least); equal rows give equal results; an empty table gives an
@@ -37,6 +38,17 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CACHE_FRAGMENTS = 200_000
 
 
+#: First bytes of Han characters in UTF-8.
+HAN = slice(0xE4, 0xEA)
+_HAN_LEAD = np.zeros(256, dtype=bool)
+_HAN_LEAD[HAN] = True
+
+
+def _han_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters at these lead bytes are within U+4E00 to U+9FFF: of those with 0xE4, the ones from 0xE4B880."""
+    return (buf[at] > 0xE4) | (buf[np.minimum(at + 1, len(buf) - 1)] >= 0xB8)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in characters of byte-level vocabularies: visible Latin-1 bytes are themselves, others follow from U+0100."""
     own = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -102,6 +114,8 @@ class ForcedBoundaryBpe:
         joint[off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(flat))] - 1] = False  # the last byte of a token and the first of the next
         inside[flat[:-1][joint], flat[1:][joint]] = True
         self.forced = ~inside & ~SPACE[:, None] & SPACE[None, :]
+        #: Pairs of the last byte of a character and the first of a Han character that no token holds.
+        self.apart = ~inside[:, HAN]
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.fast = _rank_encoder(table[: len(vocab)], vocab, spec["model"]["merges"], alphabet)
         #: Last bytes that make a certain cut before any white space.
@@ -127,6 +141,9 @@ class ForcedBoundaryBpe:
             wide |= (c == 0xE3) & (b == 0x80) & (z == 0x80)
             ok[high[wide]] = False
         cut[at[ok]] = True
+        lead = np.flatnonzero(_HAN_LEAD[buf[3:]] & _HAN_LEAD[buf[:-3]]) + 3  # three bytes each, both within U+4E00 to U+9FFF
+        lead = lead[(buf[lead - 2] & 0xC0 == 0x80) & (buf[lead - 1] & 0xC0 == 0x80) & _han_at(buf, lead - 3) & _han_at(buf, lead)]
+        cut[lead[self.apart[buf[lead - 1], buf[lead] - HAN.start]]] = True
         cut[offs[:-1]] = True
         cut[len(buf)] = False
         return np.flatnonzero(cut)

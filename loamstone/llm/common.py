@@ -6,6 +6,8 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -60,19 +62,44 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/loamstone/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the table: its lineage is cut, and a lost executor costs nothing."""
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+def materialize(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and return the table: its lineage is cut, and a lost executor costs nothing.
+
+    Within ``scratch`` the table goes at the scope's end, or if ``outer`` at the end of the scope around it.
+    """
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    scopes = _scopes.get()
+    if len(scopes) > int(outer):
+        scopes[-1 - int(outer)].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope for tables that nothing reads after it."""
+    made: list[str] = []
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in made:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, file: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table that ``materialize`` made, once nothing reads it any more."""
-    spark = df.sparkSession
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, file)
 
 
 _OTHER = 0x5DEECE66D

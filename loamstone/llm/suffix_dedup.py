@@ -38,7 +38,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import arrow_map, materialize, skew_join
+from loamstone.llm.common import arrow_map, materialize, scratch, skew_join
 from loamstone.llm.counters import maybe_member, member_bits
 from loamstone.llm.kernel import chunks, hash_spans, mixed, text_buffer, to_long
 from loamstone.llm.shared_hashes import Shared, often_of, shared_hashes, shared_of
@@ -426,22 +426,23 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
     # rows are told apart by doc_id, or by a hash of id and text where an id is null or there twice
     single = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
     docs = docs.withColumn("uid", F.col("doc_id") if single else F.xxhash64("doc_id", "text"))
-    settled, held = shared_blocks(docs, length)
-    firsts = held.filter("data IS NOT NULL").select("doc_id", "uid", "base", F.col("data").alias("text"))
-    table = docs.sparkSession.sparkContext.broadcast(settled)
-
-    def left(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return extensions(buf, offs, length, unsettled(buf, offs, length, table.value))[:2]
-
-    def all_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return extensions(buf, offs, length)[:2]
-
-    shared = shared_hashes([(docs, left), (firsts, all_of)], HOT)
-    found = contexts(docs.withColumn("base", F.lit(0)), shared, length, settled).unionByName(contexts(firsts, shared, length))
-    runs = repeated_runs(found.repartition("rank").sortWithinPartitions("rank"), length)
-    sure = held.filter("data IS NULL").select("uid", F.col("base").alias("a"), (F.col("base") + F.col("last")).alias("z"))
-    runs = runs.unionByName(sure)
-    spans = materialize(runs.groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "suffix-runs")
+    with scratch(docs.sparkSession):
+        settled, held = shared_blocks(docs, length)
+        firsts = held.filter("data IS NOT NULL").select("doc_id", "uid", "base", F.col("data").alias("text"))
+        table = docs.sparkSession.sparkContext.broadcast(settled)
+
+        def left(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return extensions(buf, offs, length, unsettled(buf, offs, length, table.value))[:2]
+
+        def all_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return extensions(buf, offs, length)[:2]
+
+        shared = shared_hashes([(docs, left), (firsts, all_of)], HOT)
+        found = contexts(docs.withColumn("base", F.lit(0)), shared, length, settled).unionByName(contexts(firsts, shared, length))
+        runs = repeated_runs(found.repartition("rank").sortWithinPartitions("rank"), length)
+        sure = held.filter("data IS NULL").select("uid", F.col("base").alias("a"), (F.col("base") + F.col("last")).alias("z"))
+        runs = runs.unionByName(sure)
+        spans = materialize(runs.groupBy("uid").agg(F.collect_list(F.struct("a", "z")).alias("runs")), "suffix-runs", outer=True)
     likely = docs.sparkSession.sparkContext.broadcast(member_bits(spans.select("uid"), "uid"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

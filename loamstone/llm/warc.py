@@ -2,12 +2,15 @@
 
 Writing: of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the smallest id is a response, the
 others are revisit records that refer to it. Records are compressed one gzip member each (in Python) and written by Spark's
-own text writer as raw bytes, so archives go wherever Spark can write. The writer needs a separator: it is one zero byte,
-which gzip files may be padded with. Archives are limited to ``records`` records; each is one file.
+own text writer as raw bytes, some MB of members a row, so archives go wherever Spark can write. The writer ends each row
+with a separator, here a zero byte; it stands for the last byte of the row's last member, which is zero unless the record
+has 16 MiB or more (after such a one, at the end of a task's rows, it is padding). An archive has ``CHUNKS`` rows at most, so
+its compressed bytes are bounded whatever the pages are, but for one record.
 
-Reading: a file's bytes are gone through in order: incremental zlib decompression of one member (with zero padding skipped
+Reading: an archive's bytes are gone through in order: incremental zlib decompression of one member (zero padding is skipped
 between members), the header block, then exactly Content-Length bytes, then the record's end, whose absence is an error;
-WARC-Block-Digest and WARC-Payload-Digest are verified. Memory is one archive's compressed bytes and one record.
+WARC-Block-Digest and WARC-Payload-Digest are verified. Memory is one archive's compressed bytes and one record; archives of
+others can be no larger than what Spark reads as one binary file, 2 GB.
 
 Defined results: a null payload is empty; a null url is written as an empty target; equal rows are equal records; repeated
 ids are records of their own; payloads of any length are one record; an empty table gives no archive and an empty reading;
@@ -27,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import arrow_map, new_path, skew_join
+from loamstone.llm.common import arrow_map, materialize, new_path, skew_join
 
 MIN_REVISIT = 100
 STEP = 1 << 16
-#: Compression level of written members.
-LEVEL = 1
+#: Compression level of written members; bytes of them to a row, and rows to an archive.
+LEVEL, CHUNK, CHUNKS = 1, 4 << 20, 16
 READ_SCHEMA = "record_id string, record_type string, target_uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, truncated_read boolean, payload binary"
 
 
@@ -44,7 +47,8 @@ def planned(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, payload, digest, and ``refers_to``: the response's page_id for revisits, else null."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     df = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    firsts = df.filter(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first")
+    # written first: where few payloads are there twice they are broadcast, and no payload is shuffled
+    firsts = materialize(df.filter(F.octet_length("payload") >= min_revisit).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").select("digest", "first"), "warc-firsts")
     out = skew_join(df, firsts, ["digest"], "left")
     return out.select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
@@ -77,24 +81,29 @@ def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int |
     return _member(_header([*fields, ("Content-Length", str(len(block)))]) + block + b"\r\n\r\n")
 
 
-def write(pages: DataFrame, path: str, records: int = 20_000, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write a record for each page into archives of at most ``records`` records under ``path``."""
+def write(pages: DataFrame, path: str, records: int = 20_000, chunks: int = CHUNKS, date: str = "1970-01-01T00:00:00Z") -> None:
+    """Write a record for each page into archives of at most ``chunks`` rows of at most ``records`` records or CHUNK bytes under ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, held, small = [], 0, True
+
+        def row() -> pa.RecordBatch:
+            data = b"".join(made)
+            return pa.RecordBatch.from_arrays([pa.array([data[:-1] if data[-1:] == b"\0" else data], pa.binary())], names=["value"])
+
         for b in batches:
-            made, held = [], 0
             cols = [b.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to")]
-            for row in zip(*cols, strict=True):
-                made.append(record(*(x.as_py() for x in row), date))
-                held += len(made[-1])
-                if held > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+            for values in zip(*cols, strict=True):
+                made.append(record(*(x.as_py() for x in values), date))
+                held, small = held + len(made[-1]), made[-1][-1] == 0
+                if small and (held > CHUNK or len(made) >= records):
+                    yield row()
                     made, held = [], 0
-            if made:
-                yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["value"])
+        if made:
+            yield row()
 
     raw = planned(pages).transform(arrow_map, run, "value binary").select(F.col("value").cast("string").alias("value"))
-    raw.write.option("lineSep", "\0").option("maxRecordsPerFile", records).option("compression", "none").text(path)
+    raw.write.option("lineSep", "\0").option("maxRecordsPerFile", chunks).option("compression", "none").text(path)
 
 
 @dataclass

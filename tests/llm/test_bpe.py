@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from tests.llm.helpers import corpus, frame
@@ -32,3 +33,21 @@ def test_equals_the_library(spark, path):
     assert {x.doc_id: x.ids for x in coded.collect()} == {i: t.encode(s or "", add_special_tokens=False).ids for i, s in rows}
     assert {x.doc_id: x.text for x in decode(coded, path).collect()} == {i: s or "" for i, s in rows}
     assert digests(docs.limit(0), path).count() == 0
+
+
+def test_han_text_is_cut_and_equal_to_the_library():
+    import random
+
+    from loamstone.llm.bpe import codec
+    from loamstone.llm.kernel import text_buffer
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    library, own, r = Tokenizer.from_file(path), codec(path), random.Random(1)
+    han = lambda n: "".join(chr(r.choice([r.randint(0x4E00, 0x9FFF), 0x7684, 0x4E00, 0x9FA5, r.randint(0x3040, 0x30FF), 0x3400])) for _ in range(n))
+    texts = [han(r.randint(0, 60)) + r.choice(["", " ", "。", "ab'sé", "\u3000", "7", "𠀀"]) + han(r.randint(0, 9)) for _ in range(400)] + [han(5000), "中", "中文", ""]
+    buf, offs = text_buffer(pa.array(texts))
+    ids, first = own.encode(buf, offs)
+    got = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
+    assert got == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert len(own.cuts(buf, offs)) > 3 * len(texts)
