@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loamstone.llm.bpe import encoded_documents
-from loamstone.llm.common import materialize, table
+from loamstone.llm.common import materialize, scratch, table
 from loamstone.llm.decontaminate import without_contained
 from loamstone.llm.ngram_join import keep_one
 from loamstone.llm.pii import replaced
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what each keeps is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):  # what the stage wrote for itself goes with it
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}", outer=True)
     return STAGES[-1][1](spark, docs, sf_dir)
