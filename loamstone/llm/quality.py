@@ -47,7 +47,8 @@ def _next(values: Column, by: int) -> Column:
 
 def with_repeats(df: DataFrame, words: str, out: str) -> DataFrame:
     """``df`` with ``out``: how many of the ``words`` are in an 8-word window that occurs twice or more."""
-    df = df.withColumn("__h1", F.transform(words, lambda w: F.xxhash64(w)))
+    enough = F.when(F.size(words) > 8, F.col(words)).otherwise(F.array().cast("array<string>"))  # two windows take nine words
+    df = df.withColumn("__h1", F.transform(enough, lambda w: F.xxhash64(w)))
     for k in (1, 2, 4):
         df = df.withColumn(f"__h{2 * k}", F.zip_with(f"__h{k}", _next(F.col(f"__h{k}"), k), lambda a, b: F.xxhash64(a, b))).drop(f"__h{k}")
     df = df.withColumn("__w", F.slice("__h8", 1, F.greatest(F.size("__h8") - 7, F.lit(0)))).drop("__h8")
@@ -87,21 +88,21 @@ def default_rules(text: str = "text", measures: bool = False) -> list[Rule]:
     full = F.coalesce(F.col(text), F.lit(""))
     size = F.octet_length(full)
     kept = lambda pattern: F.octet_length(F.regexp_replace(full, pattern, ""))
-    solid = kept(r"[\x20\x09-\x0D]")
+    solid = kept(r"[\x20\x09-\x0D]+")
     words = F.col("n_words") if measures else F.size(_words(full))
-    symbols = F.col("n_symbols") if measures else size - kept(SYMBOLS)
+    symbols = F.col("n_symbols") if measures else size - kept(SYMBOLS + "+")
     lines, distinct = _lines(full), F.size(F.array_distinct(_lines(full)))
     n_lines, n_dup = (F.col("n_lines"), F.col("n_dup_lines")) if measures else (F.size(lines), F.size(lines) - distinct)
     ends = lambda pattern: F.size(F.regexp_extract_all(full, F.lit(pattern), F.lit(0)))
     return [
         Rule("symbols", symbols * 10 > words * 3),
-        Rule("shouting", (size - kept("[A-Z]")) * 2 > solid),
+        Rule("shouting", (size - kept("[A-Z]+")) * 2 > solid),
         Rule("exclamations", ends("!!+") * 10 > words * 3),
         Rule("word_length", (solid > words * 24) | (solid < words * 2)),
         Rule("dup_lines", n_dup * 10 > n_lines * 4),
         Rule("bullets", (n_lines >= 5) & (ends(r"(?m)^[\x20\x09]*[*\u2022\u2023\u25E6-][\x20\x09]") * 10 > n_lines * 9)),
         Rule("ellipses", (n_lines >= 5) & (ends(r"(?m)(?:\.\.\.|\u2026)[\x20\x09]*$") * 10 > n_lines * 3)),
-        Rule("no_letters", size - kept(r"\p{L}") < words),
+        Rule("no_letters", size - kept(r"\p{L}+") < words),
     ]
 
 
