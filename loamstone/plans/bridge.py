@@ -25,7 +25,8 @@ VIEWS = {
             CASE WHEN doc_id % 6 = 0 THEN chr(123) || '"consolidated": true' || chr(125) ELSE chr(123) || '"title": "t' || CAST(doc_id % 12 AS STRING) || '"' || chr(125) END AS meta, CAST(greatest(1, floor(length(text) / 3)) AS INT) AS token_count, CAST(NULL AS STRING) AS superseded_by
         FROM {{documents}}""",
     "notes": """
-        SELECT 'm-' || CAST(doc_id AS STRING) AS id, 'semantic' AS kind, CAST(NULL AS BIGINT) AS invalid_at, 'About [[Topic ' || CAST(doc_id % 23 AS STRING) || ']] and [[ Area ' || CAST(doc_id % 40 AS STRING) || ' |an alias]] in ' || source || '. ' || CASE doc_id % 5 WHEN 0 THEN '项目进度管理需要我们' WHEN 1 THEN '今天讨论项目' WHEN 2 THEN '样品发货。样品验收' WHEN 3 THEN 'plain alpha_flag words' ELSE '可以' END AS content FROM {documents}""",
+        SELECT 'm-' || CAST(doc_id AS STRING) AS id, 'semantic' AS kind, CAST(NULL AS BIGINT) AS invalid_at, 'About [[Topic ' || CAST(doc_id % 23 AS STRING) || ']] and [[ Area ' || CAST(doc_id % 40 AS STRING) || ' |an alias]] in ' || source || '. ' || CASE doc_id % 5 WHEN 0 THEN '项目进度管理需要我们' WHEN 1 THEN '今天讨论项目' WHEN 2 THEN '样品发货。样品验收' WHEN 3 THEN 'plain alpha_flag words' ELSE '可以' END
+            || CASE doc_id % 50 WHEN 7 THEN ' Password: hunter2' WHEN 8 THEN ' sk-abcdefghijklmnop1234' WHEN 9 THEN ' -----BEGIN RSA PRIVATE KEY-----' WHEN 10 THEN ' sk-short, password' ELSE '' END AS content FROM {documents}""",
     "raw_memories": """
         SELECT 'm-' || CAST(doc_id AS STRING) AS id, CASE doc_id % 4 WHEN 0 THEN 'episodic' WHEN 1 THEN 'knowledge_book' WHEN 2 THEN 'decision' ELSE 'dream' END AS kind, 'mode' || CAST(doc_id % 3 AS STRING) AS mode_id,
             chr(123) || '"source_id": "s' || CAST(doc_id % 90 AS STRING) || '", "domains": ["Work", "' || lang || '", "Work"], "entities": "Alpha; ' || source || ',beta", "confidence": ' || CASE WHEN doc_id % 7 = 0 THEN '1.7' ELSE '0.25' END || ', "memory_tier": "M3", "conflicts_with": "m-' || CAST(doc_id % 5 AS STRING) || '", "evidence": ['
@@ -73,7 +74,7 @@ VIEWS = {
     "retrieval_runs": """
         SELECT event_id AS run_id, user_id, event_type AS source, value AS latency_ms, CAST(ts AS DATE) AS day FROM {events} WHERE event_type IN ('click', 'view')""",
     "episodes": """
-        SELECT 'mb-' || substring(md5(CAST(conv_id AS STRING)), 1, 16) AS bundle_id, turn AS chunk_index, role, text AS content FROM {conversations}""",
+        SELECT 'mb-' || substring(md5(CAST(conv_id AS STRING)), 1, 16) AS bundle_id, turn AS chunk_index, role, CASE WHEN turn % 3 = 0 THEN chr(123) || '"content": "part ' || CAST(turn AS STRING) || '"' || chr(125) ELSE text END AS content FROM {conversations}""",
 }
 
 

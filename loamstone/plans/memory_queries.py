@@ -107,7 +107,7 @@ def hot_memories(spark, d):
     return M.hot(view(spark, d, "memories"), view(spark, d, "memory_cognitive")).select("id", "memory_tier")
 
 
-@query("""SELECT bundle_id, count(*) AS n_parts, string_agg(content, '' ORDER BY chunk_index, content) AS content FROM episodes GROUP BY bundle_id""")
+@query("""SELECT bundle_id, count(*) AS n_parts, string_agg(part, '' ORDER BY chunk_index, part) AS content FROM (SELECT *, CASE WHEN chunk_index % 3 = 0 THEN 'part ' || CAST(chunk_index AS VARCHAR) ELSE content END AS part FROM episodes) x GROUP BY bundle_id""")
 def bundles(spark, d):
     return M.bundle(view(spark, d, "episodes"))
 
@@ -138,9 +138,9 @@ def text_projection(spark, d):
     return m.select("id", X.title(F.col("content")).alias("title"), X.snippet(F.col("content")).alias("snippet"), S.token_count(F.col("content")).alias("tokens"))
 
 
-@query(r"""SELECT id FROM memories WHERE regexp_matches(content, '\bsk-[A-Za-z0-9_-]{16,}\b') OR regexp_matches(content, '(?i)\b(?:api[_ -]?key|access[_ -]?token|password|secret)\s*[:=]\s*\S+')""")
+@query(r"""SELECT id FROM notes WHERE regexp_matches(content, '\bsk-[A-Za-z0-9_-]{16,}\b') OR regexp_matches(content, '(?i)\b(?:api[_ -]?key|access[_ -]?token|password|secret)\s*[:=]\s*\S+') OR contains(content, '-----BEGIN RSA PRIVATE KEY-----')""")
 def secret_rejects(spark, d):
-    return view(spark, d, "memories").filter(X.has_secret(F.col("content"))).select("id")
+    return view(spark, d, "notes").filter(X.has_secret(F.col("content"))).select("id")
 
 
 @query("""SELECT id, CASE WHEN kind IN ('episodic', 'semantic', 'procedural') THEN kind WHEN kind = 'knowledge_book' THEN 'semantic' WHEN kind = 'decision' THEN 'procedural' WHEN kind = 'idea' THEN 'hypothesis' ELSE 'semantic' END AS memory_form,

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loamstone.functions import scoring as S
 from loamstone.functions import text as X
 from loamstone.operators import fulltext as T
 from loamstone.operators import governance as G
@@ -85,6 +86,7 @@ def test_values_of_json_dates_and_bigrams(spark):
     assert one(spark, X.iso_date(F.lit("2024-02-29T10:00"))).isoformat() == "2024-02-29" and one(spark, X.iso_date(F.lit("2024-2-1"))) is None and one(spark, X.iso_date(F.lit("2024-13-01"))) is None
     assert one(spark, X.parsed_json(F.lit("[1, 2]"), "array<int>", F.array(F.lit(0)))) == [1, 2] and one(spark, X.parsed_json(F.lit(None).cast("string"), "array<int>", F.array(F.lit(0)))) == [0]
     assert one(spark, X.bigram_similarity(F.lit("样品 发货"), F.lit("样品发"))) == pytest.approx(2 / math.sqrt(6)) and one(spark, X.bigram_similarity(F.lit("a"), F.lit("ab"))) == 0
+    assert one(spark, S.normalized(F.array(F.lit(3.0), F.lit(4.0)))) == pytest.approx([0.6, 0.8]) and one(spark, S.normalized(F.array(F.lit(0.0)))) == [0.0]
     assert X.segmented("x", lambda t: ["我们", "项目", "进", "ab"]) == ["项目"]
 
 
