@@ -52,8 +52,15 @@ def often_of(table: Shared, h: np.ndarray) -> np.ndarray:
 Hashes = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def shared_hashes(parts: list[tuple[DataFrame, Hashes]], often: int, wanted: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> Shared:
-    """Of each table (with doc_id and text) ``of(bytes, offsets)`` gives rows and their hashes; ``wanted`` picks rows.
+def listed(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and hashes of the lists in column ``hashes``."""
+    col = b.column("hashes")
+    off = np.asarray(col.offsets).astype(np.int64)
+    return np.repeat(np.arange(len(col)), np.diff(off)), np.asarray(col.values)[off[0] : off[-1]].view(np.uint64)
+
+
+def shared_hashes(parts: list[tuple[DataFrame, Hashes | None]], often: int, wanted: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> Shared:
+    """Of each table (with doc_id and text) ``of(bytes, offsets)`` gives rows and their hashes, or the table has lists of ``hashes``; ``wanted`` picks rows.
 
     Hashes that occur ``often`` times or more are frequent (255 at most are counted in a batch of rows). Each task sends its
     distinct hashes batch by batch, sorted and packed: five bytes, a count, and whether two documents have it. Buckets of
@@ -63,11 +70,15 @@ def shared_hashes(parts: list[tuple[DataFrame, Hashes]], often: int, wanted: Cal
     bucket_bits = min(max(BUCKET_BITS, (4 * n - 1).bit_length()), MOST_BUCKET_BITS)
     keep, keep_often = BITS - bucket_bits, OFTEN_BITS - bucket_bits
 
-    def send(of: Hashes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def send(of: Hashes | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b if wanted is None else wanted(b)
             hashes, docs_of, ids = [], [], np.asarray(b.column("doc_id").fill_null(-(1 << 63)))
-            for lo, _, buf, offs in chunks(*text_buffer(b.column("text")), CHUNK):
+            if of is None:
+                row, h = listed(b)
+                hashes.append(_spread(h))
+                docs_of.append(ids[row])
+            for lo, _, buf, offs in chunks(*text_buffer(b.column("text")), CHUNK) if of is not None else ():
                 row, h = of(buf, offs)
                 hashes.append(_spread(h))
                 docs_of.append(ids[lo + row])
@@ -107,7 +118,7 @@ def shared_hashes(parts: list[tuple[DataFrame, Hashes]], often: int, wanted: Cal
             frequent[(t[count >= often] >> np.uint64(40 - keep_often)).astype(np.int64)] = True
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(table, bitorder="little").tobytes()], pa.binary()), pa.array([np.packbits(frequent, bitorder="little").tobytes()], pa.binary())], names=["bucket", "bits", "often"])
 
-    sent = reduce(DataFrame.unionAll, [df.select("doc_id", "text").transform(arrow_map, partial(send, of), "bucket int, tails binary, counts binary, several binary") for df, of in parts])
+    sent = reduce(DataFrame.unionAll, [df.select("doc_id", "hashes" if of is None else "text").transform(arrow_map, partial(send, of), "bucket int, tails binary, counts binary, several binary") for df, of in parts])
     out = Shared(np.zeros((1 << BITS) >> 3, np.uint8), np.zeros((1 << OFTEN_BITS) >> 3, np.uint8))
     for r in sent.repartition(min(n, 1 << bucket_bits), "bucket").transform(arrow_map, meet, "bucket int, bits binary, often binary").collect():  # 17 MB in all
         for whole, data in zip(out, (r.bits, r.often), strict=True):
