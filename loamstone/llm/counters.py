@@ -81,3 +81,18 @@ def maybe_member_of(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
 def maybe_member(bits: np.ndarray, col: pa.Array) -> np.ndarray:
     """False for values that are not members for certain."""
     return maybe_member_of(bits, _slots(col))
+
+
+def without_members(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` (a long) is in ``gone``. Rows that are none for certain aren't moved; null keys stay."""
+    bits = df.sparkSession.sparkContext.broadcast(member_bits(gone, key))
+
+    def rows(member: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(maybe_member(bits.value, b.column(key)) == member))
+
+        return run
+
+    maybe = df.transform(arrow_map, rows(True), df.schema).join(gone.select(key), key, "left_anti").select(*df.columns)
+    return df.transform(arrow_map, rows(False), df.schema).unionByName(maybe)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstone.llm.common import arrow_map, materialize, skew_join
-from loamstone.llm.counters import maybe_member_of, summed_counters
+from loamstone.llm.counters import maybe_member_of, summed_counters, without_members
 from loamstone.llm.kernel import LOWER, chained, chunks, distinct, hash_spans, list_array, mixed, text_buffer, to_long, word_spans
 
 HASHES = 128
@@ -161,4 +161,4 @@ def without_contained(docs: DataFrame, items: DataFrame, k: int = 5, threshold:
     else:
         rows, key = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "decon-rows"), "__row"
     found = materialize(contained(rows.select(F.col(key).alias("doc_id"), "text"), named, k, threshold).select(F.col("doc_id").alias(key)).distinct(), "decon-found")
-    return rows.join(found, key, "left_anti").select(*docs.columns)
+    return without_members(rows, found, key).select(*docs.columns)

@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 
 from loamstone.llm.common import arrow_map, discard, materialize, skew_join
 from loamstone.llm.components import components
-from loamstone.llm.counters import maybe_member, member_bits, summed_counters
+from loamstone.llm.counters import maybe_member, member_bits, summed_counters, without_members
 from loamstone.llm.kernel import LOWER, chunks, hash_spans, list_array, mixed, shingle_rows, text_buffer, to_long, word_spans
+from loamstone.llm.shared_hashes import listed, shared_hashes, shared_of
 
 SKETCH_BITS = 22
 #: Bits of the parity signature, and of the folded one that prefix entries carry.
 SIG_BITS, FOLDED_BITS = 1024, 256
+#: Bytes of a shingle's hash when a set is sent to be compared.
+SET_BYTES = 6
 
 
 def ceil_share(n: np.ndarray, t: Fraction) -> np.ndarray:
@@ -122,30 +125,80 @@ def _side(df: DataFrame, s: str) -> DataFrame:
 
 
 def shared_entries(reps: DataFrame) -> DataFrame:
-    """The prefix entries (tok, id, pos) whose shingle is in two prefixes or more, with ``center``: where it comes first."""
-    entries = reps.select(F.col("doc_id").alias("id"), F.posexplode("prefix").alias("pos", "tok"))
-    many = entries.groupBy("tok").agg(F.count("*").alias("c"), F.min(F.struct("pos", "id")).alias("first")).filter("c > 1").select("tok", F.col("first.id").alias("center"))
+    """The prefix entries (tok, id, pos) whose shingle is in two prefixes or more, with ``center``, the smallest id that has it.
+
+    The shingles of a group of near copies agree on their center, so a star has a pair for each copy. Most of a prefix's shingles are in no other: they drop out by a bit table of fixed size before any row is made of them.
+    """
+    lists = reps.select("doc_id", F.col("prefix").alias("hashes"))
+    table = reps.sparkSession.sparkContext.broadcast(shared_hashes([(lists, None)], 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, h = listed(b)
+            pos = np.arange(len(row)) - np.searchsorted(row, row)
+            keep = shared_of(table.value, h)
+            yield pa.RecordBatch.from_arrays([pa.array(to_long(h[keep])), b.column("doc_id").take(pa.array(row[keep])), pa.array(pos[keep].astype(np.int32))], names=["tok", "id", "pos"])
+
+    entries = materialize(lists.transform(arrow_map, run, "tok long, id long, pos int"), "ngram-entries")
+    many = entries.groupBy("tok").agg(F.count("*").alias("c"), F.min("id").alias("center")).filter("c > 1").select("tok", "center")
     return skew_join(entries, many, ["tok"])
 
 
+def _packed(sets: list[np.ndarray], which: np.ndarray) -> pa.Array:
+    """The upper SET_BYTES bytes of each hash of the sets, ascending, for each row its set."""
+    data = [(s >> np.uint64(64 - 8 * SET_BYTES)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for s in sets]
+    return pa.array([data[i] for i in which.tolist()], pa.binary())
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, SET_BYTES)
+    return out.view("<u8")[:, 0]
+
+
+def _sets_of(b: pa.RecordBatch, key: str, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The shingle sets of runs of rows with one document, and each row's run: a document's pairs come one after the other."""
+    ids = np.asarray(b.column(key))
+    head = np.append(True, ids[1:] != ids[:-1]) if len(ids) else np.zeros(0, bool)
+    texts = pa.RecordBatch.from_arrays([b.column("text").filter(pa.array(head))], names=["text"])
+    return [s for _, _, rows in document_shingles(texts, k) for s in rows], np.cumsum(head) - 1
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b), each there once, whose shingle sets have similarity t or more, with the intersection's size."""
+    """The pairs (a, b), each there once, whose shingle sets have similarity t or more, with the intersection's size.
+
+    Each document of a pair has its text moved, which is smaller than its set; the set of one goes to the text of the other.
+    """
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     likely = docs.sparkSession.sparkContext.broadcast(member_bits(wanted, "doc_id"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(maybe_member(likely.value, batch.column("doc_id"))))
-            for lo, hi, rows in document_shingles(batch, k):
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), list_array(rows)], names=["doc_id", "set"])
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe_member(likely.value, b.column("doc_id"))))
 
-    sets = materialize(docs.select("doc_id", "text").transform(arrow_map, run, "doc_id long, set array<long>"), "ngram-sets")
-    with_a = skew_join(pairs, sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), ["a"])
-    full = skew_join(with_a, sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), ["b"])
-    both = full.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("common"), (F.size("set_a") + F.size("set_b")).cast("long").alias("total"))
-    out = materialize(both.filter(F.col("common") * t.denominator >= (F.col("total") - F.col("common")) * t.numerator).groupBy("a", "b").agg(F.max("common").alias("common")), "ngram-links")
-    discard(sets)
-    return out
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, which = _sets_of(b, "a", k)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), _packed(sets, which)], names=["a", "b", "set_a"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, which = _sets_of(b, "b", k)
+            mine = [_unpacked(x) for x in _packed(sets, np.arange(len(sets))).to_pylist()]
+            common, total = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+            for i, (w, data) in enumerate(zip(which.tolist(), b.column("set_a").to_pylist(), strict=True)):
+                other = _unpacked(data)
+                at = np.searchsorted(mine[w], other)
+                at[at == len(mine[w])] = 0
+                common[i], total[i] = int((mine[w][at] == other).sum()) if len(mine[w]) else 0, len(other) + len(mine[w])
+            good = pa.array(common * t.denominator >= (total - common) * t.numerator)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(common)], names=["a", "b", "common"]).filter(good)
+
+    texts = docs.select("doc_id", "text").transform(arrow_map, needed, "doc_id long, text string")
+    side = lambda c: texts.select(F.col("doc_id").alias(c), "text")
+    sent = skew_join(pairs.select("a", "b"), side("a"), ["a"]).select("a", "b", "text").transform(arrow_map, first, "a long, b long, set_a binary")
+    met = skew_join(sent, side("b"), ["b"]).select("a", "b", "set_a", "text").transform(arrow_map, second, "a long, b long, common long")
+    return materialize(met.groupBy("a", "b").agg(F.max("common").alias("common")), "ngram-links")
 
 
 def _named(posts: DataFrame, named: DataFrame) -> DataFrame:
@@ -184,9 +237,12 @@ def _cross_pairs(posts: DataFrame, reps: DataFrame, t: Fraction, within: bool =
 def all_links(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -> DataFrame:
     """Every link (a, b, common) between classes. In a large group of near copies their number grows with its square: for components use ``near_duplicates``."""
     t = Fraction(*threshold)
-    _, _, reps = _classes(docs, k, t)
+    _, classes, reps = _classes(docs, k, t)
     posts = shared_entries(reps).withColumn("comp", F.col("id"))
-    return verified(materialize(_cross_pairs(posts, reps, t, within=True).distinct(), "ngram-near"), docs, k, t)
+    found = verified(materialize(_cross_pairs(posts, reps, t, within=True).distinct(), "ngram-near"), docs, k, t)
+    for side in ("a", "b"):
+        found = found.join(classes.select(F.col("class_id").alias(side)), side, "left_semi")
+    return found.select("a", "b", "common")
 
 
 def _classes(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -194,7 +250,14 @@ def _classes(docs: DataFrame, k: int, t: Fraction) -> tuple[DataFrame, DataFrame
     signed = materialize(signatures(docs, k, t, frequency_sketch(docs, k)), "ngram-signed")
     filled = signed.filter("n > 0")
     classes = materialize(filled.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("class_id")), "ngram-classes")
-    reps = filled.join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n", "sig", "prefix")
+    # a copy that passes for a representative does no harm: it is linked with its class
+    chosen = docs.sparkSession.sparkContext.broadcast(member_bits(classes.select("class_id"), "class_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(maybe_member(chosen.value, b.column("doc_id"))))
+
+    reps = filled.select("doc_id", "n", "sig", "prefix").transform(arrow_map, run, "doc_id long, n long, sig array<long>, prefix array<long>")
     return signed, classes, materialize(reps, "ngram-reps")
 
 
@@ -236,7 +299,7 @@ def keep_one(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4, 5)) -
     if ids.filter("doc_id IS NULL OR count > 1").isEmpty():
         member = materialize(near_duplicates(docs, k, threshold).select("doc_id", "component_id"), "ngram-member")
         gone = member.filter("component_id <> doc_id").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        return without_members(docs, gone, "doc_id")
     rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "ngram-rows")
     member = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), k, threshold)
     member = materialize(member.select(F.col("doc_id").alias("__row"), "n_shingles", "component_id"), "ngram-member")
