@@ -4,7 +4,7 @@ Text and phrases are compared in lower case. The terms of a text are its runs of
 wherever it is a substring, in any script; a phrase of fewer than three characters has no term and is found nowhere. A
 phrase's frequency is the number of places where it begins.
 
-Without an index, a search scans the texts once, with all phrases in one projection. With stored postings (trigram, id,
+Without an index, a search scans the texts once, with all phrases in one projection; the scan counts texts and terms too. With stored postings (trigram, id,
 sorted and partitioned by trigram), it reads the postings of the phrases' trigrams, and only texts that have all trigrams of
 a phrase are looked at.
 """
@@ -12,12 +12,15 @@ a phrase are looked at.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import scoring as S
+from loamstone.functions.text import like_contains
+from loamstone.sources.shared import stored
 
 #: Fixed values of the ranking: saturation, length normalization, the least weight of a phrase, buckets of postings.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -49,8 +52,8 @@ def hits(rows: DataFrame, phrases: list[str], key: str = "id", text: str = "cont
     found = [F.when(folded.contains(p), F.struct(F.lit(i).alias("phrase"), places(folded, p).alias("tf"))) for i, p in enumerate(_phrases(phrases)) if len(p) >= GRAM]
     if not found:
         return rows.select(key).limit(0).withColumns({"dl": F.lit(0), "phrase": F.lit(0), "tf": F.lit(0)})
-    any_of = reduce(lambda a, b: a | b, [folded.contains(p) for p in _phrases(phrases) if len(p) >= GRAM])
-    return rows.filter(any_of).select(key, length(text).alias("dl"), F.explode(F.array_compact(F.array(*found))).alias("hit")).select(key, "dl", "hit.phrase", "hit.tf")
+    lean = rows.select(key, length(text).alias("dl"), F.array_compact(F.array(*found)).alias("hits"))
+    return lean.filter(F.size("hits") > 0).select(key, "dl", F.explode("hits").alias("hit")).select(key, "dl", "hit.phrase", "hit.tf")
 
 
 def statistics(rows: DataFrame, text: str = "content") -> DataFrame:
@@ -85,10 +88,15 @@ def search_bounded(rows: DataFrame, phrases: list[str], k: int = 20, pool: int =
 
 
 def _found(rows: DataFrame, phrases: list[str], index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
-    if index is None:
+    """The hits and the statistics, from one scan or by the index."""
+    if index is not None:
+        table, stats = index
+        return hits(rows.join(candidates(table, phrases), "id", "left_semi"), phrases), stats
+    if not any(len(p) >= GRAM for p in phrases):
         return hits(rows, phrases), statistics(rows)
-    postings, stats = index
-    return hits(rows.join(candidates(postings, phrases), "id", "left_semi"), phrases), stats
+    seen = Observation(f"scan-{uuid.uuid4().hex}")
+    found = stored(hits(rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg(length("content")).alias("avgdl")), phrases), "hits")
+    return found, rows.sparkSession.createDataFrame([(seen.get["n"], seen.get["avgdl"])], "n long, avgdl double")
 
 
 # stored postings
@@ -122,7 +130,7 @@ def candidates(table: DataFrame, phrases: list[str]) -> DataFrame:
 
 def write_index(rows: DataFrame, path: str) -> None:
     """Store postings and statistics of (id, content) below ``path``."""
-    postings(rows).repartition("bucket", F.pmod(F.xxhash64("term"), F.lit(8191))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    postings(rows).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     statistics(rows).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
@@ -132,8 +140,6 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def entries(rows: DataFrame, query: str, phrases: list[str], k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """id and position: the search's ids, or where it has none the k latest recalled rows that contain the query (as LIKE tells)."""
-    from loamstone.functions.text import like_contains
-
     found = search(rows, phrases, k, index)
     order = Window.orderBy(F.desc(F.round("bm25", 9)), "id")
     if not query.strip() or not found.isEmpty():
