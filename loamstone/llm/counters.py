@@ -8,12 +8,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loamstone.llm.common import arrow_map
 
 PARTS = 16
 #: Membership bits: 1 MB, whatever the number of members. When they fill up, more non-members pass; members always do.
 MEMBER_BITS = 23
+#: Keys that are broadcast at most: 8 MB.
+BROADCAST = 1 << 20
 
 
 def summed_counters(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], None], size: int, finish: Callable[[np.ndarray], np.ndarray], kind: type = np.int64) -> np.ndarray:
@@ -84,7 +87,12 @@ def maybe_member(bits: np.ndarray, col: pa.Array) -> np.ndarray:
 
 
 def without_members(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``df`` without the rows whose ``key`` (a long) is in ``gone``. Rows that are none for certain aren't moved; null keys stay."""
+    """``df`` without the rows whose ``key`` (a long) is in ``gone``; null keys stay.
+
+    Up to BROADCAST keys are counted and broadcast; beyond, rows that are none for certain aren't moved.
+    """
+    if gone.limit(BROADCAST + 1).count() <= BROADCAST:
+        return df.join(F.broadcast(gone.select(key)), key, "left_anti").select(*df.columns)
     bits = df.sparkSession.sparkContext.broadcast(member_bits(gone, key))
 
     def rows(member: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

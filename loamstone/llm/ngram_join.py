@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import arrow_map, discard, materialize, skew_join
+from loamstone.llm.common import arrow_map, materialize, scratch, skew_join
 from loamstone.llm.components import components
 from loamstone.llm.counters import maybe_member, member_bits, summed_counters, without_members
 from loamstone.llm.kernel import LOWER, chunks, hash_spans, list_array, mixed, shingle_rows, text_buffer, to_long, word_spans
@@ -269,8 +269,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (4
     connected already can't change a component, so it isn't made: a large group of near copies costs a star, not its square.
     """
     t = Fraction(*threshold)
-    signed, classes, reps = _classes(docs, k, t)
-    posts = materialize(shared_entries(reps), "ngram-posts")
+    with scratch(docs.sparkSession):  # the prefixes go as soon as the entries are there
+        signed, classes, reps = _classes(docs, k, t)
+        posts = materialize(shared_entries(reps), "ngram-posts", outer=True)
+        reps = materialize(reps.select("doc_id", "n", "sig"), "ngram-info", outer=True)
+        signed = materialize(signed.select("doc_id", "n", "k1", "k2"), "ngram-keys", outer=True)
+        classes = materialize(classes, "ngram-classes", outer=True)
     named = tried = found = None
     for step in (_star_pairs, _star_pairs, _cross_pairs):
         pairs = step(posts.withColumn("comp", F.col("id")) if named is None else _named(posts, named), reps, t).distinct()
