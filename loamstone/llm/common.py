@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of an Arrow batch on its way to a Python worker, where the session sets no bound of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LIMIT, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 
