@@ -51,6 +51,26 @@ m AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS wo
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols * 10 > n_words * 3 OR capitals * 2 > solid OR cries * 10 > n_words * 3 OR solid > n_words * 24 OR solid < n_words * 2 OR n_dup_lines * 10 > n_lines * 4 AS rejected FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM v"""
 
+_DISTANCE = "CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+
+
+def _round(n: int) -> str:
+    """CTEs of one round of clustering: a{n} assigns by c{n}, c{n+1} has the new centroids."""
+    return f"""a{n} AS (SELECT v.r, any_value(v.x) AS x, min({{'d': {_DISTANCE}, 'c': c.c}}).c AS c FROM v, c{n} c GROUP BY v.r),
+s{n} AS (SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{n}, unnest(generate_series(1, 64)) AS u(i) GROUP BY c, i),
+m{n} AS (SELECT c, list(CAST((s - (((s % n) + n) % n)) // n AS BIGINT) ORDER BY i) AS x FROM s{n} GROUP BY c),
+c{n + 1} AS (SELECT o.c, coalesce(m.x, o.x) AS x FROM c{n} o LEFT JOIN m{n} m ON m.c = o.c)"""
+
+
+CLUSTERING = f"""
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR))) - 1 AS INTEGER) AS c, x FROM v QUALIFY c < 16),
+{_round(0)},
+{_round(1)},
+{_round(2)},
+f AS (SELECT v.r, any_value(v.vec_id) AS vec_id, min({{'d': {_DISTANCE}, 'c': c.c}}) AS b FROM v, c3 c GROUP BY v.r)
+SELECT vec_id, b.c AS cluster, b.d AS distance, CAST(sum(b.d) OVER (PARTITION BY b.c) AS BIGINT) AS cluster_inertia, CAST(sum(b.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c3.x, ',')) AS centroid_sha256 FROM f JOIN c3 ON c3.c = f.b.c"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": WARC, "op2_ngram_jaccard_join": NGRAM_JOIN, "op3_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY}
+    return {"op1_warc": WARC, "op2_ngram_jaccard_join": NGRAM_JOIN, "op3_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY, "op11_centroid_clustering": CLUSTERING}

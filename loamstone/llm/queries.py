@@ -14,11 +14,11 @@ from loamstone.llm.common import table
 PII_KEY = "loamstone"
 
 
-def tokenizer_path() -> str:
-    """The vocabulary file of the public byte-level tokenizer installed beside Python."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A vocabulary file of the public tokenizers installed beside Python; the byte-level one if none is named."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,5 +83,23 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"), k=16, rounds=3)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.periodic_runs import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loamstone.llm.token_counts import counted
+
+    return counted(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_ngram_jaccard_join, op3_decontamination, op4_lattice_lm, op5_suffix_dedup, op6_sharding, op7_pii, op8_bpe, op9_quality_rules, op10_passages)}
+    return {f.__name__: f for f in (op1_warc, op2_ngram_jaccard_join, op3_decontamination, op4_lattice_lm, op5_suffix_dedup, op6_sharding, op7_pii, op8_bpe, op9_quality_rules, op10_passages, op11_centroid_clustering, op12_periodic_runs, op13_token_counts)}
