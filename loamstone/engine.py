@@ -12,6 +12,7 @@ import hashlib
 import json
 import threading
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -31,8 +32,10 @@ from loamstone.operators import retrieval as R
 
 #: Base versions kept, and appended parts after which a table is compacted.
 KEEP, PARTS = 3, 32
-BATCH, RUNS_KEPT = 500, 5000
-CONSTITUTION = "# 宪法 v0\n\n1. 月度预算 ¥800 不可超\n2. 不假装知道未验证的事实\n3. 默认走最低成本模型,只在必要时升级\n"
+BATCH, RUNS_KEPT, ITEM_DAYS = 500, 5000, 30
+#: What a depth's limit, made for one file on one machine, is multiplied by for jobs of a cluster.
+PATIENCE = 100.0
+CONSTITUTION = "# 宪法\n\nWrite here, one to a line, the rules that hold for every agent; proposals to change them wait for people.\n"
 Principal = tuple[str, str]
 
 
@@ -43,8 +46,8 @@ def _digest(*parts: str, size: int = 24) -> str:
 class Engine:
     """Memories and all that belongs to them below ``path``. ``now`` gives epoch seconds; ``embed`` makes a query's vector."""
 
-    def __init__(self, spark: SparkSession, path: str, now: Callable[[], int], owner: str = "owner", embed: Callable[[list[str], int], list] | None = None, dim: int = 1024):
-        self.spark, self.path, self.now, self.owner, self.embed, self.dim = spark, path.rstrip("/"), now, owner, embed, dim
+    def __init__(self, spark: SparkSession, path: str, now: Callable[[], int], owner: str = "owner", embed: Callable[[list[str], int], list] | None = None, dim: int = 1024, patience: float = PATIENCE):
+        self.spark, self.path, self.now, self.owner, self.embed, self.dim, self.patience = spark, path.rstrip("/"), now, owner, embed, dim, patience
         self._vectors: dict[str, list[float]] = {}
         self.warm: set[str] = set()
 
@@ -99,9 +102,9 @@ class Engine:
             for empty in ("touches", "densities"):
                 self.replace(empty, self.spark.createDataFrame([], schemas.TABLES[empty]))
         elif name == "postings":
-            self.replace(name, self.table(name).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"))
+            self.replace(name, T.sorted_postings(self.table(name)))
         else:
-            folded = {"concepts": self.concepts, "dangling_refs": self.dangling}
+            folded = {"concepts": self.concepts, "dangling_refs": self.dangling, "seen": self.seen}
             self.replace(name, folded[name]() if name in folded else self.table(name))
 
     def memories(self) -> DataFrame:
@@ -141,7 +144,7 @@ class Engine:
         source = str(r.get("source_id") or meta.get("source_id") or "").strip()
         if source:
             meta.setdefault("source_id", source)
-        mid = r.get("id") or "m-" + _digest("source" if source else f"{now}|{i}|{r['kind']}", source or r["content"])
+        mid = r.get("id") or "m-" + (_digest("source", source) if source else uuid.uuid4().hex[:24])
         return (mid, r["kind"], r["content"], r.get("mode_id", ""), r.get("persona_id") or meta.get("persona_id"), int(r.get("importance", 2)), now, now, 0, float(r.get("emotional_tag", 0)), 0.5, 0.0, 0.0, json.dumps(meta, ensure_ascii=False), None, None, None, None, None, source or None)
 
     def store_batch(self, rows: list[dict], principal: Principal | None = None, trusted: bool = False, embed_now: bool = False) -> list[str]:
@@ -168,7 +171,7 @@ class Engine:
 
     def _index(self, new: DataFrame, now: int) -> None:
         """Postings of all new memories; links, concepts and mentions of all but raw chunks of books."""
-        self.append("postings", T.postings(new).sortWithinPartitions("bucket", "term"))
+        self.append("postings", T.postings(new).sortWithinPartitions("bucket", "term", "id", "position"))
         self.append("lengths", new.select("id", T.length("content").alias("dl")))
         tags = F.transform(X.listed_json(F.get_json_object("meta", "$.tags")), lambda x: F.lower(x))
         chunk = (F.col("kind") == "knowledge_book") & (F.get_json_object("meta", "$.scope") == "book_library") & F.array_contains(tags, "full_text")
@@ -203,7 +206,7 @@ class Engine:
     def reindex(self) -> dict:
         """Rebuild postings, concepts, links and co-occurrence edges from the live memories; edges of other kinds stay."""
         rows = M.live(self.memories())
-        self.replace("postings", T.postings(rows).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"))
+        self.replace("postings", T.sorted_postings(T.postings(rows)))
         self.replace("lengths", rows.select("id", T.length("content").alias("dl")))
         reps = N.representatives(rows)
         links = N.stored_links(reps)
@@ -228,7 +231,7 @@ class Engine:
 
     def rebuild_postings(self) -> int:
         """Postings of all memories, invalid ones too."""
-        self.replace("postings", T.postings(self.table("memories")).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"))
+        self.replace("postings", T.sorted_postings(T.postings(self.table("memories"))))
         self.replace("lengths", self.table("memories").select("id", T.length("content").alias("dl")))
         return self.table("lengths").count()
 
@@ -326,31 +329,36 @@ class Engine:
     def recall_planned(self, query: str, vector: list[float] | None = None, depth: str = "Q2", principal: Principal | None = None, roles: list[str] | None = None, limit: int = 8, token_budget: int = 1600, max_chars: int = 0, timeout_ms: int = 0, touch: bool = True, dreams: bool = True, session_id: str = "", project: str = "", **wanted) -> dict:
         """Fused lexical, vector and graph candidates after access, filters and budgets; the run and its audit are recorded.
 
-        The shallow depths search hot memories only. A plan that isn't done within ``timeout_ms`` is stopped and gives nothing
-        but ``partial``; without a timeout there is no limit.
+        The shallow depths search hot memories only. The limit is the depth's (times ``patience``), or ``timeout_ms`` if that is
+        less. Its first part is the channels': one that isn't done then is cancelled, and the others' candidates are fused
+        (``partial``, stop_reason ``timeout``, ``late`` names the channels). A plan that isn't done at the end gives nothing
+        but ``partial``.
         """
         depth = S.depth(depth)
-        _, items, chars, *_ = S.DEPTHS[depth]
+        most, items, chars, *_ = S.DEPTHS[depth]
+        most = most * self.patience
+        limit_ms = min(timeout_ms or most, most)
         if not items:
             return {"items": [], "candidates": 0, "tokens": 0, "partial": False, "stop_reason": "conversation_only"}
         began, memories = time.time(), self.memories()
         rows = M.live(memories) if depth == "Q3" else M.hot(memories, self.table("memory_cognitive"))
-        vector = vector if vector is not None else self.query_vector(query)
+        channels = C.Channels(self.spark, limit_ms / 1000)
         dream = self.dream_effect() if dreams else self.spark.createDataFrame([], "memory_id string, dream double")
 
         def plan() -> tuple[list[Row], list[Row]]:
-            found, denied = C.rrf_candidates(memories, rows, self.table("memories_vec"), self.table("edges"), self.allowed(principal, roles), query, vector, depth, self.index(rows))
+            found, denied = C.rrf_candidates(memories, rows, self.table("memories_vec"), self.table("edges"), self.allowed(principal, roles), query, (lambda: self.query_vector(query)) if vector is None else vector, depth, self.index(rows), channels)
             chosen, audit = C.planned(found, denied, self.table("memory_cognitive"), self.table("memory_facets"), self.table("memory_conflicts"), self.table("memory_evidence"), dream, min(limit, items), min(max_chars or chars, chars), token_budget, depth, project=project, **wanted)
             return chosen.collect(), audit.collect()
 
-        done = self.within(timeout_ms, plan)
+        done = self.within(limit_ms, plan)
         if done is None:
-            return {"items": [], "candidates": 0, "tokens": 0, "partial": True, "stop_reason": "timeout"}
+            return {"items": [], "candidates": 0, "tokens": 0, "partial": True, "stop_reason": "timeout", "late": sorted(channels.late)}
         chosen, audit = done
         chosen = sorted(chosen, key=lambda r: r.final_rank)
         reasons = {r.filter_reason for r in audit}
         stop = next((s for s in ("char_budget", "token_budget", "budget", "item_budget") if f"{s}_dropped" in reasons), "item_budget" if len(chosen) >= min(limit, items) else "complete") if audit else "no_match"
-        now, run_id = self.now(), "rr-" + _digest(query, session_id, str(self.now()), str(len(self._parts("retrieval_runs"))), size=16)
+        stop = "timeout" if channels.late else stop
+        now, run_id = self.now(), "rr-" + uuid.uuid4().hex[:16]
         counts: dict[str, int] = {}
         for r in chosen:
             counts[r.kind or "memory"] = counts.get(r.kind or "memory", 0) + 1
@@ -361,12 +369,12 @@ class Engine:
         if touch:
             self.touch([r.id for r in chosen])
         return {
-            "run_id": run_id, "items": chosen, "audit": audit, "candidates": candidates, "tokens": tokens, "source_counts": counts, "partial": stop not in ("complete", "no_match"), "stop_reason": stop, "shared_state_version": self.version(project or "global"),
+            "run_id": run_id, "items": chosen, "audit": audit, "candidates": candidates, "tokens": tokens, "source_counts": counts, "partial": stop not in ("complete", "no_match"), "stop_reason": stop, "late": sorted(channels.late), "shared_state_version": self.version(project or "global"),
             "evidence_pack": [{"memory_id": r.id, "source_id": r.source_id or "", "evidence": [e.asDict() for e in r.evidence or []], "open_conflicts": list(r.open_conflicts or [])} for r in chosen],
             "citation_pack": [{"memory_id": r.id, "source_id": r.source_id or "", "root_source_id": r.root_source_id or "", "locators": list(r.locators)} for r in chosen],
         }
 
-    def within(self, timeout_ms: int, work: Callable):
+    def within(self, timeout_ms: float, work: Callable):
         """``work()``, or None if its Spark jobs aren't done in time; they are cancelled then."""
         if not timeout_ms:
             return work()
@@ -693,12 +701,25 @@ class Engine:
     # telemetry
 
     def fold_seen(self) -> None:
-        """Count what recalls have shown into the sidecar, and keep the latest runs and thirty days of their items."""
-        shown = self.table("run_items").filter("final_rank IS NOT NULL").groupBy("memory_id").agg(F.count("*").cast("int").alias("n"))
-        side = self.table("memory_cognitive").join(shown, "memory_id", "left")
-        self.replace("memory_cognitive", side.withColumn("seen_count", F.coalesce("n", F.col("seen_count"))).drop("n"))
+        """Count what recalls have shown, and keep the latest runs and thirty days of their items.
+
+        Each run is a batch of counts of its own that is added once, however often it is folded, and stays when its items go.
+        """
+        shown = self.table("run_items").filter("final_rank IS NOT NULL").groupBy("memory_id", F.col("run_id").alias("batch")).agg(F.lit(1).cast("long").alias("n"), F.max("created_ts").alias("ts"))
+        self.append("seen", shown.join(self.table("seen").select("batch").distinct(), "batch", "left_anti"))
         self.replace("retrieval_runs", self.table("retrieval_runs").orderBy(F.desc("created_ts"), F.desc("run_id")).limit(RUNS_KEPT))
-        self.replace("run_items", self.table("run_items").filter(F.col("created_ts") >= self.now() - 30 * S.DAY))
+        self.replace("run_items", self.table("run_items").filter(F.col("created_ts") >= self.now() - ITEM_DAYS * S.DAY))
+
+    def seen(self) -> DataFrame:
+        """The counts of runs; those of runs whose items are gone as one batch."""
+        old = F.col("ts") < self.now() - (ITEM_DAYS + 1) * S.DAY
+        return self.table("seen").groupBy("memory_id", F.when(old, F.lit("")).otherwise(F.col("batch")).alias("batch")).agg(F.sum("n").alias("n"), F.max("ts").alias("ts"))
+
+    def sidecars(self) -> DataFrame:
+        """The governance rows with all that was ever seen."""
+        shown = self.table("seen").groupBy("memory_id").agg(F.sum("n").alias("n"))
+        side = self.table("memory_cognitive").join(shown, "memory_id", "left")
+        return side.withColumn("seen_count", (F.coalesce("seen_count", F.lit(0)) + F.coalesce("n", F.lit(0))).cast("int")).drop("n")
 
     # replicas, jobs
 

@@ -27,11 +27,16 @@ def wikilinks(text: Column) -> Column:
     return F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def neighbours(chars: Column) -> Column:
+    """Each two neighbours of an array of characters together, in time linear in its length."""
+    return F.zip_with(F.slice(chars, F.lit(1), F.size(chars) - 1), F.slice(chars, F.lit(2), F.size(chars) - 1), lambda a, b: F.concat(a, b))
+
+
 def han_tokens(text: Column) -> Column:
     """Greedy runs of two to six Han characters, then each pair of neighbours, without stop words."""
     runs = F.regexp_extract_all(text, F.lit(HAN + "{2,6}"), F.lit(0))
     whole = F.regexp_extract_all(text, F.lit(HAN + "{2,}"), F.lit(0))
-    pairs = F.flatten(F.transform(whole, lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    pairs = F.flatten(F.transform(F.transform(whole, lambda r: F.split(r, "")), neighbours))
     return F.array_except(F.concat(runs, pairs), F.lit(STOP))
 
 
@@ -131,7 +136,7 @@ def bigram_similarity(a: Column, b: Column) -> Column:
     """Shared distinct bigrams of Han characters, ASCII letters and digits, over the root of both numbers."""
     def grams(t: Column) -> Column:
         s = F.array_join(F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit(r"[\x{4e00}-\x{9fff}A-Za-z0-9]+"), F.lit(0)), "")
-        return F.when(F.char_length(s) > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(s) - 1), lambda i: F.substring(s, i, F.lit(2))))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.char_length(s) > 1, F.array_distinct(neighbours(F.split(s, "")))).otherwise(F.array().cast("array<string>"))
 
     x, y = grams(a), grams(b)
     return F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y)) / F.sqrt(F.size(x) * F.size(y))).otherwise(0.0)

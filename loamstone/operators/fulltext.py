@@ -4,16 +4,18 @@ Text and phrases are compared in lower case. The terms of a text are its runs of
 wherever it is a substring, in any script; a phrase of fewer than three characters has no term and is found nowhere. A
 phrase's frequency is the number of places where it begins.
 
-Without an index, a search scans the texts once, with all phrases in one projection; the scan counts texts and terms too. With stored postings (trigram, id,
-sorted and partitioned by trigram), it reads the postings of the phrases' trigrams, and only texts that have all trigrams of
-a phrase are looked at.
+Without an index, a search scans the texts once, with all phrases in one projection; the scan counts texts and terms too. The
+stored index has a row for each place of each trigram (term, id, position, and the text's number of terms), sorted by term. A
+phrase is covered by the trigrams at its places 0, 3, 6, ... and at its end: where all of them follow each other at these
+distances, the phrase begins. So a search reads the rows of a few terms and no text, and scores come from the rows alone. Only
+texts that have the phrase's rarest trigram are looked at further. A phrase's weight depends on the exact number of texts
+that have it, so all its places are found, however few results are wanted.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,13 +72,13 @@ def scores(found: DataFrame, stats: DataFrame, key: str = "id") -> DataFrame:
     return found.join(F.broadcast(df), "phrase").crossJoin(F.broadcast(stats)).select(key, "phrase", score.alias("score"))  # one row, and one a phrase
 
 
-def search(rows: DataFrame, phrases: list[str], k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
-    """id and bm25 of the k best by the sum over phrases. ``index`` is (postings, statistics)."""
+def search(rows: DataFrame | None, phrases: list[str], k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """id and bm25 of the k best by the sum over phrases. ``index`` is (postings, statistics); with it ``rows`` may be None for all that is indexed."""
     found, stats = _found(rows, phrases, index)
     return scores(found, stats).groupBy("id").agg(F.sum("score").alias("bm25")).orderBy(F.desc(F.round("bm25", 9)), "id").limit(k)
 
 
-def search_bounded(rows: DataFrame, phrases: list[str], k: int = 20, pool: int = 48, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def search_bounded(rows: DataFrame | None, phrases: list[str], k: int = 20, pool: int = 48, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Each phrase ranks its own best alone; the ranks are fused, so that a rare phrase isn't lost among many."""
     pool = max(k, min(900, pool))
     each = max(8, -(-pool // max(1, len(phrases))))
@@ -87,11 +89,12 @@ def search_bounded(rows: DataFrame, phrases: list[str], k: int = 20, pool: int =
     return fused.orderBy(F.desc(F.round("fused", 9)), F.desc(F.round("bm25", 9)), "best_rank", "id").limit(min(k, pool))
 
 
-def _found(rows: DataFrame, phrases: list[str], index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
+def _found(rows: DataFrame | None, phrases: list[str], index: tuple[DataFrame, DataFrame] | None) -> tuple[DataFrame, DataFrame]:
     """The hits and the statistics, from one scan or by the index."""
     if index is not None:
         table, stats = index
-        return hits(rows.join(candidates(table, phrases), "id", "left_semi"), phrases), stats
+        found = stored(indexed_hits(table, phrases), "hits")
+        return found if rows is None else found.join(rows.select("id"), "id"), stats
     if not any(len(p) >= GRAM for p in phrases):
         return hits(rows, phrases), statistics(rows)
     seen = Observation(f"scan-{uuid.uuid4().hex}")
@@ -101,8 +104,13 @@ def _found(rows: DataFrame, phrases: list[str], index: tuple[DataFrame, DataFram
 
 # stored postings
 
-def _trigrams(phrase: str) -> list[str]:
-    return list(dict.fromkeys(phrase[i : i + GRAM] for i in range(len(phrase) - GRAM + 1)))
+#: Rows of the rarest trigrams whose ids are sent to all tasks; beyond that both sides are shuffled.
+BROADCAST_ROWS = 1 << 18
+
+
+def _cover(phrase: str) -> dict[int, str]:
+    """Trigrams that together hold all characters of the phrase, by their places in it."""
+    return {i: phrase[i : i + GRAM] for i in (*range(0, len(phrase) - GRAM, GRAM), len(phrase) - GRAM)}
 
 
 def _bucket(term: Column) -> Column:
@@ -110,32 +118,51 @@ def _bucket(term: Column) -> Column:
 
 
 def postings(rows: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """bucket, term, key: the distinct trigrams of each text. Nothing is shuffled."""
-    folded = _folded(text)
-    grams = F.when(F.char_length(folded) >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length(folded) - (GRAM - 1)), lambda i: F.substring(folded, i, F.lit(GRAM)))))
-    return rows.select(key, F.explode(grams).alias("term")).select(_bucket(F.col("term")).alias("bucket"), "term", key)
+    """bucket, term, key, dl, position of every trigram of each text, in time linear in its length. Nothing is shuffled."""
+    folded = rows.select(key, _folded(text).alias("folded")).filter(F.char_length("folded") >= GRAM)
+    chars = folded.select(key, F.split("folded", "").alias("a"))  # once: a place of a string is found from its start, one of an array at once
+    n = F.size("a")
+    three = F.arrays_zip(F.slice("a", F.lit(1), n - 2).alias("a"), F.slice("a", F.lit(2), n - 2).alias("b"), F.slice("a", F.lit(3), n - 2).alias("c"))
+    grams = chars.select(key, (n - (GRAM - 1)).alias("dl"), F.posexplode(three).alias("position", "g")).select(key, "dl", "position", F.concat("g.a", "g.b", "g.c").alias("term"))
+    return grams.select(_bucket(F.col("term")).alias("bucket"), "term", key, "dl", "position")
+
+
+def sorted_postings(rows: DataFrame) -> DataFrame:
+    """The postings in the order of the stored index; a frequent term goes over several files."""
+    return rows.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "term", "id", "position")
 
 
-def candidates(table: DataFrame, phrases: list[str]) -> DataFrame:
-    """id of the texts that have all trigrams of a phrase: of few terms, few buckets and row groups are read."""
-    wanted = [_trigrams(p) for p in _phrases(phrases) if len(p) >= GRAM]
-    terms = sorted({t for ts in wanted for t in ts})
-    if not terms:
-        return table.select("id").limit(0)
+def indexed_hits(table: DataFrame, phrases: list[str], key: str = "id") -> DataFrame:
+    """As ``hits``, from postings: of few terms, few buckets and row groups are read."""
     spark = table.sparkSession
-    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()]
-    got = table.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).groupBy("id").agg(F.collect_set("term").alias("terms"))
-    return got.filter(reduce(lambda a, b: a | b, [F.size(F.array_except(F.lit(ts), "terms")) == 0 for ts in wanted])).select("id")
+    covers = {i: _cover(p) for i, p in enumerate(_phrases(phrases)) if len(p) >= GRAM}
+    wanted = spark.createDataFrame([(t, i, shift) for i, c in covers.items() for shift, t in c.items()], "term string, phrase int, shift int")
+    terms = sorted({t for c in covers.values() for t in c.values()})
+    buckets = [r[0] for r in wanted.select(_bucket(F.col("term"))).distinct().collect()] if terms else []
+    got = table.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    number = {r[0]: r[1] for r in got.groupBy("term").count().collect()} if terms else {}  # a row for each term asked for
+    rarest = {i: min(c.values(), key=lambda t: number.get(t, 0)) for i, c in covers.items()}
+    alone = {i for i, c in covers.items() if len(c) > 1}
+    rows = got.join(F.broadcast(wanted), "term").select(key, "dl", "phrase", "term", (F.col("position") - F.col("shift")).alias("start"))
+    if alone:
+        first = spark.createDataFrame([(i, rarest[i]) for i in alone], "phrase int, term string")
+        holding = rows.join(F.broadcast(first), ["phrase", "term"]).select(key, "phrase").distinct()
+        few = sum(number.get(rarest[i], 0) for i in alone) <= BROADCAST_ROWS
+        single = rows.filter(~F.col("phrase").isin([*alone]))
+        rows = single.unionByName(rows.filter(F.col("phrase").isin([*alone])).join(F.broadcast(holding) if few else holding, [key, "phrase"], "left_semi"))
+    need = spark.createDataFrame([(i, len(c)) for i, c in covers.items()], "phrase int, need int")
+    whole = rows.groupBy(key, "phrase", "start").agg(F.count("*").alias("n"), F.first("dl").alias("dl")).join(F.broadcast(need), "phrase").filter(F.col("n") == F.col("need"))
+    return whole.groupBy(key, "phrase").agg(F.first("dl").alias("dl"), F.count("*").cast("int").alias("tf")).select(key, "dl", "phrase", "tf")
 
 
 def write_index(rows: DataFrame, path: str) -> None:
     """Store postings and statistics of (id, content) below ``path``."""
-    postings(rows).repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    sorted_postings(postings(rows)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     statistics(rows).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.schema("term string, id string, bucket int").parquet(f"{path}/postings"), spark.read.schema("n long, avgdl double").parquet(f"{path}/statistics")
+    return spark.read.schema("term string, id string, dl int, position int, bucket int").parquet(f"{path}/postings"), spark.read.schema("n long, avgdl double").parquet(f"{path}/statistics")
 
 
 def entries(rows: DataFrame, query: str, phrases: list[str], k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

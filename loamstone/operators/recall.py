@@ -5,6 +5,8 @@ A channel is a short list (id, rank); all that is joined with it is bounded by t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,12 @@ from loamstone.operators import governance as G
 from loamstone.operators import graph as N
 from loamstone.operators import memory as M
 from loamstone.operators import retrieval as R
+from loamstone.operators.channels import Channels
 from loamstone.sources.shared import stored
 
 ENTRY, POOL = 15, 400
+#: Until when in a recall's limit the lexical and the vector channel may run, and the graph channel after them.
+FIRST_SHARE, GRAPH_SHARE = 0.4, 0.6
 Index = tuple[DataFrame, DataFrame] | None
 
 
@@ -123,19 +128,33 @@ def relations(typed: DataFrame, vector: list[float], k: int = 5, floor: float =
 
 # planned recall
 
-def rrf_candidates(memories: DataFrame, index_rows: DataFrame, vectors: DataFrame, edges: DataFrame, allowed: DataFrame, query: str, vector: list[float] | None, depth: str, index: Index = None) -> tuple[DataFrame, DataFrame]:
+def rrf_candidates(memories: DataFrame, index_rows: DataFrame, vectors: DataFrame, edges: DataFrame, allowed: DataFrame, query: str, vector: list[float] | Callable[[], list[float] | None] | None, depth: str, index: Index = None, channels: Channels | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidates that may be read, with their rank in each channel and fused; and the denied ones with their raw ranks.
 
     Access is decided on the ids that the lexical and vector channels bring up, before any content is taken, and at each
-    hop of the graph channel, which starts from the first twelve of both.
+    hop of the graph channel, which starts from the first twelve of both. The lexical and the vector channel run side by side
+    (``vector`` may be a function that makes the query's vector within its channel); what a channel doesn't find within the limit
+    of ``channels`` counts as nothing found, and ``channels.late`` names it.
     """
+    channels = channels or Channels(memories.sparkSession)
     _, _, _, lex_cap, vec_cap, graph_cap = S.DEPTHS[depth]
     most = min(900, 4 * lex_cap)
-    lex = T.search_bounded(index_rows, X.query_terms(query), most, most, index)
-    lex = stored(_position(lex, F.desc(F.round("fused", 9)), F.desc(F.round("bm25", 9)), F.col("best_rank"), F.col("id")).select("id", "position"), "lexical")
-    none = memories.select("id").limit(0).withColumn("sim", F.lit(0.0))
-    near = none if vector is None else R.nearest(vectors, vector, min(384, 8 * vec_cap)).withColumnRenamed("memory_id", "id")
-    near = stored(_position(near, F.desc(F.round("sim", 9)), F.col("id")), "vector")
+    nothing = memories.select("id").limit(0).withColumn("position", F.lit(0))
+
+    def literal() -> DataFrame:
+        found = T.search_bounded(index_rows, X.query_terms(query), most, most, index)
+        return stored(_position(found, F.desc(F.round("fused", 9)), F.desc(F.round("bm25", 9)), F.col("best_rank"), F.col("id")).select("id", "position"), "lexical")
+
+    def similar() -> DataFrame:
+        v = vector() if callable(vector) else vector
+        if v is None or not vec_cap:
+            return nothing.withColumn("sim", F.lit(0.0))
+        found = R.nearest(vectors, v, min(384, 8 * vec_cap)).withColumnRenamed("memory_id", "id")
+        return stored(_position(found, F.desc(F.round("sim", 9)), F.col("id")), "vector")
+
+    got = channels.run({"lexical": literal, "vector": similar}, FIRST_SHARE)
+    lex = nothing if got["lexical"] is None else got["lexical"]
+    near = nothing.withColumn("sim", F.lit(0.0)) if got["vector"] is None else got["vector"]
     raw = lex.select("id").union(near.select("id")).distinct()
     ok = stored(raw.join(allowed, "id", "left_semi"), "allowed")
     denied = raw.join(ok, "id", "left_anti").join(lex.select("id", F.col("position").alias("lexical_rank")), "id", "left").join(near.select("id", F.col("position").alias("vector_rank")), "id", "left")
@@ -144,7 +163,8 @@ def rrf_candidates(memories: DataFrame, index_rows: DataFrame, vectors: DataFram
     seeds = entry_union(lexical.filter("lexical_rank <= 12").withColumnRenamed("lexical_rank", "position"), vectorial.filter("vector_rank <= 12").withColumnRenamed("vector_rank", "position"))
     graph = memories.select("id").limit(0).withColumn("graph_rank", F.lit(0))
     if graph_cap:
-        graph = stored(N.bounded_ranks(edges, stored(seeds, "seeds"), allowed, graph_cap).select("id", F.col("rank").alias("graph_rank")), "graph")
+        walk = channels.run({"graph": lambda: stored(N.bounded_ranks(edges, stored(seeds, "seeds"), allowed, graph_cap).select("id", F.col("rank").alias("graph_rank")), "graph")}, GRAPH_SHARE)["graph"]
+        graph = graph if walk is None else walk
     found = lexical.join(vectorial, "id", "full").join(graph, "id", "full").join(near.select("id", "sim"), "id", "left")
     ranks = [F.col(f"{c}_rank") for c in ("lexical", "vector", "graph")]
     score = sum((F.coalesce(S.rrf(r), F.lit(0.0)) for r in ranks), F.lit(0.0))

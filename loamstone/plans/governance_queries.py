@@ -316,7 +316,7 @@ def full_text(spark, d):
 def full_text_indexed(spark, d):
     rows, path = _live(spark, d), f"{shared_dir(spark)}/loamstone-core/index-{uuid.uuid4().hex}"
     T.write_index(rows, path)
-    return T.search(rows, X.query_terms(QUERY), index=T.read_index(spark, path)).select("id", F.round("bm25", 6).alias("bm25"))
+    return T.search(None, X.query_terms(QUERY), index=T.read_index(spark, path)).select("id", F.round("bm25", 6).alias("bm25"))
 
 
 def bounded_sql(k: int, pool: int) -> str:

@@ -245,6 +245,16 @@ def stream_seen(spark, d):
     return _settled(spark, E.seen_counts(_stream(spark, d)), "seen", "complete")
 
 
+@query("SELECT 'm-' || CAST(user_id AS VARCHAR) AS memory_id, count(*) AS n FROM {events} GROUP BY 1")
+def stream_accumulated(spark, d):
+    """Counts by micro-batch, delivered twice, summed on read."""
+    path = f"{shared_dir(spark)}/loamstone-core/stream-accumulated-{uuid.uuid4().hex}"
+    events = _stream(spark, d).withColumn("memory_id", F.concat(F.lit("m-"), F.col("user_id").cast("string")))
+    for k in range(2):  # another checkpoint: all batches come again
+        E.accumulate(events, f"{path}/counts", f"{path}/checkpoint-{k}").awaitTermination()
+    return E.accumulated(spark, f"{path}/counts")
+
+
 @query("SELECT event_id, event_type FROM {events}")
 def stream_deduplicated(spark, d):
     """Every event delivered twice comes out once."""

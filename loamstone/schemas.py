@@ -30,17 +30,18 @@ INBOX = (
 )
 RUNS = "run_id string, session_id string, query_hash string, depth string, candidates int, results int, tokens int, latency_ms double, source_counts map<string,int>, created_ts long"
 RUN_ITEMS = "run_id string, memory_id string, lexical_rank int, vector_rank int, graph_rank int, rrf_score double, permission_result string, filter_reason string, final_rank int, created_ts long"
+SEEN = "memory_id string, batch string, n long, ts long"
 PROMOTIONS = "promotion_id string, memory_id string, from_tier string, to_tier string, rule_version string, run_id string, reviewer string, created_ts long"
 VERSIONS = "scope_id string, version long, content_hash string, updated_ts long"
 TOUCHES = "id string, ts long"
 DENSITIES = "id string, connection_density double, seq long"
-POSTINGS = "bucket int, term string, id string"
+POSTINGS = "bucket int, term string, id string, dl int, position int"
 LENGTHS = "id string, dl int"
 SHARDS = "memory_id string, copy int, pool string, payload binary, sha256 string, created_ts long, pending_upload boolean"
 
 TABLES = {
     "memories": MEMORIES, "edges": EDGES, "review_state": REVIEWS, "memory_cognitive": COGNITIVE, "memory_acl": ACL, "memory_evidence": EVIDENCE, "memory_conflicts": CONFLICTS, "memory_activations": ACTIVATIONS,
     "dream_events": DREAMS, "memory_facets": FACETS, "memory_lineage": LINEAGE, "memories_vec": VECTORS, "concepts": CONCEPTS, "mem_concepts": MEM_CONCEPTS, "concept_edges": CONCEPT_EDGES, "dangling_refs": DANGLING,
-    "typed_edges": TYPED, "inbox": INBOX, "retrieval_runs": RUNS, "run_items": RUN_ITEMS, "promotions": PROMOTIONS, "versions": VERSIONS, "touches": TOUCHES, "densities": DENSITIES, "postings": POSTINGS, "lengths": LENGTHS,
+    "typed_edges": TYPED, "inbox": INBOX, "retrieval_runs": RUNS, "run_items": RUN_ITEMS, "seen": SEEN, "promotions": PROMOTIONS, "versions": VERSIONS, "touches": TOUCHES, "densities": DENSITIES, "postings": POSTINGS, "lengths": LENGTHS,
     "shards": SHARDS,
 }

@@ -58,6 +58,23 @@ def upsert(df: DataFrame, path: str, checkpoint: str, key: str = "run_id", time:
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def accumulate(df: DataFrame, path: str, checkpoint: str, key: str = "memory_id", event: str = "event_id") -> StreamingQuery:
+    """Write the counts that each micro-batch adds below ``path``, named by the batch's number; ``accumulated`` sums them.
+
+    A batch that is delivered again overwrites its own counts, so it adds nothing, and what becomes of the events changes no count.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.dropDuplicates([event]).groupBy(key).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def accumulated(spark: SparkSession, path: str, key: str = "memory_id") -> DataFrame:
+    """All that was ever counted, by key."""
+    return spark.read.parquet(path).groupBy(key).agg(F.sum("n").alias("n"))
+
+
 def settled(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run the stream over what is there and return the table that it leaves at ``path``: all rows, or in complete mode the last result."""
 

@@ -194,7 +194,7 @@ def test_planned_recall_packs_budgets_audit_and_deadline(engine):
     tight = engine.recall_planned("长长长", depth="Q1", token_budget=100, max_chars=30)
     assert tight["tokens"] == 30 and len(tight["items"][0].snippet) == 30 and engine.memories().filter("id = 'long'").first().recall_count == 1
     engine.fold_seen()
-    side = engine.table("memory_cognitive").filter("memory_id = 'long'").first()
+    side = engine.sidecars().filter("memory_id = 'long'").first()
     assert (side.seen_count, side.activation_count) == (3, 0)
     began = time.time()
     late = engine.recall_planned("governed memory", timeout_ms=1)
@@ -245,3 +245,54 @@ def test_jobs_to_the_end(engine, tmp_path):
     assert [s["step"] for s in receipt["steps"]][:3] == ["file_sync", "distill", "consolidate"] and (tmp_path / "vault" / "README.md").exists()
     assert engine.constitution().startswith("# 宪法") and engine.propose("x")["status"] == "queued_for_human_review"
     assert engine.backfill_governance() == {"processed": 0, "complete": True}
+
+
+def test_counts_of_what_was_seen_only_grow(engine):
+    engine.store_batch([{"id": i, "kind": "semantic", "content": "x"} for i in ("a", "b")])
+    seen = lambda: {r.memory_id: r.seen_count for r in engine.sidecars().collect()}
+    show = lambda run, *ids: engine.append("run_items", engine._rows("run_items", [(run, i, 1, None, None, 0.0, "allowed", "", k + 1, engine.now()) for k, i in enumerate(ids)]))
+    show("r1", "a", "b")
+    show("r2", "a")
+    engine.fold_seen()
+    engine.fold_seen()
+    show("r2", "a")  # delivered again
+    engine.fold_seen()
+    assert seen() == {"a": 2, "b": 1}
+    engine.clock[0] += 40 * 86400
+    show("r3", "a")
+    engine.fold_seen()
+    engine.compact("seen")
+    engine.fold_seen()
+    assert engine.table("run_items").count() == 1 and seen() == {"a": 3, "b": 1} and engine.table("seen").filter("batch = ''").count() == 2
+
+
+def test_equal_memories_of_one_second_are_two(engine):
+    ids = [engine.store({"kind": "semantic", "content": "same"}) for _ in range(2)]
+    assert len(set(ids)) == 2 and engine.table("memories").count() == 2
+    again = [engine.store({"kind": "semantic", "content": "same", "source_id": "s"}) for _ in range(2)]
+    assert len(set(again)) == 1 and engine.table("memories").count() == 3
+
+
+def test_a_slow_channel_leaves_the_others_results(engine, monkeypatch):
+    from loamstone.operators import fulltext as T
+
+    governed(engine, "fact", "M1", True, EVIDENCE)
+    vec = [1.0] + [0.0] * 15
+    engine.replace("memories_vec", engine.spark.createDataFrame([("fact", vec)], "memory_id string, vec array<float>"))
+    engine.recall_planned("governed memory", vector=vec, touch=False)  # warm
+
+    def slow(rows, *args, **kwargs):
+        spark = engine.spark
+        wait = spark.range(1).mapInPandas(lambda parts: (time.sleep(300) or p for p in parts), "id long")
+        return wait.select(F.col("id").cast("string"), F.lit(1.0).alias("fused"), F.lit(1.0).alias("bm25"), F.lit(1).alias("best_rank"))
+
+    monkeypatch.setattr(T, "search_bounded", slow)
+    began = time.time()
+    got = engine.recall_planned("governed memory", vector=vec, timeout_ms=60_000, touch=False)
+    assert time.time() - began < 60
+    assert [r.id for r in got["items"]] == ["fact"] and got["items"][0].via == "vector"
+    assert got["partial"] and got["stop_reason"] == "timeout" and got["late"] == ["lexical"]
+    assert not [j for j in engine.spark.sparkContext.statusTracker().getActiveJobsIds()]
+    began = time.time()
+    none = engine.recall_planned("governed memory", vector=[0.0] * 16, depth="Q1", timeout_ms=10_000, touch=False)
+    assert none["partial"] and none["stop_reason"] == "timeout" and time.time() - began < 12

@@ -152,3 +152,41 @@ def test_vault_files(spark, tmp_path):
     text = (tmp_path / "vault" / "concepts" / "same.md").read_text()
     assert "- second\n- first" in text and (tmp_path / "vault" / "moc" / "map.md").read_text() == "# m\nx\n" and (tmp_path / "vault" / "README.md").exists()
     assert sorted(r.concept for r in N.themes(edges, found).collect()) == ["N/c", "N/d", "N/e", "N/f", "same", "same"]
+
+
+def test_postings_take_time_linear_in_the_text(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def took(kb):
+        texts = spark.range(8, numPartitions=1).select(F.col("id").cast("string"), F.expr(f"array_join(transform(sequence(1, {kb} * 128), i -> substring(sha2(cast(i as string), 256), 1, 8)), '')").alias("content")).cache()
+        texts.count()
+        began = time.perf_counter()
+        n = T.postings(texts).count()
+        assert n == 8 * (kb * 1024 - 2)
+        return time.perf_counter() - began
+
+    took(10)
+    base, twice, four = (min(took(kb) for _ in range(3)) for kb in (10, 20, 40))
+    assert four < 9 * base + 0.2 and twice < 5 * base + 0.2
+
+
+def test_phrases_are_found_by_their_places_alone(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    made = ["".join(r.choice("abé项 ") for _ in range(r.randint(0, 60))) for _ in range(150)] + [None, "aaaaaaaaaa", "ab" * 30]
+    rows = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(made)], "id string, content string")
+    T.write_index(rows, str(tmp_path / "index"))
+    index = T.read_index(spark, str(tmp_path / "index"))
+    phrases = ["aaa", "aaaa", "ababab", "abababab", "项 a", "é项éa", "zzzz", "ab", "bé a"]
+    places = lambda t, p: sum(t.startswith(p, i) for i in range(len(t)))
+    want = {(f"m{i}", k): (len(t) - 2, places(t, p)) for i, t in enumerate(made) if t for k, p in enumerate(phrases) if len(p) > 2 and places(t, p)}
+    assert {(x.id, x.phrase): (x.dl, x.tf) for x in T.indexed_hits(index[0], phrases).collect()} == want
+    assert T.indexed_hits(index[0], ["ab"]).collect() == []
+    near = lambda df: {x.id: round(x.bm25, 9) for x in df.collect()}
+    assert near(T.search(None, phrases, 500, index)) == near(T.search(rows, phrases, 500))
+    assert near(T.search(rows.limit(0), phrases, 500, index)) == {}
+    plan = T.search(None, phrases, 5, index)._jdf.queryExecution().toString()
+    assert "content" not in plan
