@@ -1,13 +1,15 @@
 """Subword lattice language model: the marginal probability of a text over all its segmentations.
 
-The subword inventory is an existing tokenizer's vocabulary (never trained here). Its scores, a unigram distribution over
-pieces and the end of a text, are learned from the training documents by expectation maximisation over the lattices of all
-distinct training words, weighted by their counts; the first scores follow the vocabulary's own order (a piece's rank).
-The probability of a word is the sum over all ways to make it of pieces, by a forward recursion in log space; a word is
-spelled with one space before it, pieces don't reach over words, so a text's log probability is the sum of its words' and
-of the end's. The lattice of a word seen in training has one more edge, the whole word, by Witten and Bell's estimate:
-with N training tokens of V kinds, a word's probability is (count + V * the marginal over pieces) / (N + V). Over all words
-and the end the probabilities sum to one.
+The subword inventory is an existing tokenizer's whole vocabulary (never trained here, none of its pieces left out). It brings
+a unigram score for each piece, by the vocabulary's own order (a Zipf law of the ranks). These scores weight the lattices
+first, and stay the prior of what the training documents tell: two rounds of expectation maximisation over the lattices of all distinct
+training words, weighted by their counts. The probability of a word is the sum over all ways to make it of pieces, by a
+forward recursion in log space; a word is spelled with one space before it, pieces don't reach over words, so a text's log
+probability, its ``score``, is the sum of its words' and of the end's. Over all words and the end the probabilities sum to one
+at most (pieces that no word is spelled with keep their share).
+
+``word_score`` is that of a mixture beside it: a word seen in training has its count, by Witten and Bell's estimate; with N
+training tokens of V kinds its probability is (count + V * the marginal over pieces) / (N + V).
 
 All passes over lattices are over distinct words, in vectors over thousands of words at a time. Word statistics are one
 aggregate by word (pre-aggregated in each task). The most frequent words, ``TOP`` at most, are broadcast with their scores;
@@ -43,20 +45,20 @@ HELD = 400_000
 ROUNDS = 2
 #: Expected counts are summed as whole numbers of 1 / GRAIN, so the sum doesn't depend on the order of tasks.
 GRAIN = 1 << 16
-SMOOTH = 0.05
-LONGEST = 16
+#: Uses a piece that the prior counts, on average.
+PRIOR = 0.05
 _BATCH_BYTES = 1 << 18
 
 
 class Inventory:
-    """Byte pieces of a byte-level vocabulary file, looked up by value: up to LONGEST bytes, lower case; all single bytes are in."""
+    """Byte pieces of a byte-level vocabulary file, looked up by value; all of them, and all single bytes."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         alphabet = byte_alphabet()
         ranked = (bytes(alphabet[c] for c in token) for token, _ in sorted(vocab.items(), key=lambda x: x[1]))
-        pieces = dict.fromkeys([*(bytes([b]) for b in range(256)), *(p for p in ranked if len(p) <= LONGEST and b" " not in p[1:] and not any(65 <= c <= 90 for c in p))])
+        pieces = dict.fromkeys([*(bytes([b]) for b in range(256)), *ranked])
         self.pieces = list(pieces)
         self.size = len(self.pieces)
         at = np.cumsum([0, *map(len, self.pieces)])
@@ -95,7 +97,7 @@ class Inventory:
         return out
 
     def first_scores(self) -> np.ndarray:
-        """Natural log scores by rank (a Zipf law), the end of text last."""
+        """The vocabulary's own scores: natural logs by rank (a Zipf law), the end of text last."""
         p = 1.0 / (np.arange(self.size + 1) + 10.0)
         return np.log(p / p.sum())
 
@@ -129,8 +131,8 @@ class Lattices:
             offs.append(offset[at])
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         start, self.piece, step, off = cat(starts), cat(pieces), cat(steps), cat(offs)
-        order = np.argsort(off * 32 + step, kind="stable")  # edges of one offset and length end at different nodes
-        self.start, self.piece, self.end, key = start[order], self.piece[order], (start + step)[order], (off * 32 + step)[order]
+        order = np.argsort(off * (inv.longest + 1) + step, kind="stable")  # edges of one offset and length end at different nodes
+        self.start, self.piece, self.end, key = start[order], self.piece[order], (start + step)[order], (off * (inv.longest + 1) + step)[order]
         cut = np.flatnonzero(np.diff(key)) + 1
         self.runs = list(zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True)) if len(key) else []
 
@@ -225,6 +227,7 @@ def learned_scores(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS)
     """Scores (natural logs) of the pieces and, last, of the end: ``rounds`` of expectation maximisation over ``words`` (word, c)."""
     inv = inventory(path)
     scores = inv.first_scores()
+    prior = PRIOR * (inv.size + 1) * np.exp(scores)
     size = -(-inv.size // 64) * 64
     for _ in range(rounds):
         shared = words.sparkSession.sparkContext.broadcast(scores)
@@ -235,30 +238,30 @@ def learned_scores(words: DataFrame, path: str, ends: int, rounds: int = ROUNDS)
                 total += np.round(GRAIN * Lattices(lattice_of, group).expected(shared.value, weight[lo:hi], len(total))).astype(np.int64)
 
         used = summed_counters(words.filter("c > 0").select("word", "c"), count, size, lambda c: c)[: inv.size] / GRAIN
-        mass = np.append(used + SMOOTH, ends + SMOOTH)
+        mass = np.append(used, ends) + prior
         scores = np.log(mass / mass.sum())
     return scores
 
 
 def word_scores(words: DataFrame, path: str, scores: np.ndarray, tokens: int = 0, kinds: int = 0) -> DataFrame:
-    """h, c and lp, the log10 probability of each word given the training corpus' numbers of tokens and kinds."""
+    """h, c, lp and lw: the log10 probability of each word by its lattice, and that mixed with its count in a corpus of so many tokens and kinds."""
     shared = words.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [Lattices(inventory(path), group).marginals(shared.value) for _, _, group in word_groups(b.column("word"))]
-            lp = np.concatenate(parts) / math.log(10) if parts else np.zeros(0)
+            lp = np.concatenate(parts) if parts else np.zeros(0)
+            lw = lp
             if tokens:
-                c = np.asarray(b.column("c"), dtype=np.float64)
                 with np.errstate(divide="ignore"):
-                    lp = np.logaddexp(np.log(c), lp * math.log(10) + math.log(kinds)) / math.log(10) - math.log10(tokens + kinds)
-            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(lp)], names=["h", "c", "lp"])
+                    lw = np.logaddexp(np.log(np.asarray(b.column("c"), dtype=np.float64)), lp + math.log(kinds)) - math.log(tokens + kinds)
+            yield pa.RecordBatch.from_arrays([b.column("h"), b.column("c"), pa.array(lp / math.log(10)), pa.array(lw / math.log(10))], names=["h", "c", "lp", "lw"])
 
-    return words.transform(arrow_map, run, "h long, c long, lp double")
+    return words.transform(arrow_map, run, "h long, c long, lp double, lw double")
 
 
-def frequent(words: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, count and score of the words with the largest counts, all with a count or none of them, ``most`` at most."""
+def frequent(words: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, count and both scores of the words with the largest counts, all with a count or none of them, ``most`` at most."""
     steps = words.filter("c > 0").groupBy(F.floor(4 * F.log2("c")).cast("int").alias("step")).agg(F.count("*").alias("n"), F.min("c").alias("least")).collect()
     least, n = None, 0
     for r in sorted(steps, key=lambda r: -r.step):
@@ -267,19 +270,19 @@ def frequent(words: DataFrame, most: int = TOP) -> tuple[np.ndarray, np.ndarray,
             break
         least = r.least
     if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0)
-    got = words.filter(F.col("c") >= least).select("h", "c", "lp").toArrow().combine_chunks()
-    h, c, lp = (got.column(k).to_numpy() for k in ("h", "c", "lp"))
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    got = words.filter(F.col("c") >= least).select("h", "c", "lp", "lw").toArrow().combine_chunks()
+    h, c, lp, lw = (got.column(k).to_numpy() for k in ("h", "c", "lp", "lw"))
     order = np.argsort(h.view(np.uint64))
-    return h.view(np.uint64)[order], c[order], lp[order]
+    return h.view(np.uint64)[order], c[order], lp[order], lw[order]
 
 
 def scored(docs: DataFrame, path: str, fold: int = 1, folds: int = 5) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score of each document.
 
     Documents whose crc32(doc_id as text) mod ``folds`` is ``fold`` are held out (null ids are not). Tokens are words and
     one end; ``base_score`` sums log10((c + 0.5) / (N + 0.5 (V + 1))) over them; ``score`` is the lattice model's log10
-    probability.
+    probability of the text, ``word_score`` that of its mixture with the counts of words.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
     docs = docs.select("doc_id", held.alias("held_out"), "text")
@@ -290,12 +293,12 @@ def scored(docs: DataFrame, path: str, fold: int = 1, folds: int = 5) -> DataFra
     scores = learned_scores(counts, path, ends)
     words = materialize(word_scores(counts, path, scores, train, kinds + (ends > 0)), "lm-words")
     discard(counts)
-    # of the tokens that pieces may begin with, the end has its share of the training tokens
-    end_score, end_base = math.log10(ends / train) if ends else float(scores[-1]) / math.log(10), math.log10(ends + 0.5) - bottom
+    end_score, end_base = float(scores[-1]) / math.log(10), math.log10(ends + 0.5) - bottom
+    end_word = math.log10(ends / train) if ends else end_score  # beside words, the end has its share of the training tokens
     shared = docs.sparkSession.sparkContext.broadcast(frequent(words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top_h, top_c, top_lp = shared.value
+        top_h, top_c, top_lp, top_lw = shared.value
         row = TaskContext.get().partitionId() << 40
         top_base = np.log10(top_c + 0.5) - bottom
         for b in batches:
@@ -309,23 +312,23 @@ def scored(docs: DataFrame, path: str, fold: int = 1, folds: int = 5) -> DataFra
                 slot[slot == len(top_h)] = 0
                 hit = top_h[slot] == h if len(top_h) else np.zeros(len(h), bool)
                 add = lambda x, hit=hit, doc=doc, size=hi - lo: np.bincount(doc[hit], weights=x, minlength=size)
-                base, score = add(top_base[slot[hit]]) if hit.any() else np.zeros(hi - lo), add(top_lp[slot[hit]]) if hit.any() else np.zeros(hi - lo)
+                base, score, mixed = (add(x[slot[hit]]) if hit.any() else np.zeros(hi - lo) for x in (top_base, top_lp, top_lw))
                 known = np.bincount(doc[hit], minlength=hi - lo)
                 miss = ~hit
                 at = np.concatenate([[0], np.cumsum(np.bincount(doc[miss], minlength=hi - lo))]).astype(np.int32)
                 rest = pa.ListArray.from_arrays(pa.array(at), pa.array(to_long(h[miss])))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row + np.arange(hi - lo)), b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), rest,
-                ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+                    pa.array(row + np.arange(hi - lo)), b.column("doc_id").slice(lo, hi - lo), b.column("held_out").slice(lo, hi - lo), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(mixed), rest,
+                ], names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word_score", "rest"])
                 row += hi - lo
 
-    seen = docs.transform(arrow_map, run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rest array<long>")
+    seen = docs.transform(arrow_map, run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word_score double, rest array<long>")
     seen = materialize(seen, "lm-seen")  # fixes the row numbers too
     rest = seen.select("row", F.explode("rest").alias("h")).join(words, "h")
-    sums = rest.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(F.col("c") + F.lit(0.5)) - F.lit(bottom)).alias("b"), F.sum("lp").alias("s"))
+    sums = rest.groupBy("row").agg(F.count_if(F.col("c") > 0).alias("k"), F.sum(F.log10(F.col("c") + F.lit(0.5)) - F.lit(bottom)).alias("b"), F.sum("lp").alias("s"), F.sum("lw").alias("w"))
     out = seen.drop("rest").join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("k", F.lit(0)) + int(ends > 0)).cast("long").alias("n_known"), F.lit(train).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("b") + end_base).alias("base_score"), (F.col("score") + zero("s") + end_score).alias("score"),
+        (F.col("base") + zero("b") + end_base).alias("base_score"), (F.col("score") + zero("s") + end_score).alias("score"), (F.col("word_score") + zero("w") + end_word).alias("word_score"),
     )

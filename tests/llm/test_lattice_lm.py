@@ -68,10 +68,11 @@ def test_scores_equal_brute_force(spark, path):
         if len(spelled) < 200:
             lp = m.Lattices(inv, spelled).marginals(scores) if spelled else []
             log = lambda k: math.log(k) if k else -math.inf
+            assert math.isclose(got[i].score, (sum(lp) + scores[-1]) / math.log(10), rel_tol=1e-5)
             want = sum((np.logaddexp(log(c[w.decode()]), math.log(v) + x) - math.log(n + v)) / math.log(10) for w, x in zip(spelled, lp)) + math.log10(c[None] / n)
-            assert math.isclose(got[i].score, want, rel_tol=1e-5)
+            assert math.isclose(got[i].word_score, want, rel_tol=1e-5)
     mean = lambda k: sum(getattr(r, k) for r in got.values() if r.held_out)
-    assert mean("score") > -1e9 and math.isfinite(mean("score"))
+    assert all(math.isfinite(mean(k)) for k in ("score", "word_score")) and mean("word_score") > mean("score")
     assert m.scored(docs.limit(0), path).count() == 0
 
 
@@ -79,7 +80,28 @@ def test_frequent_words_and_joined_words_agree(spark, path, monkeypatch):
     from loamstone.llm import lattice_lm as m
 
     docs = frame(spark, corpus(3))
-    want = {r.doc_id: r.score for r in m.scored(docs, path).collect()}
+    want = {r.doc_id: (r.score, r.word_score) for r in m.scored(docs, path).collect()}
     full = m.frequent
     monkeypatch.setattr(m, "frequent", lambda w: full(w, 0))
-    assert all(math.isclose(want[r.doc_id], r.score, rel_tol=1e-9) for r in m.scored(docs, path).collect())
+    assert all(math.isclose(x, y, rel_tol=1e-9) for r in m.scored(docs, path).collect() for x, y in zip(want[r.doc_id], (r.score, r.word_score)))
+
+
+def test_the_whole_vocabulary_is_there(path):
+    import json
+
+    from loamstone.llm.bpe import byte_alphabet
+    from loamstone.llm.lattice_lm import inventory
+
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    alphabet = byte_alphabet()
+    inv = inventory(path)
+    assert {bytes(alphabet[c] for c in t) for t in vocab} <= set(inv.pieces) and inv.longest == max(map(len, inv.pieces))
+
+
+def test_null_ids_train_and_are_scored(spark, path):
+    from loamstone.llm import lattice_lm as m
+
+    docs = frame(spark, corpus(4)).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "text AS word", "1 AS c", "2 AS h")
+    got = m.scored(docs, path).collect()
+    assert len(got) == docs.count() and not any(r.held_out for r in got) and all(r.n_known == r.n_tokens and math.isfinite(r.score) for r in got)
