@@ -15,8 +15,9 @@ nothing is lost. Ranks are hashes; the ranks of the first GRAM bytes come from t
 3. Threshold: positions that aren't unique send the rank with the bytes of their windows, and Spark sorts by rank; in each
    rank, contexts are ranked (equal contexts have all windows equal), and contexts that are still apart are reranked by
    (rank of the first half, rank of the second half) of each window up to ``length``. A hot rank is split: its positions
-   send each window by the rank of its ``length`` bytes. A window is repeated if its rank holds a smaller doc_id. In a task,
-   only the smallest doc_id of equal contexts is sent: the others are repeated for certain.
+   send each window by the rank of its ``length`` bytes. A window is repeated if its rank holds a smaller doc_id. Of equal
+   contexts of a batch only the smallest doc_id is sent, the others are repeated for certain; of a hot block or window the same
+   holds for all batches of a task. So a window that all documents have reaches the one task that decides it once from each task.
 4. Runs of repeated windows are gathered by document, and the covered bytes are cut out. Texts without a run aren't moved.
 
 The smallest document that has a window keeps it through step 1: were the window's block repeated, a smaller document would
@@ -24,13 +25,14 @@ have all of the block's windows. So step 3 meets every window at its smallest do
 
 Defined results: a null text is empty; texts shorter than ``length`` keep everything; rows with the same doc_id never
 repeat each other; repeated rows get equal results; texts of any length are handled whole; null ids count as smaller than
-any other; an empty table gives an empty table; other columns are left out.
+any other; an empty table gives an empty table; other columns are left out. Blocks and contexts count as equal where two
+64-bit hashes of their bytes are; rows without an id, or with one of several rows, are numbered in a copy of the table.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -178,6 +180,43 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c if k == "binary" else c.astype(np.int64 if k == "long" else np.int32), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+#: Hot blocks or windows that a task remembers before it sends them.
+LEADERS = 50_000
+
+
+class _Leaders:
+    """Of hot blocks (or windows) the row of the smallest document that a task has met."""
+
+    def __init__(self):
+        self.rows: dict[tuple[int, int], tuple[int, int, int, int, bytes]] = {}
+
+    def meet(self, which: np.ndarray, h: np.ndarray, e: np.ndarray, d: np.ndarray, u: np.ndarray, base: np.ndarray, last: np.ndarray, data: Callable[[int], bytes]) -> tuple[list[int], list[tuple[int, int, int]]]:
+        """Rows that are remembered or repeated for certain; and (uid, base, last) of the latter."""
+        settled, sure = [], []
+        for i in which.tolist():
+            key, row = (int(h[i]), int(e[i])), (int(d[i]), int(u[i]), int(base[i]), int(last[i]))
+            old = self.rows.get(key)
+            if old is not None and old[0] == row[0]:
+                continue  # another row of the same document: it is sent as any other
+            settled.append(i)
+            if old is not None and old[0] < row[0]:
+                sure.append(row[1:])
+                continue
+            if old is not None:
+                sure.append(old[1:4])
+            self.rows[key] = (*row, data(i))
+        return settled, sure
+
+    def sent(self, least: int = 0) -> list[np.ndarray]:
+        """Columns of all that is remembered, if there is more than ``least``."""
+        if len(self.rows) <= least:
+            return []
+        h, e = (np.array(x, dtype=np.uint64) for x in zip(*self.rows, strict=True))
+        d, u, base, last, data = zip(*self.rows.values(), strict=True)
+        self.rows = {}
+        return [h, e, *(np.array(x, dtype=np.int64) for x in (d, u, base, last)), list(data)]
+
+
 def shared_blocks(docs: DataFrame, length: int) -> tuple[Shared, DataFrame]:
     """Bits of the blocks that two documents may have, and a table of these blocks' windows: uid, doc_id, base, last, data.
 
@@ -193,6 +232,12 @@ def shared_blocks(docs: DataFrame, length: int) -> tuple[Shared, DataFrame]:
     table = docs.sparkSession.sparkContext.broadcast(bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders = _Leaders()
+
+        def of_leaders(least: int) -> Iterator[pa.RecordBatch]:
+            if cols := leaders.sent(least):
+                yield _batch(_BLOCK, to_long(cols[0]), to_long(cols[1]), *cols[2:])
+
         for b in batches:
             ids, uids = np.asarray(b.column("doc_id").fill_null(-(1 << 63))), np.asarray(b.column("uid"))
             found, texts = [], []
@@ -206,14 +251,22 @@ def shared_blocks(docs: DataFrame, length: int) -> tuple[Shared, DataFrame]:
                 continue
             h, e, d, u, base, last, a, text = (np.concatenate(x) for x in zip(*found, strict=True))
             again = _again(h, e, d)
-            if again.any():
-                who, x, y = _joined(u[again], base[again], base[again] + last[again])
+            gone = [u[again], base[again], last[again]]
+            cut = lambda i, a=a, last=last, text=text, texts=texts: texts[text[i]][a[i] : a[i] + last[i] + length].tobytes()
+            settled, sure = leaders.meet(np.flatnonzero(~again & often_of(table.value, h)), h, e, d, u, base, last, cut)
+            if sure:
+                gone = [np.concatenate([x, np.array(y, dtype=np.int64)]) for x, y in zip(gone, zip(*sure, strict=True), strict=True)]
+            again[settled] = True
+            if len(gone[0]):
+                who, x, y = _joined(gone[0], gone[1], gone[1] + gone[2])
                 yield _batch(_BLOCK, who, who, who, who, x, y - x, [None] * len(who))
+            yield from of_leaders(LEADERS)
             for k, buf in enumerate(texts):
                 own = np.flatnonzero((text == k) & ~again)
                 data = memoryview(buf)
                 kept = [data[x : x + n].tobytes() for x, n in zip(a[own].tolist(), (last[own] + length).tolist(), strict=True)]
                 yield _batch(_BLOCK, to_long(h[own]), to_long(e[own]), d[own], u[own], base[own], last[own], kept)
+        yield from of_leaders(0)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, least = (None, None), 0  # of the row before
@@ -271,6 +324,12 @@ def contexts(rows: DataFrame, shared: Shared, length: int, settled: Shared | Non
         return [row, rank, e, a, z, single]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leaders = _Leaders()
+
+        def of_leaders(least: int) -> Iterator[pa.RecordBatch]:
+            if cols := leaders.sent(least):
+                yield _batch(_CONTEXT, to_long(cols[0]), *cols[2:])
+
         for b in batches:
             ids, uids, bases = np.asarray(b.column("doc_id").fill_null(-(1 << 63))), np.asarray(b.column("uid")), np.asarray(b.column("base")).astype(np.int64)
             found, texts = [], []
@@ -282,14 +341,21 @@ def contexts(rows: DataFrame, shared: Shared, length: int, settled: Shared | Non
                 continue
             h, e, d, u, base, last, a, single, text = (np.concatenate(x) for x in zip(*found, strict=True))
             again = _again(h, e, d)
-            if again.any():  # neighbouring windows are one run
-                who, x, y = _joined(u[again], base[again], base[again] + last[again])
+            gone = [u[again], base[again], last[again]]
+            settled, sure = leaders.meet(np.flatnonzero(~again & single), h, e, d, u, base, last, lambda i, e=e: int(e[i]).to_bytes(8, "little"))
+            if sure:
+                gone = [np.concatenate([x, np.array(y, dtype=np.int64)]) for x, y in zip(gone, zip(*sure, strict=True), strict=True)]
+            again[settled] = True
+            if len(gone[0]):  # neighbouring windows are one run
+                who, x, y = _joined(gone[0], gone[1], gone[1] + gone[2])
                 yield _batch(_CONTEXT, who, who, who, x, y - x, [None] * len(who))
+            yield from of_leaders(LEADERS)
             for k, buf in enumerate(texts):
                 own = np.flatnonzero((text == k) & ~again)
                 data = memoryview(buf)
                 kept = [h2 if one else data[x : x + s].tobytes() for one, h2, x, s in zip(single[own].tolist(), _eight(e[own]), a[own].tolist(), (last[own] + length).tolist(), strict=True)]
                 yield _batch(_CONTEXT, to_long(h[own]), d[own], u[own], base[own], last[own], kept)
+        yield from of_leaders(0)
 
     return rows.transform(arrow_map, run, _CONTEXT)
 
@@ -317,17 +383,21 @@ def repeated_runs(found: DataFrame, length: int) -> DataFrame:
     """uid, a, z: windows starting at bytes a to z of the text are repeated. ``found`` comes sorted by rank in each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[pa.RecordBatch] = []  # of the last rank, which may go on
         for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            rank = np.asarray(t.column("rank").combine_chunks())
-            cut = int(np.searchsorted(rank, rank[-1]))  # the last rank may go on
+            if not b.num_rows:
+                continue
+            rank = np.asarray(b.column("rank"))
+            if rest and rank[0] != np.asarray(rest[-1].column("rank"))[-1]:
+                yield from _reranked(pa.Table.from_batches(rest), length)
+                rest = []
+            cut = int(np.searchsorted(rank, rank[-1]))
             if cut:
-                yield from _reranked(t.slice(0, cut), length)
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from _reranked(rest, length)
+                yield from _reranked(pa.Table.from_batches([*rest, b.slice(0, cut)]), length)
+                rest = []
+            rest.append(b.slice(cut))
+        if rest:
+            yield from _reranked(pa.Table.from_batches(rest), length)
 
     return found.transform(arrow_map, run, "uid long, a int, z int")
 
@@ -423,9 +493,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, keep_text: bool = True)
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    # rows are told apart by doc_id, or by a hash of id and text where an id is null or there twice
+    # rows are told apart by doc_id, or by their number in a copy of the table where an id is null or there twice
     single = docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty()
-    docs = docs.withColumn("uid", F.col("doc_id") if single else F.xxhash64("doc_id", "text"))
+    docs = docs.withColumn("uid", F.col("doc_id")) if single else materialize(docs.withColumn("uid", F.monotonically_increasing_id()), "suffix-rows")
     with scratch(docs.sparkSession):
         settled, held = shared_blocks(docs, length)
         firsts = held.filter("data IS NOT NULL").select("doc_id", "uid", "base", F.col("data").alias("text"))

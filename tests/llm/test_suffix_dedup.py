@@ -59,3 +59,30 @@ def test_null_ids_and_a_long_text(spark):
 def test_nothing_repeated(spark):
     docs = spark.createDataFrame([(i, f"{i} " * 60) for i in range(10, 30)], "doc_id long, text string")
     assert {(r.n_removed, r.n_spans) for r in deduplicated(docs).collect()} == {(0, 0)}
+
+
+def test_a_window_of_all_documents_comes_once_from_each_task(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT", 3)
+    most = []
+    real = suffix_dedup.repeated_runs
+
+    def counted(found, length):
+        most.append(found.filter("context IS NOT NULL").groupBy("rank").count().agg({"count": "max"}).first()[0])
+        return real(found, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeated_runs", counted)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "5")
+    try:
+        r = random.Random(7)
+        own = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+        line, half = "=" + own(62) + "=", own(60)
+        rows = [(i, own(r.randint(20, 80)) + line + own(r.randint(5, 60)) + (half if i % 3 == 0 else "")) for i in range(400)]
+        r.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in deduplicated(docs).collect()}
+    finally:
+        spark.conf.set(size, before)
+    assert got == brute(rows)
+    assert max(most) <= 12  # two tasks, and those over the blocks' first texts, for 80 batches
