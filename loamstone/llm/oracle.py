@@ -47,8 +47,10 @@ win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS g FROM d, unnes
 rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
 cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, unnest(generate_series(0, 7)) AS v(j) GROUP BY doc_id),
 m AS (SELECT d.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
-    strlen(regexp_replace(t, '{_WS}', '', 'g')) AS solid, strlen(t) - strlen(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals, len(regexp_extract_all(t, '!!+')) AS cries FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
-v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols * 10 > n_words * 3 OR capitals * 2 > solid OR cries * 10 > n_words * 3 OR solid > n_words * 24 OR solid < n_words * 2 OR n_dup_lines * 10 > n_lines * 4 AS rejected FROM m)
+    strlen(regexp_replace(t, '{_WS}', '', 'g')) AS solid, strlen(t) - strlen(regexp_replace(t, '[A-Z]', '', 'g')) AS capitals, len(regexp_extract_all(t, '!!+')) AS cries,
+    len(regexp_extract_all(t, '(?m)^[\x20\x09]*[*\x{{2022}}\x{{2023}}\x{{25E6}}-][\x20\x09]')) AS bullets, len(regexp_extract_all(t, '(?m)(?:\.\.\.|\x{{2026}})[\x20\x09]*$')) AS ellipses, strlen(t) - strlen(regexp_replace(t, '\p{{L}}+', '', 'g')) AS letters FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, n_symbols * 10 > n_words * 3 OR capitals * 2 > solid OR cries * 10 > n_words * 3 OR solid > n_words * 24 OR solid < n_words * 2 OR n_dup_lines * 10 > n_lines * 4
+    OR n_lines >= 5 AND bullets * 10 > n_lines * 9 OR n_lines >= 5 AND ellipses * 10 > n_lines * 3 OR letters < n_words AS rejected FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM v"""
 
 _DISTANCE = "CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
