@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from loamstone import schemas
 from loamstone.functions import scoring as S
 from loamstone.functions import text as X
+from loamstone.operators import concept_deltas as D
 from loamstone.operators import fulltext as T
 from loamstone.operators import governance as G
 from loamstone.operators import graph as N
@@ -29,12 +30,16 @@ from loamstone.operators import memory as M
 from loamstone.operators import recall as C
 from loamstone.operators import register as Q
 from loamstone.operators import retrieval as R
+from loamstone.operators import vector_index as V
+from loamstone.operators.sealed import stored_key
 
 #: Base versions kept, and appended parts after which a table is compacted.
 KEEP, PARTS = 3, 32
 BATCH, RUNS_KEPT, ITEM_DAYS = 500, 5000, 30
 #: What a depth's limit, made for one file on one machine, is multiplied by for jobs of a cluster.
 PATIENCE = 100.0
+#: Seconds between two refreshes of the graph.
+REFRESH = 60
 CONSTITUTION = "# 宪法\n\nWrite here, one to a line, the rules that hold for every agent; proposals to change them wait for people.\n"
 Principal = tuple[str, str]
 
@@ -44,12 +49,14 @@ def _digest(*parts: str, size: int = 24) -> str:
 
 
 class Engine:
-    """Memories and all that belongs to them below ``path``. ``now`` gives epoch seconds; ``embed`` makes a query's vector."""
+    """Memories and all that belongs to them below ``path``. ``now`` gives epoch seconds; ``embed`` makes a query's vector; ``background`` keeps the graph up behind stores."""
 
-    def __init__(self, spark: SparkSession, path: str, now: Callable[[], int], owner: str = "owner", embed: Callable[[list[str], int], list] | None = None, dim: int = 1024, patience: float = PATIENCE):
-        self.spark, self.path, self.now, self.owner, self.embed, self.dim, self.patience = spark, path.rstrip("/"), now, owner, embed, dim, patience
+    def __init__(self, spark: SparkSession, path: str, now: Callable[[], int], owner: str = "owner", embed: Callable[[list[str], int], list] | None = None, dim: int = 1024, patience: float = PATIENCE, background: bool = False):
+        self.spark, self.path, self.now, self.owner, self.embed, self.dim, self.patience, self.background = spark, path.rstrip("/"), now, owner, embed, dim, patience, background
         self._vectors: dict[str, list[float]] = {}
+        self._refreshing, self._refreshed, self._refresher = threading.Lock(), -REFRESH, None
         self.warm: set[str] = set()
+        self.warming: threading.Thread | None = None
 
     # tables
 
@@ -163,6 +170,8 @@ class Engine:
         if embed_now and self.embed is not None:
             self.append("memories_vec", J.embedded(new, self.embed, self.dim))
         new.unpersist()
+        if self.background:
+            self.refresh_graph()
         return [r[0] for r in full]
 
     def store(self, row: dict, principal: Principal | None = None, trusted: bool = False) -> str:
@@ -208,19 +217,55 @@ class Engine:
         rows = M.live(self.memories())
         self.replace("postings", T.sorted_postings(T.postings(rows)))
         self.replace("lengths", rows.select("id", T.length("content").alias("dl")))
-        reps = N.representatives(rows)
-        links = N.stored_links(reps)
-        found = N.concepts(links, reps.count())
-        self.replace("concepts", found)
-        self.replace("mem_concepts", links.groupBy("memory_id", "concept_id").agg(F.max("weight").alias("weight")))
-        told = N.telling(links, self.table("concepts"))
-        pairs = N.pair_weights(told, "concept_id", "memory_id")
+        for name, df in D.begun(rows).items():
+            self.replace(name, df)
+        self.replace("concept_seen", rows.select("id", F.lit("seen").alias("state")))
+        self._publish()
+        return {"memories": self.table("lengths").count(), "concepts": self.table("concepts").count(), "cooccur_edges": self.table("edges").filter("kind = 'cooccur'").count(), "concept_edges": self.table("concept_edges").count()}
+
+    def _publish(self) -> None:
+        """Concepts, their members, both kinds of edges and densities as the logs of the concept graph tell them."""
+        logs = {n: self.table(n) for n in D.LOGS}
+        self.replace("concepts", D.concepts(logs))
+        self.replace("mem_concepts", D.links(logs).groupBy("memory_id", "concept_id").agg(F.max("weight").alias("weight")))
+        pairs = D.concept_pairs(logs)
         self.replace("concept_edges", pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(pairs.select("b", "a", "weight")))
-        made = N.cooccurrence_edges(N.pair_weights(told)).withColumn("kind", F.lit("cooccur"))
+        made = N.cooccurrence_edges(D.memory_pairs(logs)).withColumn("kind", F.lit("cooccur"))
         other = self.table("edges").filter("kind <> 'cooccur'")
         self.replace("edges", other.unionByName(made.join(other, ["src", "dst"], "left_anti").select("src", "dst", "weight", "kind")))
         self.rebuild_densities()
-        return {"memories": self.table("lengths").count(), "concepts": self.table("concepts").count(), "cooccur_edges": self.table("edges").filter("kind = 'cooccur'").count(), "concept_edges": self.table("concept_edges").count()}
+
+    def advance_graph(self) -> int:
+        """Bring the concept graph up to date with what was stored since: by differences, or anew if memories went. Returns the number of new ones."""
+        seen = self.table("concept_seen")
+        states = {r.state: r["count"] for r in seen.groupBy("state").count().collect()}
+        new = M.live(self.table("memories")).join(seen.filter("state = 'seen'"), "id", "left_anti")
+        n = new.count()
+        if states.get("dirty") or states.get("begun", 0) != states.get("done", 0):  # the last one was cut off
+            self.reindex()
+            return n
+        if n:
+            mark = lambda state: self.append("concept_seen", self._rows("concept_seen", [(None, state)]))
+            made = D.advance({t: self.table(t) for t in D.LOGS}, new)
+            mark("begun")
+            for name, df in made.items():
+                self.append(name, df)
+            self.append("concept_seen", new.select("id", F.lit("seen").alias("state")))
+            self._publish()
+            mark("done")
+        return n
+
+    def refresh_graph(self, wait: bool = False) -> bool:
+        """Let one job bring the graph up to date, at most every REFRESH seconds; readers keep the version they have meanwhile. False if none began."""
+        with self._refreshing:
+            if self._refresher is not None and self._refresher.is_alive() or self.now() - self._refreshed < REFRESH:
+                return False
+            self._refreshed = self.now()
+            self._refresher = threading.Thread(target=self.advance_graph, name="graph", daemon=True)
+            self._refresher.start()
+        if wait:
+            self._refresher.join()
+        return True
 
     def rebuild_densities(self) -> None:
         rows = M.touched(self.table("memories"), self.table("touches"))
@@ -246,10 +291,12 @@ class Engine:
         return done | {"dangling_promoted": n}
 
     def backfill_vectors(self, embed: Callable | None = None, dim: int | None = None, limit: int = 0) -> int:
+        """Vectors for the live memories without one; a run that was cut off is gone on with. Returns how many were added."""
         rows = R.missing(self.table("memories"), self.table("memories_vec"))
         rows = rows.orderBy("created_ts", "id").limit(min(limit, 1000)) if limit else rows
         before = self.table("memories_vec").count()
-        self.append("memories_vec", J.embedded(rows, embed or self.embed or J.hash_embedding, dim or self.dim))
+        made = J.backfill(rows, f"{self.path}/backfill", embed or self.embed or J.hash_embedding, dim or self.dim)
+        self.append("memories_vec", made.join(self.table("memories_vec").select("memory_id"), "memory_id", "left_anti").join(self.table("memories").select(F.col("id").alias("memory_id")), "memory_id", "left_semi"))
         return self.table("memories_vec").count() - before
 
     def query_vector(self, query: str) -> list[float] | None:
@@ -265,6 +312,42 @@ class Engine:
                 return None
         return self._vectors[query]
 
+    # vectors
+
+    def build_vector_index(self, lists: int | None = None) -> int:
+        """Part all vectors into lists by centroids of a sample; searches then read some of the lists. Returns their number."""
+        vectors = self.table("memories_vec")
+        lists = lists or max(2, round(vectors.count() ** 0.5))
+        V.write_lists(vectors, V.fitted_centroids(vectors, lists), f"{self.path}/vector_lists")
+        return lists
+
+    def search_vectors(self, query: str, k: int = 20, timeout_ms: float = 0, warm_only: bool = False) -> list[Row] | None:
+        """query, memory_id, sim and rank of the k nearest memories; None if that takes longer than ``timeout_ms``.
+
+        With ``warm_only`` vectors that weren't read yet are not waited for: they are read behind, and nothing is found. From
+        INDEX_THRESHOLD vectors on, or where an index was built, the index's lists are searched.
+        """
+        if warm_only and "memories_vec" not in self.warm:
+            if self.warming is None or not self.warming.is_alive():
+                self.warming = threading.Thread(target=lambda: (self.table("memories_vec").count(), self.warm.add("memories_vec")), daemon=True)
+                self.warming.start()
+            return []
+
+        def work() -> list[Row]:
+            vector = self.query_vector(query)
+            if vector is None:
+                return []
+            one = self.spark.createDataFrame([(query, [float(x) for x in vector])], "query string, vec array<double>")
+            fs, lists = self._fs(f"{self.path}/vector_lists/centroids")
+            indexed = fs.exists(lists)
+            if not indexed and self.table("memories_vec").count() >= R.INDEX_THRESHOLD:
+                self.build_vector_index()
+                indexed = True
+            found = V.search_lists(self.spark, f"{self.path}/vector_lists", one, k) if indexed else V.nearest_many(self.table("memories_vec"), one, k)
+            return found.orderBy("rank").collect()
+
+        return C.Channels(self.spark, timeout_ms / 1000 if timeout_ms else None).run({"vector": work})["vector"]
+
     # reading
 
     def index(self, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -517,10 +600,11 @@ class Engine:
 
     def delete(self, ids: list[str]) -> None:
         """Delete memories with all that hangs on them; episodes of the inbox lose their memory but stay."""
+        self._forget_graph()
         gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
         keys = {"memories": ("id",), "edges": ("src", "dst"), "typed_edges": ("src", "dst"), "memory_conflicts": ("left_memory_id", "right_memory_id"), "memory_lineage": ("child", "parent"), **dict.fromkeys(("touches", "densities", "postings", "lengths"), ("id",))}
         for name in schemas.TABLES:
-            if name in ("concepts", "concept_edges", "dangling_refs", "retrieval_runs", "versions") or not self._parts(name):
+            if name in ("concepts", "concept_edges", "dangling_refs", "retrieval_runs", "versions", "concept_seen", *D.LOGS) or not self._parts(name):
                 continue
             if name == "inbox":
                 hit = gone.select(F.col("id").alias("memory_id"), F.lit(True).alias("gone")).distinct()
@@ -528,7 +612,13 @@ class Engine:
                 continue
             self.replace(name, M.without(self.table(name), gone, *keys.get(name, ("memory_id",))))
 
+    def _forget_graph(self) -> None:
+        """The next refresh makes the concept graph anew."""
+        if self._parts("concept_seen"):
+            self.append("concept_seen", self._rows("concept_seen", [(None, "dirty")]))
+
     def invalidate(self, ids: list[str]) -> None:
+        self._forget_graph()
         gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
         self.replace("memories", M.invalidated(self.table("memories"), gone, self.now()))
         self.replace("review_state", M.without(self.table("review_state"), gone, "memory_id"))
@@ -723,7 +813,11 @@ class Engine:
 
     # replicas, jobs
 
-    def back_up(self, memory_id: str, key: str, pools: J.Pools) -> int:
+    def backup_key(self) -> bytes:
+        """The key of the copies, made when first asked for; it has to be kept elsewhere too."""
+        return stored_key(self.spark, f"{self.path}/backup.key")
+
+    def back_up(self, memory_id: str, key: str | bytes, pools: J.Pools) -> int:
         """Place encrypted copies of a memory with the pools, in place of older ones. Returns how many wait for upload."""
         row = self.table("memories").filter(F.col("id") == memory_id)
         if row.isEmpty():
@@ -732,7 +826,7 @@ class Engine:
         self.replace("shards", self.table("shards").filter(F.col("memory_id") != memory_id).unionByName(self._shaped("shards", made)))
         return self.table("shards").filter((F.col("memory_id") == memory_id) & F.col("pending_upload")).count()
 
-    def restore(self, memory_id: str, key: str) -> Row | None:
+    def restore(self, memory_id: str, key: str | bytes) -> Row | None:
         return J.restored(self.table("shards").filter(F.col("memory_id") == memory_id), key).first()
 
     def distill(self, note: Callable[[list[str]], dict | None]) -> int:

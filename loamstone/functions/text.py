@@ -46,10 +46,10 @@ def identifiers(text: Column) -> Column:
     return F.filter(runs, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9_]{2,}$"))
 
 
-def entities(text: Column, most: int = MAX_ENTITIES) -> Column:
-    """Distinct links, Han tokens and identifiers, in this order, the first ``most``."""
+def entities(text: Column, most: int = MAX_ENTITIES, words: Column | None = None) -> Column:
+    """Distinct links, Han tokens (or the ``words`` that a segmentation found) and identifiers, in this order, the first ``most``."""
     t = F.coalesce(text, F.lit(""))
-    return F.slice(F.array_distinct(F.concat(wikilinks(t), han_tokens(t), identifiers(t))), 1, most)
+    return F.slice(F.array_distinct(F.concat(wikilinks(t), han_tokens(t) if words is None else words, identifiers(t))), 1, most)
 
 
 def title(content: Column, size: int = 40) -> Column:

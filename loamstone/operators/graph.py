@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import scoring as S
 from loamstone.functions import text as X
+from loamstone.operators.segment import segmented
 from loamstone.sources.shared import stored
 
 HUB_RATIO, HUB_FLOOR, HUB_MOST = 0.05, 8, 200
 BUCKET_CAP, MIN_SHARED, NEIGHBOURS = 60, 2, 8
 ALPHA, ROUNDS, LEAST = 0.15, 30, 1e-6
+#: Queries ranked in one pass, and ranks that are dropped on the way: a million times a million of them make less than LEAST.
+BLOCK, PRUNED = 16, 1e-18
 
 
 def representatives(memories: DataFrame) -> DataFrame:
@@ -21,16 +26,21 @@ def representatives(memories: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.min("id").alias("id"), F.any_value("content").alias("content")).select("id", "content")
 
 
-def concept_links(reps: DataFrame) -> DataFrame:
-    """memory_id, position, name, concept_id, kind and weight of each concept of each representative."""
-    df = reps.select(F.col("id").alias("memory_id"), X.wikilinks(F.coalesce("content", F.lit(""))).alias("links"), F.posexplode(X.entities(F.col("content"))).alias("position", "name"))
+def concept_links(reps: DataFrame, cost: dict[str, float] | None = None) -> DataFrame:
+    """memory_id, position, name, concept_id, kind and weight of each concept of each representative.
+
+    With ``cost`` (see ``segment.costs``) Han text is cut into its likeliest words.
+    """
+    words = None if cost is None else F.col("words")
+    reps = reps if cost is None else segmented(reps.select("id", "content"), cost)
+    df = reps.select(F.col("id").alias("memory_id"), X.wikilinks(F.coalesce("content", F.lit(""))).alias("links"), F.posexplode(X.entities(F.col("content"), words=words)).alias("position", "name"))
     linked = F.array_contains("links", F.col("name"))
     return df.select("memory_id", "position", "name", S.concept_id(F.col("name")).alias("concept_id"), F.when(linked, "wikilink").otherwise("entity").alias("kind"), F.when(linked, 2.0).otherwise(1.0).alias("weight"))
 
 
-def stored_links(reps: DataFrame) -> DataFrame:
+def stored_links(reps: DataFrame, cost: dict[str, float] | None = None) -> DataFrame:
     """``concept_links`` written once: concepts, members and both kinds of edges are made from them."""
-    return stored(concept_links(reps), "links")
+    return stored(concept_links(reps, cost), "links")
 
 
 def concepts(links: DataFrame, total: int) -> DataFrame:
@@ -100,6 +110,42 @@ def ranked(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, alpha: floa
     return rank.filter(F.col("r") > LEAST)
 
 
+def ranked_many(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, alpha: float = ALPHA, block: int = BLOCK) -> DataFrame:
+    """query, id and r: as ``ranked``, for each query's seeds (query, id, weight).
+
+    A block of queries is ranked in one pass over the edges a round: a node's row has a column for each of them, so a round's
+    join, sum and exchange serve all. A row whose ranks are all below PRUNED goes: it could lift no other rank to what counts.
+    """
+    spark = edges.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = [r[0] for r in seeds.select("query").distinct().orderBy("query").collect()]  # the callers' queries
+    total = edges.groupBy("src").agg(F.sum("weight").alias("total"))
+    share = stored(edges.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "share")
+    held = share.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+    parts = [_ranked_block(held, seeds, names[lo : lo + block], rounds, alpha) for lo in range(0, len(names), block)]
+    held.unpersist()
+    if not parts:
+        return seeds.select("query", "id", F.lit(0.0).alias("r")).limit(0)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _ranked_block(held: DataFrame, seeds: DataFrame, names: list, rounds: int, alpha: float) -> DataFrame:
+    columns = [f"r{i}" for i in range(len(names))]
+    sums = seeds.groupBy("query").agg(F.sum("weight").alias("total"))
+    begun = seeds.filter(F.col("query").isin(names)).join(F.broadcast(sums), "query")  # one row a query
+    start = begun.groupBy("id").agg(*[F.sum(F.when(F.col("query") == q, F.col("weight") / F.col("total")).otherwise(0.0)).alias(c) for q, c in zip(names, columns, strict=True)])
+    rank = start = stored(start, "seeds")
+    back = start.select("id", *[(F.col(c) * alpha).alias(c) for c in columns])
+    for i in range(rounds):
+        moved = held.join(rank, held.src == rank.id).select(F.col("dst").alias("id"), *[(F.col("p") * F.col(c) * (1 - alpha)).alias(c) for c in columns])
+        rank = moved.unionByName(back).groupBy("id").agg(*[F.sum(c).alias(c) for c in columns])
+        rank = rank.filter(reduce(lambda a, b: a | b, [F.col(c) > PRUNED for c in columns]))
+        if i % 5 == 4 or i + 1 == rounds:
+            rank = stored(rank, "rank")
+    told = rank.select("id", F.explode(F.array(*[F.struct(F.lit(q).alias("query"), F.col(c).alias("r")) for q, c in zip(names, columns, strict=True)])).alias("x"))
+    return told.select("x.query", "id", "x.r").filter(F.col("r") > LEAST)
+
+
 def spread(edges: DataFrame, seeds: DataFrame, hops: int = 2, decay: float = 0.7) -> DataFrame:
     """id and bonus: 1 for seeds; at hop h the edge weight times decay ** h, not multiplied along the path; the largest counts."""
     found = [seeds.select("id", F.lit(1.0).alias("bonus"))]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions import scoring as S
 from loamstone.functions import text as X
+from loamstone.operators.sealed import opened, sealed
 
 #: Pools in the order in which copies are placed (fixed values).
 POOLS = ["gist", "webdav", "notion", "gitee", "gitlab"]
@@ -42,6 +43,39 @@ def embedded(rows: DataFrame, embed: Callable[[list[str], int], np.ndarray] = ha
     return rows.select("id", "content").mapInPandas(run, "memory_id string, vec array<float>")
 
 
+def backfill(rows: DataFrame, path: str, embed: Callable[[list[str], int], np.ndarray] = hash_embedding, dim: int = 1024, per_file: int = 256) -> DataFrame:
+    """All vectors made below ``path`` so far, after those that ``rows`` (id, content) still lack: memory_id and vec.
+
+    What is to be done is written as files of ``per_file`` rows and read as a stream, a file a micro-batch; a batch's vectors
+    are committed before the next begins. A run that was cut off goes on with the first batch that wasn't committed. Rows whose
+    call failed have no vector and are tried again by the next run.
+    """
+    spark = rows.sparkSession
+    queue, out = f"{path}/queue", f"{path}/vectors"
+    base = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def made() -> DataFrame:
+        if not fs.exists(base) or not fs.listStatus(base):
+            return spark.createDataFrame([], "memory_id string, vec array<float>")
+        return spark.read.schema("memory_id string, vec array<float>").parquet(f"{out}/*").dropDuplicates(["memory_id"])
+
+    def commit(batch: DataFrame, n: int) -> None:
+        embedded(batch, embed, dim).write.mode("overwrite").parquet(f"{out}/batch-{n}")
+
+    def drain() -> None:
+        stream = spark.readStream.schema("id string, content string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(queue)
+        stream.writeStream.foreachBatch(commit).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    waiting = spark._jvm.org.apache.hadoop.fs.Path(queue)
+    if fs.exists(waiting):
+        drain()  # of a run that was cut off
+    missing = rows.select("id", "content").join(made(), F.col("id") == F.col("memory_id"), "left_anti")
+    missing.write.mode("append").option("maxRecordsPerFile", per_file).parquet(queue)
+    drain()
+    return made()
+
+
 def upserted(table: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """``table`` with the rows of ``new`` in place of those with equal keys."""
     return table.join(new.select(*keys), list(keys), "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
@@ -95,21 +129,21 @@ def relation_candidates(vectors: DataFrame, edges: DataFrame, typed: DataFrame,
 
 # replicas
 
-def replicas(memories: DataFrame, key: str, now: int) -> DataFrame:
-    """memory_id, copy, pool, payload (AES-GCM), sha256, created_ts: as many copies as the memory's tier asks for, placed in turn."""
+def replicas(memories: DataFrame, key: str | bytes, now: int) -> DataFrame:
+    """memory_id, copy, pool, payload (sealed), sha256, created_ts: as many copies as the memory's tier asks for, placed in turn."""
     copies = S.backup_copies(F.col("importance"), S.days_between(now, F.col("created_ts")))
     record = F.to_json(F.struct("id", "kind", "content"))
-    df = memories.select(F.col("id").alias("memory_id"), F.aes_encrypt(record.cast("binary"), F.sha2(F.lit(key), 256).substr(1, 32).cast("binary"), F.lit("GCM")).alias("payload"), copies.alias("n"))
+    df = sealed(memories.select(F.col("id").alias("memory_id"), record.alias("record"), copies.alias("n")), "record", "payload", key, str(now))
     out = df.select("memory_id", "payload", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
     return out.select("memory_id", "copy", F.element_at(F.array(*map(F.lit, POOLS)), F.col("copy") % len(POOLS) + 1).alias("pool"), "payload", F.sha2("payload", 256).alias("sha256"), F.lit(now).cast("long").alias("created_ts"), F.lit(False).alias("pending_upload"))
 
 
-def restored(shards: DataFrame, key: str) -> DataFrame:
-    """memory_id and record from any whole copy of each memory's latest generation whose digest and id are right."""
+def restored(shards: DataFrame, key: str | bytes) -> DataFrame:
+    """memory_id and record from any whole copy of each memory's latest generation whose digest, tag and id are right."""
     latest = shards.withColumn("last", F.max("created_ts").over(Window.partitionBy("memory_id"))).filter(F.col("created_ts") == F.col("last"))
     whole = latest.filter(F.sha2("payload", 256) == F.col("sha256"))
-    plain = F.try_aes_decrypt("payload", F.sha2(F.lit(key), 256).substr(1, 32).cast("binary"), F.lit("GCM")).cast("string")
-    right = whole.select("memory_id", "copy", plain.alias("record")).filter(F.get_json_object("record", "$.id") == F.col("memory_id"))
+    plain = opened(whole.select("memory_id", "copy", "payload"), "payload", "plain", key)
+    right = plain.select("memory_id", "copy", F.col("plain").cast("string").alias("record")).filter(F.get_json_object("record", "$.id") == F.col("memory_id"))
     return right.groupBy("memory_id").agg(F.min_by("record", "copy").alias("record"))
 
 

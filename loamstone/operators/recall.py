@@ -107,8 +107,10 @@ def rich_seeds(memories: DataFrame, vectors: DataFrame, query: str, vector: list
 def connectors(edges: DataFrame, a: DataFrame, b: DataFrame, most: int = 5) -> DataFrame:
     """id and score of what both seed sets (id) reach: the product of their personalized ranks."""
     nodes = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
-    rank = lambda s, c: N.ranked(edges, s.select("id").join(nodes, "id", "left_semi").withColumn("weight", F.lit(1.0))).withColumnRenamed("r", c)
-    both = rank(a, "ra").join(rank(b, "rb"), "id")
+    seeds = a.select(F.lit("a").alias("query"), "id").union(b.select(F.lit("b"), "id")).join(nodes, "id", "left_semi").select("query", "id", F.lit(1.0).alias("weight"))
+    ranks = stored(N.ranked_many(edges, stored(seeds, "seeds")), "ranks")
+    side = lambda q, c: ranks.filter(F.col("query") == q).select("id", F.col("r").alias(c))
+    both = side("a", "ra").join(side("b", "rb"), "id")
     return both.select("id", (F.col("ra") * F.col("rb")).alias("score")).orderBy(F.desc("score"), "id").limit(most)
 
 

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from loamstone.functions import scoring as S
 from loamstone.functions import text as X
+from loamstone.operators import concept_deltas as D
 from loamstone.operators import fulltext as T
 from loamstone.operators import governance as G
 from loamstone.operators import graph as N
 from loamstone.operators import memory as M
 from loamstone.operators import register as Q
 from loamstone.operators import retrieval as R
-from loamstone.plans.bridge import AS_OF, view
+from loamstone.plans.bridge import AS_OF, spark_sql, view
 from loamstone.sources.shared import shared_dir
 
 QUERIES, SQL = {}, {}
@@ -238,6 +239,25 @@ def cooccurrence_edges(spark, d):
     return N.cooccurrence_edges(N.pair_weights(N.telling(*_indexed(spark, d))))
 
 
+def _advanced(spark, d):
+    """The logs of the concept graph after three batches of memories."""
+    rows, logs = view(spark, d, "memories"), None
+    for k in range(3):
+        batch = rows.filter(F.col("doc_id") % 3 == k).select("id", "kind", "content", "invalid_at")
+        logs = D.begun(batch) if logs is None else D.added(logs, D.advance(logs, batch))
+    return logs
+
+
+@query(CONCEPT_SQL + "SELECT concept_id, mention_count, doc_freq, is_hub FROM found")
+def concept_index_advanced(spark, d):
+    return D.concepts(_advanced(spark, d)).select("concept_id", "mention_count", "doc_freq", "is_hub")
+
+
+@query(CONCEPT_SQL + "SELECT src, dst, weight FROM graph")
+def cooccurrence_edges_advanced(spark, d):
+    return N.cooccurrence_edges(D.memory_pairs(_advanced(spark, d)))
+
+
 @query("SELECT id, round(ln(1 + count(*)) / 5.0, 6) AS connection_density FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) x GROUP BY id")
 def connection_density(spark, d):
     return N.density(view(spark, d, "edges")).select("id", F.round("connection_density", 6).alias("connection_density"))
@@ -261,6 +281,22 @@ def personalized_rank(spark, d):
     return N.ranked(view(spark, d, "edges"), seeds).select("id", F.round("r", 9).alias("r"))
 
 
+SEEDS_SQL = "SELECT 'nation-' || CAST(c_nationkey AS STRING) AS query, 'm-' || CAST(c_custkey AS STRING) AS id, CAST(1 + c_custkey % 3 AS DOUBLE) AS weight FROM {customer} WHERE c_nationkey < 5"
+
+
+def _ranks_sql(rounds: int) -> str:
+    parts = ["WITH share AS (SELECT e.src, e.dst, e.weight / t.total AS p FROM edges e JOIN (SELECT src, sum(weight) AS total FROM edges GROUP BY src) t ON t.src = e.src)", f"seeds AS ({SEEDS_SQL})", "start AS (SELECT query, id, weight / sum(weight) OVER (PARTITION BY query) AS s FROM seeds)", "r0 AS (SELECT query, id, CAST(s AS DOUBLE) AS r FROM start)"]
+    for i in range(rounds):
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT coalesce(m.query, s.query) AS query, coalesce(m.dst, s.id) AS id, 0.85 * coalesce(m.m, 0) + 0.15 * coalesce(s.s, 0) AS r FROM (SELECT query, dst, sum(p * r) AS m FROM share JOIN r{i} ON src = id GROUP BY query, dst) m FULL JOIN start s ON s.id = m.dst AND s.query = m.query)")
+    return ", ".join(parts) + f" SELECT query, id, round(r, 9) AS r FROM r{rounds} WHERE r > 1e-6"
+
+
+@query(_ranks_sql(30))
+def personalized_ranks(spark, d):
+    """The personalized ranks of five seed sets (customers by nation) in one iteration."""
+    return N.ranked_many(view(spark, d, "edges"), spark_sql(spark, d, SEEDS_SQL)).select("query", "id", F.round("r", 9).alias("r"))
+
+
 @query("""WITH s AS (SELECT 'm-1' AS id UNION ALL SELECT 'm-7'), h1 AS (SELECT dst AS id, max(weight * 0.7) AS bonus FROM edges JOIN s ON src = s.id GROUP BY dst), h2 AS (SELECT dst AS id, max(weight * 0.49) AS bonus FROM edges JOIN h1 ON src = h1.id GROUP BY dst)
     SELECT id, round(max(bonus), 6) AS bonus FROM (SELECT id, 1.0 AS bonus FROM s UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) x GROUP BY id""")
 def spread_activation(spark, d):
@@ -388,6 +424,18 @@ def nightly_promotions(spark, d):
     return G.nightly(G.promotion(side, *rest), side, 3)
 
 
+def _shifted(sql: str) -> str:
+    """With the tiers of the memories after: so those at M2 have two pieces of evidence."""
+    return sql.replace("memory_cognitive", "(SELECT * REPLACE ('M' || CAST((CAST(substring(memory_tier, 2) AS INT) + 1) % 4 AS VARCHAR) AS memory_tier) FROM memory_cognitive)")
+
+
+@query(_shifted(f"SELECT c.memory_id FROM memory_cognitive c JOIN ({PROMOTION_SQL}) g ON g.memory_id = c.memory_id WHERE g.promoted ORDER BY c.activation_count DESC, c.last_verified_ts, c.memory_id LIMIT 50"))
+def nightly_promotions_due(spark, d):
+    side, *rest = _all(spark, d, "memory_cognitive", "memory_evidence", "memory_activations", "memory_conflicts")
+    side = side.withColumn("memory_tier", F.concat(F.lit("M"), ((F.substring("memory_tier", 2, 1).cast("int") + 1) % 4).cast("string")))
+    return G.nightly(G.promotion(side, *rest), side, 50)
+
+
 ALLOWED_SQL = f"""SELECT m.id FROM memories m LEFT JOIN memory_cognitive c ON c.memory_id = m.id WHERE m.invalid_at IS NULL AND (
         (c.visibility = 'private' AND c.owner_type = 'user' AND c.owner_id = 'u3') OR (c.visibility = 'team' AND c.owner_id = 'u3')
         OR EXISTS (SELECT 1 FROM memory_acl a WHERE a.memory_id = m.id AND a.principal_type = 'user' AND a.principal_id = 'u3' AND a.permission IN ('read', 'write', 'admin') AND (a.expires_at IS NULL OR a.expires_at > {AS_OF})))"""

@@ -7,12 +7,15 @@ import uuid
 from pyspark.sql import functions as F
 
 from loamstone.functions import scoring as S
+from loamstone.functions import text as X
 from loamstone.operators import governance as G
 from loamstone.operators import graph as N
 from loamstone.operators import jobs as J
 from loamstone.operators import memory as M
 from loamstone.operators import recall as C
 from loamstone.operators import retrieval as R
+from loamstone.operators import segment as W
+from loamstone.operators import vector_index as V
 from loamstone.plans.bridge import AS_OF, view
 from loamstone.plans.governance_queries import ALLOWED_SQL, CONCEPT_SQL, FTS_SQL, QUERY, VECTOR_SQL, _indexed, _readable, _vector, bounded_sql, fts_sql
 from loamstone.plans.memory_queries import ACTIVATION_SQL, RECENCY_SQL
@@ -69,6 +72,25 @@ def embedding_backfill(spark, d):
     return J.embedded(R.missing(view(spark, d, "memories"), view(spark, d, "memories_vec")), dim=64)
 
 
+HAN_SQL = """runs AS (SELECT id, r.run, r.i FROM (SELECT id, regexp_extract_all(content, '[\u4e00-\u9fa5]+') AS rs FROM notes) n, unnest(rs) WITH ORDINALITY AS r(run, i)),
+    grams AS (SELECT substring(run, CAST(s AS INT), CAST(l AS INT)) AS word FROM runs, unnest(generate_series(1, 4)) AS u(l), unnest(generate_series(1, length(run) - l + 1)) AS v(s)),
+    words AS (SELECT word, count(*) AS c FROM grams GROUP BY word HAVING count(*) >= 2), total AS (SELECT sum(c) AS n FROM words),
+    paths AS (SELECT DISTINCT run, CAST(0 AS BIGINT) AS e, CAST(0 AS DOUBLE) AS cost, CAST([] AS VARCHAR[]) AS cut FROM runs
+        UNION ALL SELECT run, e + l, cost + ln(n) - ln(coalesce(w.c, 0.5)), list_append(cut, x.next) FROM (SELECT p.*, l, substring(p.run, CAST(p.e + 1 AS INT), CAST(l AS INT)) AS next FROM paths p CROSS JOIN (SELECT unnest(generate_series(1, 4)) AS l) u WHERE p.e + l <= length(p.run)) x CROSS JOIN total LEFT JOIN words w ON w.word = x.next WHERE w.c IS NOT NULL OR l = 1),
+    best AS (SELECT run, cut FROM paths WHERE e = length(run) QUALIFY row_number() OVER (PARTITION BY run ORDER BY round(cost, 7), len(cut), list_reverse(list_transform(cut, lambda x: length(x))) DESC) = 1),
+    cuts AS (SELECT id, i, w.word, w.k FROM runs JOIN best ON best.run = runs.run, unnest(cut) WITH ORDINALITY AS w(word, k))"""
+
+
+@query("WITH RECURSIVE " + HAN_SQL + " SELECT id, i, k, word FROM cuts WHERE length(word) >= 2 AND word NOT IN ('" + "', '".join(X.STOP) + "')")
+def han_words(spark, d):
+    """The words of the likeliest cut of every run of Han characters, with their places."""
+    notes = view(spark, d, "notes")
+    runs = notes.select("id", F.posexplode(F.regexp_extract_all("content", F.lit(X.HAN + "+"), F.lit(0))).alias("i", "run"))
+    cut = W.segmented(runs, W.costs(W.word_counts(notes)), "run", least=1, stop=False)
+    words = cut.select("id", (F.col("i") + 1).cast("long").alias("i"), F.posexplode("words").alias("k", "word")).select("id", "i", (F.col("k") + 1).cast("long").alias("k"), "word")
+    return words.filter((F.char_length("word") >= 2) & ~F.col("word").isin(X.STOP))
+
+
 CE_SQL = CONCEPT_SQL + """, named AS (SELECT DISTINCT concept_id, first_value(name) OVER (PARTITION BY concept_id ORDER BY memory_id, rn) AS name FROM (SELECT id AS memory_id, w AS name, rn, 'c-' || substring(md5(lower(trim(w))), 1, 12) AS concept_id FROM firsts WHERE rn <= 15) l),
     ce AS (SELECT x.concept_id AS src, y.concept_id AS dst, CAST(count(*) AS DOUBLE) AS weight FROM told x JOIN told y ON x.memory_id = y.memory_id AND x.concept_id <> y.concept_id GROUP BY 1, 2), deg AS (SELECT src AS concept_id, count(*) AS degree FROM ce GROUP BY src),
     near AS (SELECT src, n.name, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rank FROM ce JOIN named n ON n.concept_id = dst)"""
@@ -222,6 +244,45 @@ def event_sessions(spark, d):
     return w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
 
 
+# many vector queries at once
+
+MANY_SQL = "SELECT 'q-' || CAST(vec_id AS VARCHAR) AS query, vec AS v FROM memories_vec WHERE vec_id % 100 = 0"
+SIM_SQL = "round(list_dot_product(CAST(vec AS DOUBLE[]), CAST(v AS DOUBLE[])) / sqrt(list_dot_product(CAST(v AS DOUBLE[]), CAST(v AS DOUBLE[]))), 9)"
+
+
+def _many(spark, d):
+    vectors = view(spark, d, "memories_vec")
+    return vectors, vectors.filter("vec_id % 100 = 0").select(F.concat(F.lit("q-"), F.col("vec_id").cast("string")).alias("query"), "vec")
+
+
+def _lists(spark, d, lists: int = 16):
+    path = f"{shared_dir(spark)}/loamstone-core/lists-{uuid.uuid4().hex}"
+    vectors, queries = _many(spark, d)
+    V.write_lists(vectors.select("memory_id", "vec"), V.fitted_centroids(vectors, lists), path)
+    return vectors, queries, path
+
+
+@query(f"SELECT query, memory_id, round(sim, 6) AS sim, rank FROM (SELECT query, memory_id, {SIM_SQL} AS sim, CAST(row_number() OVER (PARTITION BY query ORDER BY {SIM_SQL} DESC, memory_id) AS INT) AS rank FROM memories_vec, ({MANY_SQL}) q) x WHERE rank <= 10")
+def vector_search_many(spark, d):
+    """The ten nearest of every hundredth vector, among all, in one pass."""
+    vectors, queries = _many(spark, d)
+    return V.nearest_many(vectors, queries, 10).select("query", "memory_id", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query(f"SELECT query, memory_id, round(sim, 6) AS sim, rank FROM (SELECT query, memory_id, {SIM_SQL} AS sim, CAST(row_number() OVER (PARTITION BY query ORDER BY {SIM_SQL} DESC, memory_id) AS INT) AS rank FROM memories_vec, ({MANY_SQL}) q) x WHERE rank <= 10")
+def vector_index_whole(spark, d):
+    """The same from the index, with all its lists probed: every vector is in it."""
+    _, queries, path = _lists(spark, d)
+    return V.search_lists(spark, path, queries, 10, 16).select("query", "memory_id", F.round("sim", 6).alias("sim"), "rank")
+
+
+@query()
+def vector_index_recall(spark, d):
+    """Recall of the ten nearest with 10 of 16 lists probed."""
+    vectors, queries, path = _lists(spark, d)
+    return V.recall(V.search_lists(spark, path, queries, 10, 10), V.nearest_many(vectors, queries, 10))
+
+
 # streams over the events, drained into the shared folder
 
 def _stream(spark, d):

@@ -1,5 +1,7 @@
 """Explicit schemas of the memory tables."""
 
+from loamstone.operators.concept_deltas import LOGS
+
 MEMORIES = (
     "id string, kind string, content string, mode_id string, persona_id string, importance int, created_ts long, last_recall_ts long, recall_count int, emotional_tag double, novelty double, "
     "connection_density double, predictive_value double, meta string, token_count int, stability double, difficulty double, invalid_at long, superseded_by string, source_id string"
@@ -37,11 +39,12 @@ TOUCHES = "id string, ts long"
 DENSITIES = "id string, connection_density double, seq long"
 POSTINGS = "bucket int, term string, id string, dl int, position int"
 LENGTHS = "id string, dl int"
+CONCEPT_SEEN = "id string, state string"
 SHARDS = "memory_id string, copy int, pool string, payload binary, sha256 string, created_ts long, pending_upload boolean"
 
 TABLES = {
     "memories": MEMORIES, "edges": EDGES, "review_state": REVIEWS, "memory_cognitive": COGNITIVE, "memory_acl": ACL, "memory_evidence": EVIDENCE, "memory_conflicts": CONFLICTS, "memory_activations": ACTIVATIONS,
     "dream_events": DREAMS, "memory_facets": FACETS, "memory_lineage": LINEAGE, "memories_vec": VECTORS, "concepts": CONCEPTS, "mem_concepts": MEM_CONCEPTS, "concept_edges": CONCEPT_EDGES, "dangling_refs": DANGLING,
     "typed_edges": TYPED, "inbox": INBOX, "retrieval_runs": RUNS, "run_items": RUN_ITEMS, "seen": SEEN, "promotions": PROMOTIONS, "versions": VERSIONS, "touches": TOUCHES, "densities": DENSITIES, "postings": POSTINGS, "lengths": LENGTHS,
-    "shards": SHARDS,
+    "shards": SHARDS, "concept_seen": CONCEPT_SEEN, **LOGS,
 }
