@@ -1,11 +1,12 @@
 """Byte-level BPE encoding and decoding with forced boundaries.
 
 A pair of neighbouring bytes that occurs inside no vocabulary token can't end up inside a token, so the text may be cut
-there for certain. The pre-tokenizer's pattern must not see the cut either: it looks ahead only past white space, and no
-match goes from a character that isn't white space to one that is. Cuts are therefore made at forced pairs of a byte that
-ends a visible character and an ASCII white-space byte, and between two Han characters (U+4E00 to U+9FFF), which the pattern
-never parts. The fragments (mostly single words with the space before them, or a few Han characters) are encoded
-independently, each distinct one once per chunk of text, and the ids are concatenated.
+there for certain: between any two characters, in any script, with or without white space. The pre-tokenizer's pattern must
+not see the cut either. It takes white space in front of what follows, so no cut is made after white space; it takes an apostrophe
+with some letters after it, so none is made at an apostrophe or within those letters. Anywhere else a match that goes over the cut is a run
+of one class of characters, and both its parts are runs of that class. The fragments (mostly single words with the space before them)
+are encoded independently, each distinct one once per chunk of text, and the ids are concatenated. Fragments are told
+apart by a hash and then by their bytes.
 
 Defined results: a null text is an empty text; an empty text has no tokens (both digests are of no bytes); texts of any
 length are handled whole, in chunks of some MB (one text at least); equal rows give equal results; an empty table gives an
@@ -18,6 +19,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +40,6 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 CACHE_FRAGMENTS = 200_000
 
 
-#: First bytes of Han characters in UTF-8.
-HAN = slice(0xE4, 0xEA)
-_HAN_LEAD = np.zeros(256, dtype=bool)
-_HAN_LEAD[HAN] = True
-
-
-def _han_at(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Whether the characters at these lead bytes are within U+4E00 to U+9FFF: of those with 0xE4, the ones from 0xE4B880."""
-    return (buf[at] > 0xE4) | (buf[np.minimum(at + 1, len(buf) - 1)] >= 0xB8)
-
 
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-in characters of byte-level vocabularies: visible Latin-1 bytes are themselves, others follow from U+0100."""
@@ -77,10 +69,16 @@ def _rank_encoder(table: list[bytes], vocab: dict[str, int], merges: list, alpha
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _pieces(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those runs of ``buf`` one after the other, and where each starts."""
-    at = np.concatenate([[0], np.cumsum(size)])
-    return buf[np.repeat(starts - at[:-1], size) + np.arange(at[-1])], at
+def same_bytes(a: np.ndarray, a_from: np.ndarray, a_to: np.ndarray, b: np.ndarray, b_from: np.ndarray, b_to: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` has the bytes of the span of ``b``."""
+    size = a_to - a_from
+    out = size == b_to - b_from
+    at = np.flatnonzero(out)
+    n = size[at]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    differ = a[np.repeat(a_from[at], n) + step] != b[np.repeat(b_from[at], n) + step]
+    out[np.repeat(at, n)[differ]] = False
+    return out
 
 
 class ForcedBoundaryBpe:
@@ -113,24 +111,24 @@ class ForcedBoundaryBpe:
         joint = np.ones(max(0, len(flat) - 1), dtype=bool)
         joint[off[1:-1][(off[1:-1] > 0) & (off[1:-1] < len(flat))] - 1] = False  # the last byte of a token and the first of the next
         inside[flat[:-1][joint], flat[1:][joint]] = True
-        self.forced = ~inside & ~SPACE[:, None] & SPACE[None, :]
-        #: Pairs of the last byte of a character and the first of a Han character that no token holds.
-        self.apart = ~inside[:, HAN]
+        for pair in ("ll", "ve", "re"):
+            inside[ord(pair[0]), ord(pair[1])] = True
+        inside[SPACE, :] = inside[:, 0x80:0xC0] = inside[:, ord("'")] = inside[ord("'"), :] = True  # after white space, inside a character, at an apostrophe
+        #: By the first byte and the second: certain cuts, if the first doesn't end a white-space character beyond ASCII.
+        self.forced = ~inside.ravel()
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         self.fast = _rank_encoder(table[: len(vocab)], vocab, spec["model"]["merges"], alphabet)
-        #: Last bytes that make a certain cut before any white space.
-        self.always = self.forced[:, SPACE].all(axis=1)
-        self.cache = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+        none = np.zeros(1, np.int64)
+        self.cache = np.zeros(0, np.uint64), np.zeros(0, np.int64), none, np.zeros(0, np.uint8), none
 
     def cuts(self, buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """Starts of the fragments of all rows, ascending; row starts are among them."""
         if len(buf) == 0:
             return np.zeros(0, np.int64)
         cut = np.zeros(len(buf) + 1, dtype=bool)
-        at = np.flatnonzero(SPACE[buf[1:]] & ~SPACE[buf[:-1]]) + 1
-        a = buf[at - 1]
-        ok = self.forced[a, buf[at]]
-        if (high := np.flatnonzero(a >= 0x80)).size:  # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
+        at = np.flatnonzero(self.forced[buf[:-1].astype(np.int32) * 256 + buf[1:]]) + 1
+        ok = np.ones(len(at), dtype=bool)
+        if (high := np.flatnonzero(buf[at - 1] >= 0x80)).size:  # white space beyond ASCII: U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000
             p = at[high]
             b, c = buf[p - 2], buf[np.maximum(p - 3, 0)]
             z = buf[p - 1]
@@ -141,9 +139,6 @@ class ForcedBoundaryBpe:
             wide |= (c == 0xE3) & (b == 0x80) & (z == 0x80)
             ok[high[wide]] = False
         cut[at[ok]] = True
-        lead = np.flatnonzero(_HAN_LEAD[buf[3:]] & _HAN_LEAD[buf[:-3]]) + 3  # three bytes each, both within U+4E00 to U+9FFF
-        lead = lead[(buf[lead - 2] & 0xC0 == 0x80) & (buf[lead - 1] & 0xC0 == 0x80) & _han_at(buf, lead - 3) & _han_at(buf, lead)]
-        cut[lead[self.apart[buf[lead - 1], buf[lead] - HAN.start]]] = True
         cut[offs[:-1]] = True
         cut[len(buf)] = False
         return np.flatnonzero(cut)
@@ -156,27 +151,36 @@ class ForcedBoundaryBpe:
         ends = np.append(starts[1:], len(buf))
         h = hash_spans(buf, starts, ends)
         unique, where, inverse = np.unique(h, return_index=True, return_inverse=True)
-        known, flat, off = self.cache
+        lead = where[inverse]
+        apart = not same_bytes(buf, starts, ends, buf, starts[lead], ends[lead]).all()
+        if apart:  # two fragments have one hash: they are told apart by their bytes alone
+            seen: dict[bytes, int] = {}
+            inverse = np.array([seen.setdefault(buf[x:y].tobytes(), len(seen)) for x, y in zip(starts.tolist(), ends.tolist(), strict=True)])
+            _, where = np.unique(inverse, return_index=True)
+            unique = h[where]
+        known, flat, off, data, d_off = self.cache
         slot = np.searchsorted(known, unique)
         slot[slot == len(known)] = 0
-        new = np.flatnonzero(known[slot] != unique) if len(known) else np.arange(len(unique))
+        hit = known[slot] == unique if len(known) else np.zeros(len(unique), dtype=bool)
+        at = np.flatnonzero(hit)
+        hit[at] = same_bytes(buf, starts[where[at]], ends[where[at]], data, d_off[slot[at]], d_off[slot[at] + 1])
+        apart |= len(at) != hit.sum()
+        new = np.flatnonzero(~hit)
         if len(new):
-            own, own_off = self._encode_fragments(buf, starts[where[new]], ends[where[new]])
+            a, z = starts[where[new]], ends[where[new]]
+            own, own_off = self._encode_fragments(buf, a, z)
             size = np.concatenate([off[1:] - off[:-1], own_off[1:] - own_off[:-1]])
             slot[new] = len(known) + np.arange(len(new))
-            known, flat, off = np.concatenate([known, unique[new]]), np.concatenate([flat, own]), np.concatenate([[0], np.cumsum(size)])
-            if len(known) <= CACHE_FRAGMENTS:
-                order = np.argsort(known)
-                kept, at = gather_bytes(flat, off, order)
-                self.cache = known[order], kept, at
+            flat, off = np.concatenate([flat, own]), np.concatenate([[0], np.cumsum(size)])
+            if len(known) + len(new) <= CACHE_FRAGMENTS and not apart:
+                order = np.argsort(known := np.concatenate([known, unique[new]]))
+                kept, k_off = gather_bytes(flat, off, order)
+                added = np.concatenate([buf[x:y] for x, y in zip(a.tolist(), z.tolist(), strict=True)])
+                held, h_off = gather_bytes(np.concatenate([data, added]), np.concatenate([d_off, d_off[-1] + np.cumsum(z - a)]), order)
+                self.cache = known[order], kept, k_off, held, h_off
         ids, first = gather_bytes(flat, off, slot[inverse])
         return ids, first[np.searchsorted(starts, offs)]
 
-    def joint(self, text: str) -> list[int]:
-        if self.fast is not None:
-            return self.fast.encode_ordinary(text)
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
     def _added(self, buf: np.ndarray) -> np.ndarray:
         """Where added tokens' contents begin in ``buf``."""
         whole, found = buf.tobytes(), []
@@ -188,32 +192,21 @@ class ForcedBoundaryBpe:
         return np.array(sorted(found), dtype=np.int64)
 
     def _encode_fragments(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each fragment. Those that begin and end at forced boundaries go to the tokenizer as one text and are told apart by their bytes."""
-        odd = ~PLAIN[buf]
+        """Ids of each fragment, and where they start: those of plain characters by the rank encoder, others by the tokenizer."""
+        odd = ~PLAIN[buf] if self.fast is not None else np.ones(len(buf), dtype=bool)
         odd[self._added(buf)] = True
-        plain = np.concatenate([[0], np.cumsum(odd)])
-        fit = SPACE[buf[starts]] & self.always[buf[ends - 1]] & (plain[ends] == plain[starts])
-        order = np.concatenate([np.flatnonzero(fit), np.flatnonzero(~fit)])
-        size = (ends - starts)[order]
-        data, at = _pieces(buf, starts[order], size)
-        n = int(fit.sum())
-        ids, count = [], []
-        if n:
-            joint = np.array(self.joint(data[: at[n]].tobytes().decode("utf-8")), dtype=np.int64)
-            length = self.bytes_of[1][joint + 1] - self.bytes_of[1][joint]
-            done = np.concatenate([[0], np.cumsum(length)])
-            edges = np.searchsorted(done, at[: n + 1])
-            ids.append(joint)
-            count.append(np.diff(edges))
-        if n < len(order):
-            texts = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(at[n:-1].tolist(), at[n + 1 :].tolist(), strict=True)]
-            single = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            ids.append(np.array([x for e in single for x in e], dtype=np.int64))
-            count.append(np.array([len(e) for e in single]))
-        off = np.concatenate([[0], np.cumsum(np.concatenate(count))]).astype(np.int64)
-        back = np.empty(len(order), dtype=np.int64)
-        back[order] = np.arange(len(order))
-        return gather_bytes(np.concatenate(ids), off, back)
+        odd = np.concatenate([[0], np.cumsum(odd)])
+        plain = odd[ends] == odd[starts]
+        data = memoryview(buf)
+        texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        ids: list = [None] * len(texts)
+        for i in np.flatnonzero(plain).tolist():
+            ids[i] = self.fast.encode_ordinary(texts[i])
+        rest = np.flatnonzero(~plain).tolist()
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = e.ids
+        off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+        return np.fromiter(chain.from_iterable(ids), np.int64, off[-1]), off
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all rows together and their offsets; added tokens stand for their content."""

@@ -51,3 +51,27 @@ def test_han_text_is_cut_and_equal_to_the_library():
     got = [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
     assert got == [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
     assert len(own.cuts(buf, offs)) > 3 * len(texts)
+
+
+def test_cuts_in_any_script_are_equal_to_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    from loamstone.llm import bpe
+    from loamstone.llm.kernel import text_buffer
+
+    path = P.path("byte_bpe_50k.json")
+    library, r = Tokenizer.from_file(path), random.Random(3)
+    ranges = [(0xE01, 0xE5B), (0x0900, 0x0970), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x3041, 0x30FF), (0x0410, 0x044F), (0x0600, 0x06FF), (0x1F600, 0x1F64F), (0x0300, 0x036F), (0x21, 0x7E), (0x2000, 0x2070), (0x80, 0x250), (0x20, 0x30)]
+    pieces = ["'s", "'ll", "'", "''", " ", "  ", "\n", "<|endoftext|>", "https://a.b/c?d=e&f", "QUJDREVGR0g=", "\u3000", "\u2009", "ll", "re"]
+    say = lambda: "".join(chr(r.randint(*r.choice(ranges))) if r.random() < 0.8 else r.choice(pieces) for _ in range(r.randint(0, 30)))
+    texts = [say() for _ in range(1500)] + ["ก" * 900, "https://example.org/" + "x7Qz" * 500, "'" * 30 + "sale"]
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    buf, offs = text_buffer(pa.array(texts))
+    for weak in (False, True):
+        if weak:  # hashes that many fragments share
+            monkeypatch.setattr(bpe, "hash_spans", lambda b, a, z, seed=0: (z - a).astype("uint64"))
+        own = bpe.ForcedBoundaryBpe(path)
+        for _ in range(2):
+            ids, first = own.encode(buf, offs)
+            assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+    assert len(own.cuts(*text_buffer(pa.array(["中文字符测试" * 50])))) > 50
