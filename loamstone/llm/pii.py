@@ -35,6 +35,8 @@ from loamstone.llm.common import discard, materialize, skew_join
 #: Tries after which digits are added; more tries than MAX_TRIES can't be needed, as each added digit makes ten times the room.
 CROWDED, MAX_TRIES = 24, 400
 
+#: Stands between the parts of a text that are searched together; a text that has it is searched part by part.
+_BETWEEN = "\x01\ue123\x01"
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 _NAME = r"\p{Lu}[\p{Ll}\p{M}'’-]+"
 #: Titles that tell gender, by the script and the gender of the name that follows (fixed values).
@@ -203,7 +205,7 @@ def assigned(atoms: DataFrame, key: str) -> DataFrame:
     """
     make = lambda df: df.withColumn("sur", surrogate(F.lit(key), F.col("kind"), F.col("canon"), F.col("tries")))
     table = materialize(make(atoms.select("kind", "canon").distinct().withColumn("tries", F.lit(0))), "pii-atoms")
-    group = F.when(F.col("kind").isin("given_m", "given_f"), F.lit("given")).otherwise(F.col("kind"))
+    group = F.when(F.col("kind").isin("given_m", "given_f", "family"), F.lit("name")).otherwise(F.col("kind"))
     for _ in range(MAX_TRIES):
         first = table.groupBy(group.alias("kind_of"), F.col("sur")).agg(F.min(F.struct("kind", "canon")).alias("first"), F.count("*").alias("n"))
         real = table.select(group.alias("kind_of"), F.col("canon").alias("sur")).distinct().withColumn("real", F.lit(True))
@@ -229,6 +231,14 @@ def _names(parts: Column) -> Column:
     return F.concat(F.filter(whole, lambda x: x.isNotNull()), F.transform(family, lambda x: F.struct(x.form.alias("form"), x.new.alias("new"))))
 
 
+def _untitled(gaps: Column, text: Column) -> Column:
+    """The gaps between a text's entities with what ``__any`` finds replaced by ``__new_of``: all gaps in one pass."""
+    found = lambda t: F.regexp_extract_all(t, F.col("__any"), F.lit(0))
+    filled = lambda t: F.array_join(F.zip_with(F.split(t, F.col("__any")), found(t), lambda g, m: F.concat(g, F.coalesce(F.element_at("__new_of", m), F.lit("")))), "")
+    joined = F.split(filled(F.array_join(gaps, _BETWEEN)), _BETWEEN)
+    return F.when(F.col("__any").isNull(), gaps).when(text.contains(_BETWEEN), F.transform(gaps, filled)).otherwise(joined)
+
+
 def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with every entity in ``text`` replaced, and ``n_entities`` (in place of a column of that name), the mentions found with a title, label or form of their own."""
     docs = docs.select(*[c for c in docs.columns if c.lower() != "n_entities"])
@@ -246,11 +256,13 @@ def replaced(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     joined = lambda c: F.array_join(F.transform("parts", lambda x: x[c]), " ")
     named = F.concat(F.substring(F.col("entity"), F.lit(1), F.char_length("entity") - F.char_length(joined("form"))), joined("new"))
     told = whole.select("__tk", "at", F.when(F.size("parts") > 0, named).otherwise(F.col("entity")).alias("new"), (F.size("parts") > 0).alias("real"), _names(F.col("parts")).alias("names"))
-    lists = told.groupBy("__tk").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x.new).alias("__new"), F.count_if("real").alias("__n"), F.array_distinct(F.flatten(F.collect_list("names"))).alias("__names"))
-    longest = F.array_sort("__names", lambda a, b: F.char_length(b.form) - F.char_length(a.form))
-    met = skew_join(flagged, materialize(lists.withColumn("__names", longest), "pii-lists"), ["__tk"])
-    untitled = lambda g: F.aggregate("__names", g, lambda t, x: F.regexp_replace(t, F.concat(F.lit(_EDGE), x.form, F.lit(_END)), x.new))
-    gaps = F.transform(F.split(text, ANY), untitled)
+    lists = told.groupBy("__tk").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "new"))), lambda x: x.new).alias("__new"), F.count_if("real").alias("__n"))
+    forms = told.select("__tk", F.explode("names").alias("x")).groupBy("__tk", F.col("x.form").alias("form")).agg(F.min("x.new").alias("new"))
+    forms = forms.groupBy("__tk").agg(F.sort_array(F.collect_list(F.struct((-F.char_length("form")).alias("less"), "form", "new"))).alias("x"))  # the longest first
+    each = lambda c: F.transform("x", lambda y: y[c])
+    forms = forms.select("__tk", F.map_from_arrays(each("form"), each("new")).alias("__new_of"), F.concat(F.lit(_EDGE + "(?:"), F.array_join(each("form"), "|"), F.lit(")" + _END)).alias("__any"))
+    met = skew_join(flagged, materialize(lists.join(forms, "__tk", "left"), "pii-lists"), ["__tk"])
+    gaps = _untitled(F.split(text, ANY), F.col(text))
     fresh = F.array_join(F.zip_with(gaps, "__new", lambda g, s: F.concat(g, F.coalesce(s, F.lit("")))), "")
     done = met.withColumn(text, fresh)
     return clean.unionByName(done.select(*columns, F.col("__n").alias("n_entities")))

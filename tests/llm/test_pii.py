@@ -126,3 +126,21 @@ def test_a_crowded_kind_gets_longer(spark):
     full = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(100)], "kind string, canon string")
     out = assigned(full, "k").collect()
     assert len({r.sur for r in out}) == 100 and not {r.sur for r in out} & {r.canon for r in out} and max(len(r.sur) for r in out) > 2
+
+
+def test_a_text_with_many_names(spark):
+    import random
+    import time
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("bdfgklmnprst") + r.choice("aeiou") for _ in range(4)).capitalize()
+    names = sorted({(word(), word()) for _ in range(1500)})
+    text = " ".join(f"Mr. {a} {b} came, {a} {b} spoke, {b} left." for a, b in names)
+    docs = spark.createDataFrame([(1, text), (2, "Mr. Kim Lee, Ms. Kim Lee; Lee \x01\x01 Kim Lee"), (3, "nobody")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {x.doc_id: x for x in replaced(docs, "key").collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1].n_entities == len(names) and not any(b in got[1].text or f"{a} {b}" in got[1].text for a, b in names)
+    said = re.findall(r"Mr\. (\S+) (\S+) came, (\S+) (\S+) spoke, (\S+) left\.", got[1].text)
+    assert len(said) == len(names) and all((a, b, b) == (c, d, e) for a, b, c, d, e in said)
+    assert "Lee" not in got[2].text and "\x01\x01" in got[2].text and got[3].text == "nobody"
