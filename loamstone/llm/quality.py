@@ -27,7 +27,7 @@ from loamstone.llm.common import discard, materialize
 
 #: Texts on which costs and selectivities are estimated and their bytes, at most, and how often each is taken to tell a rule's
 #: time; verdicts don't depend on it.
-SAMPLE_ROWS, SAMPLE_BYTES, REPEATS = 256, 1 << 15, 8
+SAMPLE_ROWS, SAMPLE_BYTES, REPEATS = 256, 1 << 17, 8
 SPACES = " \t\n\x0b\f\r"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -116,12 +116,13 @@ class Estimate:
 
 
 def estimates(docs: DataFrame, rules: list[Rule], rows: int = SAMPLE_ROWS, text: str = "text") -> list[Estimate]:
-    """Cost and rejections of each rule on the first ``rows`` texts of SAMPLE_BYTES at most that a scan meets.
+    """Cost and rejections of each rule on ``rows`` texts of SAMPLE_BYTES at most, drawn from all rows by a seeded random number.
 
-    Few partitions are read, and no more than the sample reaches the driver.
+    The texts are read once more; no more than the sample leaves a task.
     """
     spark = docs.sparkSession
-    found = [r[0] for r in docs.select(F.col(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).limit(rows).collect()]
+    drawn = docs.select(F.col(text).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES).withColumn("at", F.rand(1))
+    found = [r[0] for r in drawn.orderBy("at").limit(rows).collect()]
     if not found:
         return [Estimate(rule, 1.0, ()) for rule in rules]
     sample = measured(spark.createDataFrame([(t,) for t in found], "text string"))
