@@ -158,3 +158,28 @@ def test_a_cold_index_is_not_waited_for(spark, tmp_path, limit):
     slow = Engine(spark, str(tmp_path / "db"), lambda: 1, embed=lambda texts, dim: time.sleep(30), dim=4)
     began = time.time()
     assert slow.search_vectors("x", 1, timeout_ms=1000 * limit) is None and time.time() - began < 10
+
+
+def test_rounds_move_ranks_between_sources_alone(spark, monkeypatch):
+    """Edges to targets without edges of their own take part in the last round only; the ranks stay the same."""
+    from loamstone.operators import graph as N
+
+    edges = [(f"s{i}", f"s{(i * 3 + 1) % 5}", 1.0 + i) for i in range(5)] + [(f"s{i}", f"leaf{i}-{k}", 0.5) for i in range(5) for k in range(40)]
+    table = spark.createDataFrame(edges, "src string, dst string, weight double")
+    written, kept = {}, N.stored
+    monkeypatch.setattr(N, "stored", lambda df, name: written.setdefault(name, kept(df, name)) if name == "inner-share" else kept(df, name))
+    total = {s: sum(w for a, _, w in edges if a == s) for s, _, _ in edges}
+    start = {"s0": 0.75, "leaf1-3": 0.25}
+    want = dict(start)
+    for _ in range(30):
+        after = {k: 0.15 * v for k, v in start.items()}
+        for a, b, w in edges:
+            after[b] = after.get(b, 0.0) + 0.85 * want.get(a, 0.0) * w / total[a]
+        want = after
+    want = {k: v for k, v in want.items() if v > 1e-6}
+    seeds = spark.createDataFrame([("s0", 3.0), ("leaf1-3", 1.0)], "id string, weight double")
+    got = {r.id: r.r for r in N.ranked(table, seeds).collect()}
+    many = {r.id: r.r for r in N.ranked_many(table, seeds.selectExpr("'q' AS query", "id", "weight")).collect()}
+    for found in (got, many):
+        assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    assert written["inner-share"].count() == 5
