@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamstone.sources.shared import arrow_map
+
 #: Marks of the two formats (fixed values).
 PLAIN_MARK, FERNET_MARK = b"HMACS:", b"FERNET:"
 
@@ -85,14 +87,16 @@ def _mapped(df: DataFrame, column: str, out: list[str], work) -> DataFrame:
             made = [work(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[i] for m in made], pa.binary()) for i in range(len(out)))], names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def sealed(df: DataFrame, column: str, out: str, key: bytes | str, salt: str = "") -> DataFrame:
     """``df`` with the sealed form of a string or binary column; a null stays null."""
     shared = df.sparkSession.sparkContext.broadcast(key_bytes(key))
-    bare = df.withColumn("__plain", F.col(column).cast("binary"))
-    return _mapped(bare, "__plain", [out], lambda x: (None if x is None else seal_bytes(shared.value, x, salt.encode()),)).drop("__plain")
+    work = lambda x: (None if x is None else seal_bytes(shared.value, x, salt.encode()),)
+    if dict(df.dtypes)[column] == "binary":
+        return _mapped(df, column, [out], work)
+    return _mapped(df.withColumn("__plain", F.col(column).cast("binary")), "__plain", [out], work).drop("__plain")
 
 
 def opened(df: DataFrame, column: str, out: str, key: bytes | str) -> DataFrame:

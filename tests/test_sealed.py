@@ -73,3 +73,28 @@ def test_backfill_goes_on_where_it_was_cut_off(spark, tmp_path):
     whole = {r.memory_id: r.vec for r in J.backfill(rows, path, embed, 8, per_file=4).collect()}
     assert len(whole) == 20 and all(number(i) == 1 for i in done)
     assert whole["m05"] == pytest.approx(J.hash_embedding(["text 5"], 8)[0].tolist())
+
+
+def test_batches_of_sealed_copies_are_bounded(spark):
+    """Python holds a few MB of copies at a time, however large a partition is."""
+    from loamstone.sources.shared import arrow_map
+
+    rows = spark.range(3000, numPartitions=1).select(F.concat(F.lit("m"), F.col("id")).alias("id"), F.lit("semantic").alias("kind"), F.expr("repeat(sha2(cast(id as string), 256), 150)").alias("content"), F.lit(5).alias("importance"), F.lit(0).cast("long").alias("created_ts"))
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    Z.sealed(rows, "content", "blob", KEY)  # sets the session's bound where there is none
+    assert arrow_map(rows, sizes, "n long").agg(F.max("n")).first()[0] < 6 << 20
+    shards = J.replicas(rows.limit(40), KEY, 5)
+    bad = shards.withColumn("payload", F.when(F.col("copy") < 2, F.concat("payload", F.lit("x").cast("binary"))).otherwise(F.col("payload")))
+    assert J.restored(bad, KEY).count() == 40
+    newer = bad.unionByName(shards.filter("memory_id = 'm0'").withColumns({"created_ts": F.lit(9).cast("long"), "sha256": F.lit("0")}))
+    got = J.restored(newer, KEY)
+    assert got.count() == 39 and got.filter("memory_id = 'm0'").isEmpty()
+    # other bytes under the same copy number: the first whole copy whose tag is right
+    forged = shards.filter("memory_id = 'm1'").withColumn("payload", F.lit("HMACS:no").cast("binary")).withColumn("sha256", F.sha2("payload", 256)).withColumn("copy", F.lit(-1))
+    assert {r.memory_id: '"m1"' in r.record for r in J.restored(shards.filter("memory_id = 'm1'").unionByName(forged), KEY).collect()} == {"m1": True}
