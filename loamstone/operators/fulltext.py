@@ -5,7 +5,8 @@ wherever it is a substring, in any script; a phrase of fewer than three characte
 phrase's frequency is the number of places where it begins.
 
 Without an index, a search scans the texts once, with all phrases in one projection; the scan counts texts and terms too. The
-stored index has a row for each place of each trigram (term, id, position, and the text's number of terms), sorted by term. A
+stored index has a row for each place of each trigram (term, id, position, and the text's number of terms), sorted by term; written
+at once (``write_index``) it has a row for each trigram of a block of some thousand texts, with all its places in the block. A
 phrase is covered by the trigrams at its places 0, 3, 6, ... and at its end: where all of them follow each other at these
 distances, the phrase begins. So a search reads the rows of a few terms and no text, and scores come from the rows alone. Only
 texts that have the phrase's rarest trigram are looked at further. A phrase's weight depends on the exact number of texts
@@ -16,13 +17,17 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loamstone.functions import scoring as S
 from loamstone.functions.text import like_contains
-from loamstone.sources.shared import stored
+from loamstone.sources.shared import arrow_map, stored
 
 #: Fixed values of the ranking: saturation, length normalization, the least weight of a phrase, buckets of postings.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -134,6 +139,8 @@ def sorted_postings(rows: DataFrame) -> DataFrame:
 
 def indexed_hits(table: DataFrame, phrases: list[str], key: str = "id") -> DataFrame:
     """As ``hits``, from postings: of few terms, few buckets and row groups are read."""
+    if "places" in table.columns:
+        return _packed_hits(table, phrases, key)
     spark = table.sparkSession
     covers = {i: _cover(p) for i, p in enumerate(_phrases(phrases)) if len(p) >= GRAM}
     wanted = spark.createDataFrame([(t, i, shift) for i, c in covers.items() for shift, t in c.items()], "term string, phrase int, shift int")
@@ -155,14 +162,131 @@ def indexed_hits(table: DataFrame, phrases: list[str], key: str = "id") -> DataF
     return whole.groupBy(key, "phrase").agg(F.first("dl").alias("dl"), F.count("*").cast("int").alias("tf")).select(key, "dl", "phrase", "tf")
 
 
+# postings in blocks
+
+#: Characters of a block of texts; a longer text is a block of its own. A block's texts (ids and lengths) are a row of bucket BUCKETS.
+BLOCK = 1 << 21
+_PACKED = "term string, block string, places binary, ids array<string>, sizes array<int>"
+
+
+def varints(values: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers in seven bits a byte, and where the bytes of each head and the end are."""
+    n = 1 + sum((values >= 1 << b).astype(np.int64) for b in (7, 14, 21, 28))
+    end = np.cumsum(n)
+    start = end - n
+    out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+    for i in range(5):
+        at = np.flatnonzero(n > i)
+        out[start[at] + i] = ((values[at] >> (7 * i)) & 127) | np.where(n[at] > i + 1, 128, 0)
+    return out, np.append(start[heads], len(out))
+
+
+def from_varints(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8).astype(np.int64)
+    last = np.flatnonzero(b < 128)
+    first = np.append(0, last[:-1] + 1)
+    return np.add.reduceat((b & 127) << (7 * (np.arange(len(b)) - np.repeat(first, last - first + 1))), first) if len(last) else last
+
+
+def _packed_block(name: str, ids: list[str], texts: list[str]) -> pa.RecordBatch:
+    """A row for each trigram of the texts, with the differences of its places in all of them together; and one for the texts."""
+    sizes = np.array([len(t) for t in texts])
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+    seen = np.zeros(0x110000, bool)
+    seen[chars] = True
+    alphabet = np.flatnonzero(seen)
+    number = np.zeros(0x110000, np.int32)
+    number[alphabet] = np.arange(len(alphabet))
+    code, n = number[chars].astype(np.int64), len(alphabet)
+    inside = np.ones(len(chars), bool)
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False  # a text has GRAM characters at least
+    at = np.flatnonzero(inside)
+    gram = (code[at] * n + code[at + 1]) * n + code[at + 2]
+    order = np.argsort((gram & 0xFFFF).astype(np.uint16), kind="stable")  # by 16 bits at a time, so places stay in order
+    for shift in (16, 32, 48):
+        if (n**3 - 1) >> shift:
+            order = order[np.argsort(((gram >> shift) & 0xFFFF).astype(np.uint16)[order], kind="stable")]
+    gram, at = gram[order], at[order]
+    heads = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    step = np.diff(at, prepend=0)
+    step[heads] = at[heads]
+    data, off = varints(step, heads)
+    g = gram[heads]
+    letters = np.stack([alphabet[g // (n * n)], alphabet[g // n % n], alphabet[g % n]], axis=1).astype("<u4").tobytes().decode("utf-32-le")
+    terms = [letters[i : i + GRAM] for i in range(0, len(letters), GRAM)]
+    places = pa.Array.from_buffers(pa.binary(), len(terms), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(data)])
+    k = len(terms)
+    columns = [pa.array([*terms, None], pa.string()), pa.array([name] * (k + 1)), pa.concat_arrays([places, pa.nulls(1, pa.binary())]), pa.array([None] * k + [ids], pa.list_(pa.string())), pa.array([None] * k + [sizes.tolist()], pa.list_(pa.int32()))]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _PACKED.split(", ")])
+
+
+def packed_postings(rows: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
+    """bucket, term, block, places, ids, sizes: the postings of blocks of texts. Nothing is shuffled; a task's blocks are named by its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if ids and held + len(t) > BLOCK:
+                    yield _packed_block(f"{task}-{made}", ids, texts)
+                    made, ids, texts, held = made + 1, [], [], 0
+                ids.append(i)
+                texts.append(t)
+                held += len(t)
+        if ids:
+            yield _packed_block(f"{task}-{made}", ids, texts)
+
+    folded = rows.select(F.col(key).cast("string").alias("id"), _folded(text).alias("folded")).filter(F.char_length("folded") >= GRAM)
+    packed = arrow_map(folded, run, _PACKED)
+    return packed.select(F.when(F.col("term").isNull(), BUCKETS).otherwise(_bucket(F.col("term"))).alias("bucket"), *packed.columns)
+
+
+def _packed_hits(table: DataFrame, phrases: list[str], key: str) -> DataFrame:
+    """``hits`` from blocks: a block's places of the terms asked for meet in one task, which counts where they follow each other."""
+    spark = table.sparkSession
+    wanted = {i: (p, _cover(p)) for i, p in enumerate(_phrases(phrases)) if len(p) >= GRAM}
+    terms = sorted({t for _, c in wanted.values() for t in c.values()})
+    schema = f"{key} string, dl int, phrase int, tf int"
+    if not terms:
+        return spark.createDataFrame([], schema)
+    buckets = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()]
+    told = table.filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).select("block", "term", "places")
+    texts = table.filter(F.col("bucket") == BUCKETS).select("block", "ids", "sizes")
+
+    def found(_, of: pa.Table, block: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if of.num_rows and block.num_rows:
+            ids, sizes = block.column("ids")[0].as_py(), np.asarray(block.column("sizes")[0].values)
+            first = np.cumsum(sizes) - sizes
+            at = {t: np.cumsum(from_varints(p)) for t, p in zip(of.column("term").to_pylist(), of.column("places").to_pylist(), strict=True)}
+            for i, (phrase, cover) in wanted.items():
+                if not all(t in at for t in cover.values()):
+                    continue
+                starts = None
+                for shift, t in sorted(cover.items(), key=lambda c: len(at[c[1]])):
+                    starts = at[t] - shift if starts is None else np.intersect1d(starts, at[t] - shift, assume_unique=True)
+                own = np.searchsorted(first, starts, side="right") - 1
+                whole = (starts >= 0) & (starts + len(phrase) <= first[own] + sizes[own])  # not over the end of a text
+                row, tf = np.unique(own[whole], return_counts=True)
+                out += [(ids[r], int(sizes[r]) - (GRAM - 1), i, n) for r, n in zip(row.tolist(), tf.tolist(), strict=True)]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        return pa.table([pa.array([o[j] for o in out], kind) for j, kind in enumerate(kinds)], names=[key, "dl", "phrase", "tf"])
+
+    return told.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(found, schema)
+
+
 def write_index(rows: DataFrame, path: str) -> None:
-    """Store postings and statistics of (id, content) below ``path``."""
-    sorted_postings(postings(rows)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    """Store postings and statistics of (id, content) below ``path``; a frequent term goes over several files."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("block"), F.lit(max(1, -(-4 * n // BUCKETS))))
+    packed = packed_postings(rows).repartition("bucket", part).sortWithinPartitions("bucket", "term", "block")
+    packed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     statistics(rows).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.schema("term string, id string, dl int, position int, bucket int").parquet(f"{path}/postings"), spark.read.schema("n long, avgdl double").parquet(f"{path}/statistics")
+    return spark.read.schema(f"{_PACKED}, bucket int").parquet(f"{path}/postings"), spark.read.schema("n long, avgdl double").parquet(f"{path}/statistics")
 
 
 def entries(rows: DataFrame, query: str, phrases: list[str], k: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:

@@ -190,3 +190,25 @@ def test_phrases_are_found_by_their_places_alone(spark, tmp_path):
     assert near(T.search(rows.limit(0), phrases, 500, index)) == {}
     plan = T.search(None, phrases, 5, index)._jdf.queryExecution().toString()
     assert "content" not in plan
+
+
+def test_a_stored_index_has_a_row_a_trigram_of_a_block(spark, tmp_path, monkeypatch):
+    import random
+
+    r = random.Random(6)
+    texts = ["".join(r.choice("abcé項\U0001f600 ") for _ in range(r.randint(0, 400))) for _ in range(60)] + ["xyabc", "defgh", "abcabcabc" * 40, None, "ab"]
+    rows = spark.createDataFrame([(f"m{i}", t) for i, t in enumerate(texts)], "id string, content string").coalesce(1)
+    phrases = ["abcdef", "abc", "cabca", "\U0001f600a", "a\U0001f600b", "é項a", "bcabc a"]
+    places = lambda t, p: sum(t.startswith(p, i) for i in range(len(t)))
+    want = {(f"m{i}", k, len(t) - 2, places(t, p)) for i, t in enumerate(texts) if t for k, p in enumerate(phrases) if len(p) > 2 and places(t, p)}
+    for block, path in ((1 << 22, "one"), (500, "many")):
+        monkeypatch.setattr(T, "BLOCK", block)
+        T.write_index(rows, str(tmp_path / path))
+        table, _ = T.read_index(spark, str(tmp_path / path))
+        assert {(x.id, x.phrase, x.dl, x.tf) for x in T.indexed_hits(table, phrases).collect()} == want
+        grams = {t[i : i + 3] for t in texts if t for i in range(len(t) - 2)}
+        if block > 500:  # before, a row for each place
+            assert table.count() == len(grams) + 1
+    values = np.array([0, 1, 127, 128, 16383, 16384, (1 << 21) - 1, 1 << 21, 1 << 28, (1 << 31) - 1])
+    data, off = T.varints(values, np.array([0, 4]))
+    assert T.from_varints(data.tobytes()).tolist() == values.tolist() and T.from_varints(data[off[1] :].tobytes()).tolist() == values[4:].tolist()
