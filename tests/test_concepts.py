@@ -206,3 +206,23 @@ def test_many_queries_go_in_passes_of_bounded_tiles(spark, tmp_path, monkeypatch
     assert as_set(V.nearest_many(vectors, queries, 5)) == whole
     V.write_lists(vectors, V.fitted_centroids(vectors, 6), str(tmp_path / "lists"))
     assert as_set(V.search_lists(spark, str(tmp_path / "lists"), queries, 5, 6)) == whole
+
+
+def test_differences_make_only_pairs_with_a_side_that_moves(spark):
+    import random
+
+    from loamstone.operators import concept_deltas as D
+
+    r = random.Random(8)
+    rows = [(f"m{i}", f"c{r.randint(0, 6)}", r.random() < 0.6, r.random() < 0.6) for i in range(40) for _ in range(2)]
+    rows = [v for v in {(m, c): (m, c, b0, b1) for m, c, b0, b1 in rows}.values() if v[2] or v[3]]
+    told = spark.createDataFrame(rows, "memory_id string, concept_id string, b0 boolean, b1 boolean")
+    for of, by, at in (("memory_id", "concept_id", 0), ("concept_id", "memory_id", 1)):
+        want = {}
+        for x in rows:
+            for y in rows:
+                if x[1 - at] == y[1 - at] and x[at] < y[at]:
+                    want[x[at], y[at]] = want.get((x[at], y[at]), 0.0) + (x[3] and y[3]) - (x[2] and y[2])
+        assert as_set(D._moved_pairs(told, of, by)) == {(a, b, float(w)) for (a, b), w in want.items() if w}
+    batch = spark.createDataFrame(notes(30), SCHEMA)
+    assert set(D.begun(batch, None, ())) == {"concept_reps", "concept_links", "concept_counts"}  # before, pairs were always made
