@@ -81,11 +81,11 @@ def _span_hash(c: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
     return mixed((c[at + size] - c[at]) * inv[at])
 
 
-def blocks(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Row, first and last window start, and two hashes of each block (of the bytes of all its windows)."""
+def blocks(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, second: bool = True) -> tuple[np.ndarray, ...]:
+    """Row, first and last window start, and two hashes (one, unless ``second``) of each block (of the bytes of all its windows)."""
     size = offs[1:] - offs[:-1]
     if size.max(initial=0) < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * (1 + second)
     eight = np.ndarray(shape=(len(buf),), dtype="<u8", buffer=np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
     row = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(buf)) + REGION * (row + 1)  # rows are set apart, so that a block's start depends on its own text alone
@@ -109,12 +109,12 @@ def blocks(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH) -> tuple[np.
     last = offs[1:][of] - length
     same = np.flatnonzero(of[1:] == of[:-1])
     last[same] = start[same + 1] - 1
-    return of, start, last, hash_spans(buf, start, last + length, 1), hash_spans(buf, start, last + length, 2)
+    return of, start, last, *(hash_spans(buf, start, last + length, k) for k in ((1, 2) if second else (1,)))
 
 
 def unsettled(buf: np.ndarray, offs: np.ndarray, length: int, table: Shared) -> np.ndarray:
     """Which window starts are in blocks that one document has alone."""
-    _, a, z, h, _ = blocks(buf, offs, length)
+    _, a, z, h = blocks(buf, offs, length, second=False)
     shared = shared_of(table, h)
     step = np.zeros(len(buf) + 1, dtype=np.int8)
     step[a[shared]] += 1
@@ -225,7 +225,7 @@ def shared_blocks(docs: DataFrame, length: int) -> tuple[Shared, DataFrame]:
     """
 
     def of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        row, _, _, h, _ = blocks(buf, offs, length)
+        row, _, _, h = blocks(buf, offs, length, second=False)
         return row, h
 
     bits = shared_hashes([(docs, of)], HOT)

@@ -86,3 +86,16 @@ def test_a_window_of_all_documents_comes_once_from_each_task(spark, monkeypatch)
         spark.conf.set(size, before)
     assert got == brute(rows)
     assert max(most) <= 12  # two tasks, and those over the blocks' first texts, for 80 batches
+
+
+def test_blocks_with_one_hash_are_the_same():
+    import numpy as np
+
+    from loamstone.llm.suffix_dedup import blocks
+
+    r = np.random.default_rng(3)
+    for sizes in ([900, 0, 20, 700], [10], []):
+        offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        buf = r.integers(97, 100, int(offs[-1])).astype(np.uint8)
+        both, one = blocks(buf, offs), blocks(buf, offs, second=False)
+        assert len(both) == 5 and len(one) == 4 and all((x == y).all() for x, y in zip(both, one))
