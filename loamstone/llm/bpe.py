@@ -9,7 +9,7 @@ are encoded independently, each distinct one once per chunk of text, and the ids
 apart by a hash and then by their bytes.
 
 Defined results: a null text is an empty text; an empty text has no tokens (both digests are of no bytes); texts of any
-length are handled whole, in chunks of some MB (one text at least); equal rows give equal results; an empty table gives an
+length are handled whole, in chunks of half a MB (one text at least); equal rows give equal results; an empty table gives an
 empty table; other columns of the input are kept by ``encode`` and ``decode``, whose new columns replace ones of that name.
 """
 
@@ -38,7 +38,8 @@ PLAIN[[*range(9, 14), *range(32, 127), *range(0x80, 0xC0), 0xC3, 0xC4, 0xC5]] =
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct fragments whose ids a task remembers from one chunk to the next.
 CACHE_FRAGMENTS = 200_000
-
+#: Bytes of text that are encoded at once (one text at least); the arrays this takes are many times as large.
+CHUNK = 1 << 19
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -230,11 +231,14 @@ def _rows(df: DataFrame, out: list[T.StructField], work) -> DataFrame:
     schema = T.StructType([*kept, *out])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = [b.column(i) for i, n in enumerate(b.schema.names) if n.lower() not in names]
-            for lo, hi, cols in work(b):
-                arrays = [c.slice(lo, hi - lo) for c in own] + cols
-                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+        try:
+            for b in batches:
+                own = [b.column(i) for i, n in enumerate(b.schema.names) if n.lower() not in names]
+                for lo, hi, cols in work(b):
+                    arrays = [c.slice(lo, hi - lo) for c in own] + cols
+                    yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+        finally:
+            codec.cache_clear()  # tasks go round all of an executor's Python workers, and each would keep a vocabulary
 
     return df.transform(arrow_map, run, schema)
 
@@ -243,7 +247,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     """``df`` with the token ids of ``text`` in column ``ids``."""
 
     def work(b: pa.RecordBatch):
-        for lo, hi, buf, offs in chunks(*text_buffer(b.column(text))):
+        for lo, hi, buf, offs in chunks(*text_buffer(b.column(text)), CHUNK):
             got, first = codec(path).encode(buf, offs)
             yield lo, hi, [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(got.astype(np.int32)))]
 
@@ -267,7 +271,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def work(b: pa.RecordBatch):
         c = codec(path)
-        for lo, hi, buf, offs in chunks(*text_buffer(b.column(text))):
+        for lo, hi, buf, offs in chunks(*text_buffer(b.column(text)), CHUNK):
             ids, first = c.encode(buf, offs)
             decoded, at = c.decode(ids, first)
             digits, d_at = gather_bytes(*c.digits_of, ids)

@@ -75,3 +75,21 @@ def test_cuts_in_any_script_are_equal_to_the_library(monkeypatch):
             ids, first = own.encode(buf, offs)
             assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
     assert len(own.cuts(*text_buffer(pa.array(["中文字符测试" * 50])))) > 50
+
+
+def test_no_worker_keeps_a_vocabulary(spark, path):
+    from loamstone.llm.bpe import digests, encode
+
+    rows = frame(spark, corpus()).repartition(8)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from loamstone.llm import bpe
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([bpe.codec.cache_info().currsize] * b.num_rows)], names=["n"])
+
+    for out in (encode(rows, path), digests(rows, path)):
+        out.write.format("noop").mode("overwrite").save()
+        assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}
